@@ -8,21 +8,25 @@ blocks of a few hundred documents:
 
 1. each block sends its distinct anchor hashes as sorted runs, by hash range; the receivers
    answer with bitmaps of those that other documents have too;
-2. each block sorts the suffixes at such anchors (with their left contexts; equal ones once, with
-   their smallest document), and sends them as front-coded sorted runs;
-3. a loser tree merges the runs. It compares known common-prefix lengths, and bytes only beyond
-   them; the lengths that it finds give the windows shared with smaller documents;
+2. at such anchors it sends a hash of the context (all windows of this anchor), once a block, with
+   the smallest document. All but the smallest holder of a context are settled by that; the rest
+   matters only where another context of the anchor agrees with it on a side;
+3. the suffixes at those anchors (with their left contexts) are sorted and sent as front-coded
+   runs. A loser tree merges the runs: it compares known common-prefix lengths, and bytes only
+   beyond them; the lengths that it finds give the windows shared with smaller documents;
 4. each block applies the answers to its texts.
 
-An anchor in more than `hot_blocks` blocks (a line that half of the corpus holds) is sent by whole
-windows, which spread by their own hash and shrink to one a block, so no receiver gets a group
-that grows with the corpus other than one entry a block.
+An anchor in more than `hot_docs` documents (a line that half of the corpus holds) is sent by
+context and whole window, which spread by their own hash and shrink to one a block, so no
+receiver gets a group that grows with the corpus other than one entry a block.
 
 Nulls are empty texts. Null ids sort last. Rows with equal ids never remove bytes of each other.
 An empty table gives an empty result."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +51,12 @@ def _mix(h):
     return h * np.uint64(0x94D049BB133111EB)
 
 
+_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
+
+
 def kmer_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hash of every k bytes, by doubling."""
-    part = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))[buf]
-    have, size, done, out = part, 1, 0, None
+    have, size, done, out = _VALUES[buf], 1, 0, None
     while True:
         if k & size:
             if out is None:
@@ -70,6 +76,46 @@ def kmer_hashes(buf: np.ndarray, k: int) -> np.ndarray:
     return _mix(out[: max(0, len(buf) - k + 1)])
 
 
+_power_cache = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int):
+    """Powers of the hash base and of its inverse, n at least."""
+    if len(_power_cache[0]) < n:
+        for i, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            p = np.full(1 << n.bit_length(), base, np.uint64)
+            p[0] = 1
+            _power_cache[i] = np.multiply.accumulate(p)
+    return _power_cache
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of buf[start:end] for arrays of starts and ends; spans are shorter than a chunk of 1 MB.
+
+    Sums of byte values times powers, taken from running sums over chunks of bounded size."""
+    values = _VALUES if values is None else values
+    out = np.empty(len(start), np.uint64)
+    order = None if len(start) < 2 or (start[1:] >= start[:-1]).all() else np.argsort(start, kind="stable")
+    s = start if order is None else start[order]
+    e = end if order is None else end[order]
+    at = 0
+    while at < len(s):
+        low = int(s[at])
+        to = int(np.searchsorted(s, low + (1 << 20)))
+        high = int(e[at:to].max())
+        part = buf[low:high]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(values[part] * up[: len(part)], out=total[1:])
+        found = _mix((total[e[at:to] - low] - total[s[at:to] - low]) * down[s[at:to] - low])
+        if order is None:
+            out[at:to] = found
+        else:
+            out[order[at:to]] = found
+        at = to
+    return out
+
+
 def anchors(buf: np.ndarray, starts: np.ndarray, length: int):
     """(doc index, anchor, first window, last window, 48-bit hash) for the concatenated texts."""
     k, w = shape(length)
@@ -131,93 +177,182 @@ def by_range(values: np.ndarray, parts: int) -> np.ndarray:
 
 
 def distinct_hashes(hashes: np.ndarray, docs: np.ndarray):
-    """Sorted distinct hashes of a block, and which of them more than one id has."""
+    """Sorted distinct hashes of a block, and how many of its ids have each (255 at most)."""
     pairs = np.unique(hashes << np.uint64(16) | docs.astype(np.uint64))
-    top = pairs >> np.uint64(16)
-    values, counts = np.unique(top, return_counts=True)
-    return values, counts > 1
+    values, counts = np.unique(pairs >> np.uint64(16), return_counts=True)
+    return values, np.minimum(counts, 255).astype(np.uint8)
 
 
-def answer_repeats(key, table, hot_blocks: int):
-    """Receiver of step 1: for each run, bits of the hashes that several documents hold, and of those in many blocks."""
+def send_hashes(block: int, values: np.ndarray, counts: np.ndarray, parts: int):
+    import pyarrow as pa
+
+    cuts = by_range(values, parts)
+    rows = [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p + 1] > cuts[p]]
+    return pa.table({
+        "block": pa.array([block] * len(rows), pa.int32()), "part": pa.array([p for p, _, _ in rows], pa.int32()),
+        "hashes": pa.array([six(values[a:b]) for _, a, b in rows], pa.binary()),
+        "counts": pa.array([counts[a:b].tobytes() for _, a, b in rows], pa.binary())})
+
+
+def answer_repeats(table, hot: int):
+    """Receiver of step 1: for each run, bits of the hashes that several ids hold, and of those that more than `hot` hold."""
     import pyarrow as pa
 
     runs = [from_six(x) for x in table.column("hashes").to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(r)).astype(bool)
-             for f, r in zip(table.column("flags").to_pylist(), runs, strict=True)]
-    values, back, counts = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
-    multi = counts > 1
-    np.logical_or.at(multi, back, np.concatenate(flags))
-    hot = counts > hot_blocks
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
+    _, back = np.unique(np.concatenate(runs), return_inverse=True)
+    total = np.bincount(back, weights=counts)[back]
     out, at = [], 0
     for r in runs:
-        i = back[at:at + len(r)]
+        t = total[at:at + len(r)]
         at += len(r)
-        out.append(np.packbits(multi[i]).tobytes() + np.packbits(hot[i]).tobytes())
+        out.append(np.packbits(t > 1).tobytes() + np.packbits(t > hot).tobytes())
     return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array(out, pa.binary())})
 
 
-def send_hashes(block: int, values: np.ndarray, multi: np.ndarray, parts: int):
-    import pyarrow as pa
-
-    cuts = by_range(values, parts)
-    rows = [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p + 1] > cuts[p]]
-    return pa.table({
-        "block": pa.array([block] * len(rows), pa.int32()), "part": pa.array([p for p, _, _ in rows], pa.int32()),
-        "hashes": pa.array([six(values[a:b]) for _, a, b in rows], pa.binary()),
-        "flags": pa.array([np.packbits(multi[a:b]).tobytes() for _, a, b in rows], pa.binary())})
+def two_bits(data: bytes, n: int):
+    half = len(data) // 2
+    return tuple(np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in (data[:half], data[half:]))
 
 
-def read_bits(values: np.ndarray, replies, parts: int):
+def read_bits(values: np.ndarray, replies: list, parts: int):
+    """Bits that the receivers gave for a block's sorted hashes; replies: (part, bits)."""
     cuts = by_range(values, parts)
     multi, hot = np.zeros(len(values), bool), np.zeros(len(values), bool)
-    for p, bits in zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist(), strict=True):
+    for p, bits in replies:
         a, b = cuts[p], cuts[p + 1]
-        half = len(bits) // 2
-        multi[a:b] = np.unpackbits(np.frombuffer(bits[:half], np.uint8), count=b - a)
-        hot[a:b] = np.unpackbits(np.frombuffer(bits[half:], np.uint8), count=b - a)
+        multi[a:b], hot[a:b] = two_bits(bits, b - a)
     return multi, hot
 
 
-def suffix_keys(whole: bytes, found, multi, hot, values, ids, length: int):
-    """The block's suffixes at repeated anchors: {(right, left): smallest id} by kind, and for each
-    entry its (kind, right, left, doc index, first window, last window)."""
-    doc, a, first, last, h = found
-    where = np.searchsorted(values, h)
-    keep = multi[where]
-    least: tuple[dict, dict] = ({}, {})
-    entries = []
-    for d, x, p, q, is_hot in zip(doc[keep].tolist(), a[keep].tolist(), first[keep].tolist(), last[keep].tolist(),
-                                  hot[where][keep].tolist(), strict=True):
-        i = ids[d]
-        if is_hot:
-            for y in range(p, q + 1):
-                key = (whole[y:y + length], b"")
-                entries.append((1, key, d, y, y))
-                if least[1].setdefault(key, i) > i:
-                    least[1][key] = i
-        else:
-            key = (whole[x:q + length], whole[p:x])
-            entries.append((0, key, d, x, x))
-            if least[0].setdefault(key, i) > i:
-                least[0][key] = i
-    return least, entries
+class Contexts:
+    """A block's distinct contexts (all windows of one anchor occurrence) at repeated anchors.
+
+    For each: key (the anchor's hash, or its own if the anchor is hot), hash, smallest id, side
+    prints, and its first occurrence; for each occurrence the context that it has."""
+
+    def __init__(self, buf, found, ids, multi, hot, values, length):
+        k, _ = shape(length)
+        doc, a, p, q, h = found
+        where = np.searchsorted(values, h)
+        keep = multi[where]
+        self.id, self.a, self.p, self.q = np.array(ids, np.int64)[doc[keep]], a[keep], p[keep], q[keep]
+        self.length, is_hot, h = length, hot[where[keep]], h[keep]
+        whole = span_hashes(buf, self.p, self.q + length)
+        ctx = _mix(whole + (self.a - self.p).astype(np.uint64) * np.uint64(_STEP) + (self.q - self.p).astype(np.uint64)) >> np.uint64(16)
+        order = np.lexsort((self.id, ctx, np.where(is_hot, ctx, h), is_hot))
+        ctx_o, hot_o = ctx[order], is_hot[order]
+        key_o = np.where(hot_o, ctx_o, h[order])
+        new = np.ones(len(order), bool)
+        new[1:] = (ctx_o[1:] != ctx_o[:-1]) | (key_o[1:] != key_o[:-1]) | (hot_o[1:] != hot_o[:-1])
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.first = order[new]
+        self.key, self.ctx, self.hot = key_o[new], ctx_o[new], hot_o[new]
+        self.least = self.id[self.first]
+        # a window reaches `side` bytes beyond the k-mer on the left or on the right
+        side = (length - k) // 2
+        a1 = self.a[self.first]
+        left, right = a1 - self.p[self.first], self.q[self.first] + length - a1 - k
+        self.left_ok, self.right_ok = left >= side, right >= side
+        print_of = lambda s, e: (span_hashes(buf, s, e) >> np.uint64(48)).astype(np.uint16)
+        self.left = print_of(np.where(self.left_ok, a1 - side, a1), a1)
+        self.right = print_of(a1 + k, np.where(self.right_ok, a1 + k + side, a1 + k))
+
+    def ranges(self, parts: int):
+        """(part, from, to): even parts hold plain anchors by key range, odd ones hot contexts."""
+        n = int(np.searchsorted(self.hot, True))
+        for hot, offset, values in ((0, 0, self.key[:n]), (1, n, self.key[n:])):
+            cuts = by_range(values, parts)
+            for p in range(parts):
+                if cuts[p + 1] > cuts[p]:
+                    yield 2 * p + hot, offset + int(cuts[p]), offset + int(cuts[p + 1])
+
+    def send(self, block: int, parts: int):
+        import pyarrow as pa
 
+        rows = [(p, b"".join([six(self.key[x:y]), six(self.ctx[x:y]), self.left[x:y].tobytes(), self.right[x:y].tobytes(),
+                              np.packbits(self.left_ok[x:y]).tobytes(), np.packbits(self.right_ok[x:y]).tobytes(),
+                              np.ascontiguousarray(self.least[x:y].view(np.uint8).reshape(-1, 8).T).tobytes()]), y - x)
+                for p, x, y in self.ranges(parts)]
+        return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "part": pa.array([r[0] for r in rows], pa.int32()),
+                         "n": pa.array([r[2] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    def read(self, replies: list, parts: int):
+        """For each context: a smaller id elsewhere has all of it; its windows are to be compared."""
+        done, open_ = np.zeros(len(self.key), bool), np.zeros(len(self.key), bool)
+        given = dict(replies)
+        for p, x, y in self.ranges(parts):
+            if p in given:
+                done[x:y], open_[x:y] = two_bits(given[p], y - x)
+        return done, open_
+
+    def suffixes(self, whole: bytes, open_):
+        """Suffixes to compare: plain [(right, left), id, context] and hot {window: smallest id}."""
+        plain, hot = [], {}
+        for c in np.flatnonzero(open_).tolist():
+            e = self.first[c]
+            a, p, q, i = int(self.a[e]), int(self.p[e]), int(self.q[e]), int(self.least[c])
+            if self.hot[c]:
+                for y in range(p, q + 1):
+                    w = whole[y:y + self.length]
+                    if hot.setdefault(w, i) > i:
+                        hot[w] = i
+            else:
+                plain.append(((whole[a:q + self.length], whole[p:a]), i, c))
+        return plain, hot
 
-def _place(key, kind: int, k: int, parts: int) -> int:
-    import zlib
 
-    return zlib.crc32(key[0][:k] if kind == 0 else key[0]) % parts
+def answer_contexts(table):
+    """Receiver of step 2: two bits for each context sent, see Contexts.read."""
+    import pyarrow as pa
 
+    fields: list[list] = [[] for _ in range(7)]
+    sizes = table.column("n").to_pylist()
+    is_hot = table.column("part").to_pylist()[0] & 1
+    for n, data in zip(sizes, table.column("data").to_pylist(), strict=True):
+        bits = -(-n // 8)
+        at = np.cumsum([0, 6 * n, 6 * n, 2 * n, 2 * n, bits, bits, 8 * n]).tolist()
+        piece = [data[x:y] for x, y in zip(at, at[1:], strict=False)]
+        values = [from_six(piece[0]), from_six(piece[1]), np.frombuffer(piece[2], np.uint16), np.frombuffer(piece[3], np.uint16),
+                  *(np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x in piece[4:6]),
+                  np.ascontiguousarray(np.frombuffer(piece[6], np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)]
+        for f, v in zip(fields, values, strict=True):
+            f.append(v)
+    key, ctx, left, right, left_ok, right_ok, ids = (np.concatenate(f) for f in fields)
+    order = np.lexsort((ids, ctx, key))
+    k, c = key[order], ctx[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+    done = np.empty(len(k), bool)
+    done[order] = ~new
+    open_ = np.zeros(len(k), bool)
+    lead = order[new]
+    if is_hot:
+        open_[lead] = True
+    else:
+        for prints, ok in ((left, left_ok), (right, right_ok)):
+            mine = lead[ok[lead]]
+            _, back, counts = np.unique(key[mine] << np.uint64(16) | prints[mine].astype(np.uint64), return_inverse=True, return_counts=True)
+            open_[mine[counts[back] > 1]] = True
+    out, at = [], 0
+    for n in sizes:
+        out.append(np.packbits(done[at:at + n]).tobytes() + np.packbits(open_[at:at + n]).tobytes())
+        at += n
+    return pa.table({"block": table.column("block"), "part": table.column("part"), "bits": pa.array(out, pa.binary())})
 
-def dealt(least, k: int, parts: int):
-    """Sorted runs by (kind, part)."""
-    runs: dict[tuple[int, int], list] = {}
-    for kind in (0, 1):
-        for key in least[kind]:
-            runs.setdefault((kind, _place(key, kind, k, parts)), []).append(key)
-    for keys in runs.values():
-        keys.sort()
+
+def dealt(plain: list, hot: dict, k: int, parts: int):
+    """Sorted runs [((right, left), id, context)] by part: even parts by anchor, odd ones by window."""
+    import zlib
+
+    runs: dict[int, list] = {}
+    for x in plain:
+        runs.setdefault(2 * (zlib.crc32(x[0][0][:k]) % parts), []).append(x)
+    for w, i in hot.items():
+        runs.setdefault(2 * (zlib.crc32(w) % parts) + 1, []).append(((w, b""), i, -1))
+    for run in runs.values():
+        run.sort()
     return runs
 
 
@@ -369,15 +504,15 @@ def answer_windows(table, length: int):
     if group:
         close()
     return pa.table({"block": table.column("block"), "part": table.column("part"),
-                     "masks": pa.array([np.array(m, "<u8").tobytes() for m in masks], pa.binary())})
+                     "bits": pa.array([np.array(m, "<u8").tobytes() for m in masks], pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, hot_blocks: int = 64) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, hot_docs: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     _shared.small_batches(spark)
     packed, blocks = _shared.packed_blocks(_shared.columns(docs, "doc_id", "text"), rows_per_block)
-    parts = 4 * min(blocks, _shared.partitions(spark))
+    parts = 2 * min(blocks, _shared.partitions(spark))
     k, _ = shape(length)
 
     def prepare(table):
@@ -386,58 +521,74 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
         found = anchors(buf, starts, length)
         rank = {i: n for n, i in enumerate(dict.fromkeys(ids))}
         order = np.array([rank[i] for i in ids], np.int64)
-        values, multi = distinct_hashes(found[4], order[found[0]])
-        return ids, texts, whole, starts, found, values, multi
+        values, counts = distinct_hashes(found[4], order[found[0]])
+        return ids, texts, whole, buf, starts, found, values, counts
+
+    def replies_of(table, step: int):
+        import pyarrow.compute as pc
 
-    def hashes(key, table):
-        *_, values, multi = prepare(table)
-        return send_hashes(key[0].as_py(), values, multi, parts)
+        mine = table.filter(pc.equal(table.column("step"), step))
+        return list(zip(mine.column("part").to_pylist(), mine.column("bits").to_pylist(), strict=True))
 
-    def suffixes_of(table, replies):
-        ids, texts, whole, starts, found, values, _ = prepare(table)
-        multi, hot = read_bits(values, replies, parts)
-        least, entries = suffix_keys(whole, found, multi, hot, values, ids, length)
-        return ids, texts, starts, least, entries
+    def contexts_of(table, replies):
+        ids, texts, whole, buf, starts, found, values, _ = prepare(table)
+        multi, hot = read_bits(values, replies_of(replies, 1), parts)
+        return ids, texts, whole, starts, Contexts(buf, found, ids, multi, hot, values, length)
 
-    def suffixes(key, table, replies):
+    def send_anchors(key, table):
+        *_, values, counts = prepare(table)
+        return send_hashes(key[0].as_py(), values, counts, parts)
+
+    def send_contexts(key, table, replies):
+        return contexts_of(table, replies)[4].send(key[0].as_py(), parts)
+
+    def send_suffixes(key, table, replies):
         import pyarrow as pa
 
-        *_, least, _ = suffixes_of(table, replies)
-        rows = [(2 * p + kind, front_coded(keys, [least[kind][x] for x in keys]))
-                for (kind, p), keys in dealt(least, k, parts).items()]
+        _, _, whole, _, contexts = contexts_of(table, replies)
+        _, open_ = contexts.read(replies_of(replies, 2), parts)
+        rows = [(p, front_coded([x[0] for x in run], [x[1] for x in run]))
+                for p, run in dealt(*contexts.suffixes(whole, open_), k, parts).items()]
         return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
                          "part": pa.array([p for p, _ in rows], pa.int32()), "run": pa.array([r for _, r in rows], pa.binary())})
 
-    def marks(key, table, replies):
+    def apply(key, table, replies):
         import pyarrow as pa
 
-        bits = pa.table({"part": replies.column("part"), "bits": replies.column("bits"), "masks": replies.column("masks")})
-        import pyarrow.compute as pc
-
-        first = bits.filter(pc.is_valid(bits.column("bits")))
-        ids, texts, starts, least, entries = suffixes_of(table, first)
-        runs = dealt(least, k, parts)
-        mask_of: tuple[dict, dict] = ({}, {})
-        second = bits.filter(pc.is_valid(bits.column("masks")))
-        for p, m in zip(second.column("part").to_pylist(), second.column("masks").to_pylist(), strict=True):
-            mask_of[p & 1].update(zip(runs[p & 1, p >> 1], np.frombuffer(m, "<u8").tolist(), strict=True))
+        ids, texts, whole, starts, c = contexts_of(table, replies)
+        done, open_ = c.read(replies_of(replies, 2), parts)
+        plain, hot = c.suffixes(whole, open_)
+        runs, mask_of, window_of = dealt(plain, hot, k, parts), {}, {}
+        for p, m in replies_of(replies, 3):
+            for (pair, _, x), mask in zip(runs[p], np.frombuffer(m, "<u8").tolist(), strict=True):
+                if p & 1:
+                    window_of[pair[0]] = mask
+                else:
+                    mask_of[x] = mask
         total = sum(map(len, texts))
         edge = np.zeros(total + length + 1, np.int32)
+        # a smaller id, elsewhere or in this block, has all windows of the context
+        full = done[c.of] | (c.id > c.least[c.of])
+        np.add.at(edge, c.p[full], 1)
+        np.add.at(edge, c.q[full] + length, -1)
         begin, end = [], []
-        for kind, pair, d, x, _ in entries:
-            right, left = pair
-            if least[kind][pair] < ids[d]:  # a smaller id of this block has all of these windows
-                begin.append(x - len(left))
-                end.append(x - (length - len(right)) + length)
+        for e in np.flatnonzero(~full & open_[c.of]).tolist():
+            x, a, p, q = int(c.of[e]), int(c.a[e]), int(c.p[e]), int(c.q[e])
+            if c.hot[x]:
+                for y in range(p, q + 1):
+                    w = whole[y:y + length]
+                    if window_of[w] or hot[w] < c.id[e]:
+                        begin.append(y)
+                        end.append(y + length)
                 continue
-            mask = mask_of[kind][pair]
+            mask = mask_of[x]
             while mask:  # runs of bits
                 low = (mask & -mask).bit_length() - 1
                 high = low
                 while mask >> (high + 1) & 1:
                     high += 1
-                begin.append(x - high)
-                end.append(x - low + length)
+                begin.append(a - high)
+                end.append(a - low + length)
                 mask &= ~((2 << high) - (1 << low))
         np.add.at(edge, np.array(begin, np.int64), 1)
         np.add.at(edge, np.array(end, np.int64), -1)
@@ -457,17 +608,17 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
                          "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                          "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
-    sent = packed.groupBy("block").applyInArrow(hashes, "block int, part int, hashes binary, flags binary")
-    bits = sent.groupBy("part").applyInArrow(
-        lambda key, table: answer_repeats(key, table, hot_blocks), "block int, part int, bits binary")
-    runs = packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
-        suffixes, "block int, part int, run binary")
-    masks = runs.groupBy("part").applyInArrow(
-        lambda table: answer_windows(table, length), "block int, part int, masks binary")
-    replies = bits.select("block", "part", "bits", F.lit(None).cast("binary").alias("masks")).unionByName(
-        masks.select("block", "part", F.lit(None).cast("binary").alias("bits"), "masks"))
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        marks, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    by_block = lambda *replies: packed.groupBy("block").cogroup(
+        reduce(DataFrame.unionByName, replies).groupBy("block"))
+    answer = lambda sent, f, step: sent.groupBy("part").applyInArrow(
+        f, "block int, part int, bits binary").withColumn("step", F.lit(step))
+    first = answer(packed.groupBy("block").applyInArrow(send_anchors, "block int, part int, hashes binary, counts binary"),
+                   lambda table: answer_repeats(table, hot_docs), 1)
+    second = answer(by_block(first).applyInArrow(send_contexts, "block int, part int, n int, data binary"), answer_contexts, 2)
+    third = answer(by_block(first, second).applyInArrow(send_suffixes, "block int, part int, run binary"),
+                   lambda table: answer_windows(table, length), 3)
+    return by_block(first, second, third).applyInArrow(
+        apply, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

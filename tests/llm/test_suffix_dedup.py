@@ -45,8 +45,8 @@ def corpus(seed=5, n=60):
 def test_against_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([(*d, "de", 1) for d in docs], "doc_id long, text string, block string, part int")
-    for hot in (64, 1):
-        got = sorted([tuple(r) for r in digest(suffix_dedup(df, 50, rows_per_block=8, hot_blocks=hot)).collect()], key=str)
+    for hot in (4096, 2):
+        got = sorted([tuple(r) for r in digest(suffix_dedup(df, 50, rows_per_block=8, hot_docs=hot)).collect()], key=str)
         assert got == brute(docs, 50)
 
 
