@@ -6,16 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bpe as op3
+from graphloom.llm import html_main as op1
+from graphloom.llm import ngram_join as op6
 from graphloom.llm import packing as op9
 from graphloom.llm import suffix_dedup as op8
 from graphloom.llm._shared import table
 
 
+def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return op3.digest(op3.decode(op3.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.digest(op8.suffix_dedup(table(spark, sf_dir, "documents"), length=50))
 
@@ -24,6 +34,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
-QUERIES = {"op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+QUERIES = {"op1_html_main": op1_html_main, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
 
 ORACLE: dict[str, str] = {}
