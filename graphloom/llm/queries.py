@@ -4,19 +4,83 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe as op3
 from graphloom.llm import html_main as op1
 from graphloom.llm import ngram_join as op6
 from graphloom.llm import packing as op9
 from graphloom.llm import suffix_dedup as op8
+from graphloom.llm import toxicity as op2
+from graphloom.llm import url_reputation as op5
 from graphloom.llm._shared import table
 
+#: (verdict, host and path) of the url rules.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
 
 def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.extract_main(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = op2.learn(docs, labels.where(~op2.held_out()))
+    return op2.score(docs, model).select("doc_id", op2.held_out().alias("held_out"), "score", "predicted")
+
+
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad): a page shows the document whose number ends its path; that document's label judges it."""
+    shown = pages.select("page_id", F.expr(r"try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)").alias("doc_id"))
+    bad = labels.where("quality is not null or toxic is not null").select("doc_id", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("bad"))
+    return shown.join(bad, "doc_id").select("page_id", "bad")
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    judged = op5.judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH split AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) AS BIGINT) AS doc_id
+  FROM pages),
+known AS (
+  SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad
+  FROM split JOIN labels USING (doc_id) WHERE page_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)),
+named AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b, string_split(host, '.') AS p FROM known GROUP BY host),
+tops AS (
+  SELECT *, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM named),
+hosts AS (
+  SELECT host, n, b, array_to_string(p[-k:], '.') AS suffix,
+    array_to_string(p[greatest(len(p) - k, 1):], '.') AS domain FROM tops),
+doms AS (SELECT domain, sum(n) AS dn, sum(b) AS db, any_value(suffix) AS suffix FROM hosts GROUP BY domain),
+sufs AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM doms GROUP BY suffix),
+base AS (SELECT (sum(sb) + 1) / (sum(sn) + 2) AS m FROM sufs),
+smean AS (SELECT suffix, (sb + 20 * m) / (sn + 20) AS s_mean FROM sufs, base),
+dmean AS (SELECT domain, (db + 20 * s_mean) / (dn + 20) AS d_mean FROM doms JOIN smean USING (suffix)),
+post AS (SELECT host, n, (b + 20 * d_mean) / (n + 20) AS mean FROM hosts JOIN dmean USING (domain)),
+bound AS (SELECT host, mean - sqrt(mean * (1 - mean) / (n + 21)) AS bad_bound FROM post),
+ruled AS (
+  SELECT page_id, host, path, CASE
+    WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+  FROM split)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN bad_bound > 0.3 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN bound USING (host)
+"""
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return op3.digest(op3.decode(op3.encode(table(spark, sf_dir, "documents"), path), path))
@@ -34,6 +98,6 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
-QUERIES = {"op1_html_main": op1_html_main, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+QUERIES = {"op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_url_reputation": OP5_SQL}
