@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe as op3
 from graphloom.llm import html_main as op1
 from graphloom.llm import ngram_join as op6
+from graphloom.llm import nn_descent as op10
 from graphloom.llm import packing as op9
 from graphloom.llm import suffix_dedup as op8
 from graphloom.llm import toxicity as op2
@@ -98,6 +99,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=4096, end_id=2)
 
 
-QUERIES = {"op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {"op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
 
 ORACLE: dict[str, str] = {"op5_url_reputation": OP5_SQL}
