@@ -10,6 +10,7 @@ from graphloom.llm import bpe as op3
 from graphloom.llm import html_main as op1
 from graphloom.llm import ngram_join as op6
 from graphloom.llm import nn_descent as op10
+from graphloom.llm import nra_topk as op4
 from graphloom.llm import packing as op9
 from graphloom.llm import suffix_dedup as op8
 from graphloom.llm import toxicity as op2
@@ -103,6 +104,22 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.near_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {"op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
-ORACLE: dict[str, str] = {"op5_url_reputation": OP5_SQL}
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+QUERIES = {"op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+
+ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL}
