@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id inside numpy code; such a row sorts after all others.
 NO_ID = (1 << 63) - 1
@@ -85,12 +86,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
-def packed_blocks(docs: DataFrame, rows_per_block: int) -> tuple[DataFrame, int]:
+def packed_blocks(docs: DataFrame, rows_per_block: int, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """(row_id, block, z) hash-partitioned by block: the whole texts, zstd-compressed, dealt to
     blocks of about rows_per_block rows by a hash of the id.
 
     One plan may read it several times; the exchange is the same subplan, so Spark runs it once.
-    Null ids become NO_ID, null texts stay null."""
+    Null ids become NO_ID, null texts stay null. Columns named in carry go along as a struct."""
     spark = docs.sparkSession
     blocks = max(1, math.ceil(docs.count() / rows_per_block))
 
@@ -101,21 +102,24 @@ def packed_blocks(docs: DataFrame, rows_per_block: int) -> tuple[DataFrame, int]
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             packed = [None if x is None else squeeze(x.encode()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["row_id", "block", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary()), *batch.columns[3:]],
+                                             names=["row_id", "block", "z", *batch.schema.names[3:]])
 
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row_id"), "text",
-                        F.expr(f"cast(pmod(xxhash64(coalesce(doc_id, {NO_ID})), {blocks}) as int)").alias("block"))
-    out = keyed.mapInArrow(pack, "row_id long, block int, z binary")
+                        F.expr(f"cast(pmod(xxhash64(coalesce(doc_id, {NO_ID})), {blocks}) as int)").alias("block"), *more)
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("z", T.BinaryType()),
+                           *keyed.schema.fields[3:]])
+    out = keyed.mapInArrow(pack, schema)
     return out.repartition(min(blocks, partitions(spark)), "block"), blocks
 
 
 def unpack(table):
-    """ids and UTF-8 texts (null: empty) of a block, ordered by id, text."""
+    """ids and UTF-8 texts (null: empty) of a block, ordered by id, text; and each row's place in the table."""
     import zstandard
 
     grow = zstandard.ZstdDecompressor().decompress
-    rows = [(i, b"" if z is None else grow(z)) for i, z in
-            zip(table.column("row_id").to_pylist(), table.column("z").to_pylist(), strict=True)]
+    rows = [(i, b"" if z is None else grow(z), n) for n, (i, z) in
+            enumerate(zip(table.column("row_id").to_pylist(), table.column("z").to_pylist(), strict=True))]
     rows.sort()
-    return [i for i, _ in rows], [t for _, t in rows]
+    return [i for i, _, _ in rows], [t for _, t, _ in rows], [n for _, _, n in rows]

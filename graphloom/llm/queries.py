@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe as op3
 from graphloom.llm import html_main as op1
+from graphloom.llm import line_dedup as op7
 from graphloom.llm import ngram_join as op6
 from graphloom.llm import nn_descent as op10
 from graphloom.llm import nra_topk as op4
@@ -92,6 +93,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6.ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.report(table(spark, sf_dir, "documents"), max_edits=2, min_chars=40)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8.digest(op8.suffix_dedup(table(spark, sf_dir, "documents"), length=50))
 
@@ -120,6 +125,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
-QUERIES = {"op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
 
 ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL}

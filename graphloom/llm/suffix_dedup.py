@@ -30,6 +30,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm import _shared
 
@@ -507,16 +508,19 @@ def answer_windows(table, length: int):
                      "bits": pa.array([np.array(m, "<u8").tobytes() for m in masks], pa.binary())})
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, hot_docs: int = 4096) -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for every row of docs(doc_id, text)."""
+def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, hot_docs: int = 4096,
+                 whole_chars: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for every row of docs(doc_id, text).
+
+    whole_chars: a character goes only with all of its bytes. carry: columns that go along, as a struct `carry`."""
     spark = docs.sparkSession
     _shared.small_batches(spark)
-    packed, blocks = _shared.packed_blocks(_shared.columns(docs, "doc_id", "text"), rows_per_block)
+    packed, blocks = _shared.packed_blocks(docs, rows_per_block, carry)
     parts = 2 * min(blocks, _shared.partitions(spark))
     k, _ = shape(length)
 
     def prepare(table):
-        ids, texts = _shared.unpack(table)
+        ids, texts, _ = _shared.unpack(table)
         whole, buf, starts = _joined(texts)
         found = anchors(buf, starts, length)
         rank = {i: n for n, i in enumerate(dict.fromkeys(ids))}
@@ -593,6 +597,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
         np.add.at(edge, np.array(begin, np.int64), 1)
         np.add.at(edge, np.array(end, np.int64), -1)
         gone = np.cumsum(edge)[:total] > 0
+        if whole_chars and total:
+            heads = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, heads), np.diff(np.append(heads, total)))
         spans, kept = [], []
         for text, s in zip(texts, starts.tolist(), strict=True):
             mine = gone[s:s + len(text)]
@@ -604,10 +611,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
             spans.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
             kept.append(np.frombuffer(text, np.uint8)[~mine].tobytes())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array([None if i == _shared.NO_ID else i for i in ids], pa.int64()),
-                         "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
-                         "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
-
+        out = {"doc_id": pa.array([None if i == _shared.NO_ID else i for i in ids], pa.int64()),
+               "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+               "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())}
+        if carry:
+            out["carry"] = table.column("carry").take(pa.array(_shared.unpack(table)[2]))
+        return pa.table(out)
+
+    # every step reads the same exchange of packed texts
     by_block = lambda *replies: packed.groupBy("block").cogroup(
         reduce(DataFrame.unionByName, replies).groupBy("block"))
     answer = lambda sent, f, step: sent.groupBy("part").applyInArrow(
@@ -617,8 +628,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
     second = answer(by_block(first).applyInArrow(send_contexts, "block int, part int, n int, data binary"), answer_contexts, 2)
     third = answer(by_block(first, second).applyInArrow(send_suffixes, "block int, part int, run binary"),
                    lambda table: answer_windows(table, length), 3)
-    return by_block(first, second, third).applyInArrow(
-        apply, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+                           T.StructField("kept", T.BinaryType()), *[f for f in packed.schema.fields if f.name == "carry"]])
+    return by_block(first, second, third).applyInArrow(apply, schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:
