@@ -30,35 +30,40 @@ class Block:
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        self.lists = np.argsort(-self.values, axis=0, kind="stable").T  # one row a component, largest first
-
-    def top(self, q_id: int, q: np.ndarray, k: int, step: int = 64):
-        """(ids, scores) of the k best, and how deep the lists were read."""
-        n, d = self.values.shape
-        own = self.ids == q_id
-        parts = self.values * q  # a list's entries times the query's component, as they are read
-        reversed_ = q < 0
-        worst, best = parts.min(0).astype(np.float64), parts.max(0).astype(np.float64)
-        unread = np.ones((n, d))
-        known = np.zeros(n)
-        dims = np.arange(d)
-        alive = np.flatnonzero(~own)
-        depth, current = 0, best
-        while depth < n and len(alive) > 2 * k:
-            to = min(n, depth + step)
-            rows = np.where(reversed_[:, None], self.lists[:, ::-1][:, depth:to], self.lists[:, depth:to])
-            flat, column = rows.ravel(), np.repeat(dims, to - depth)
-            known += np.bincount(flat, weights=parts[flat, column], minlength=n)
-            unread[flat, column] = 0
-            current = parts[rows[:, -1], dims].astype(np.float64)
-            depth = to
-            low = known[alive] + unread[alive] @ worst
-            high = known[alive] + unread[alive] @ current
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            alive = alive[high >= bar]
-        exact = self.values[alive] @ q
-        first = np.lexsort((self.ids[alive], -exact))[:k]
-        return self.ids[alive][first], exact[first], depth
+        lists = np.argsort(-self.values, axis=0, kind="stable")
+        self.real = self.values.astype(np.float64)
+        self.sorted = np.take_along_axis(self.real, lists, 0)
+        self.place = np.empty_like(lists)  # of each row in each list, from the largest
+        np.put_along_axis(self.place, lists, np.broadcast_to(np.arange(len(ids))[:, None], lists.shape), 0)
+
+    def tops(self, q_ids: np.ndarray, queries: np.ndarray, k: int):
+        """For each query (ids, scores, depth): the k best, and how deep its lists were read.
+
+        Queries read in step: a list from its largest entry where the query's component is positive,
+        else from its smallest. What a depth has shown of every row is a masked product."""
+        n = len(self.ids)
+        out: list = [None] * len(q_ids)
+        left, depth = np.arange(len(q_ids)), 0
+        while len(left):
+            depth = min(n, max(4 * k, depth + depth // 3))
+            up, down = np.maximum(queries[left], 0).astype(np.float64), np.minimum(queries[left], 0).astype(np.float64)
+            top, bottom = self.place < depth, self.place >= n - depth
+            known = (self.real * top) @ up.T + (self.real * bottom) @ down.T
+            unread = lambda x, y: ~top @ (up * x).T + ~bottom @ (down * y).T
+            low = known + unread(self.sorted[-1], self.sorted[0])
+            high = known + unread(self.sorted[depth - 1], self.sorted[n - depth])
+            own = self.ids[:, None] == q_ids[left][None, :]
+            low[own], high[own] = -np.inf, -np.inf
+            bar = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(left), -np.inf)
+            alive = (high >= bar) & ~own
+            stop = (alive.sum(0) <= 2 * k) | (depth >= n)
+            for x in np.flatnonzero(stop):
+                rows = np.flatnonzero(alive[:, x])
+                exact = self.values[rows] @ queries[left[x]]
+                first = np.lexsort((self.ids[rows], -exact))[:k]
+                out[left[x]] = (self.ids[rows][first], exact[first], depth)
+            left = left[~stop]
+        return out
 
 
 def integers(vectors: DataFrame, scale: int) -> DataFrame:
@@ -103,8 +108,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
         if asks.num_rows and table.num_rows:
             matrix = lambda t: np.frombuffer(b"".join(t.column("ints").to_pylist()), np.int64).reshape(t.num_rows, -1)
             block = Block(table.column("vec_id").to_numpy(), matrix(table))
-            for q_id, q in zip(asks.column("vec_id").to_pylist(), matrix(asks), strict=True):
-                ids, scores, _ = block.top(q_id, q, k)
+            q_ids, queries = asks.column("vec_id").to_numpy(), matrix(asks)
+            for q_id, q, (ids, scores, _) in zip(q_ids.tolist(), queries, block.tops(q_ids, queries, k), strict=True):
                 out[0] += [q_id] * len(ids)
                 out[1] += [q.tobytes()] * len(ids)
                 out[2] += ids.tolist()

@@ -11,11 +11,10 @@ def test_reading_stops_early_and_is_exact():
     ids = r.permutation(2000).astype(np.int64)
     block = Block(ids, values)
     depths = []
-    for t in range(30):
-        q = np.rint(r.normal(size=3) * 1000).astype(np.int64)
-        got_ids, got, depth = block.top(int(ids[t]), q, 10)
+    queries = np.rint(r.normal(size=(30, 3)) * 1000).astype(np.int64)
+    for t, (got_ids, got, depth) in enumerate(block.tops(ids[:30], queries, 10)):
         depths.append(depth)
-        want = sorted((-int(v @ q), int(i)) for i, v in zip(ids, values) if i != ids[t])[:10]
+        want = sorted((-int(v @ queries[t]), int(i)) for i, v in zip(ids, values) if i != ids[t])[:10]
         assert [(-int(s), int(i)) for s, i in zip(got, got_ids)] == want
     assert np.median(depths) < 1000
 
