@@ -44,6 +44,7 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts may be very long, so Arrow batches hold few rows."""
+    module_path(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -61,31 +62,40 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Smallest reachable id per vertex of an edge table (a, b): alternating large-star and
-    small-star rounds, each a pair of shuffles over at most the edges, O(log n) rounds in practice.
+    small-star rounds over at most the edges, O(log n) rounds in practice. A vertex of very many
+    edges is no group of one task: minima are partial sums, and the joins are ones that can be split.
 
     Returns (id, component_id) for vertices with at least one edge."""
-    both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = None
     while True:
-        # large star: every larger neighbour of u links to the smallest of u's neighbourhood
-        pairs = both(edges)
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = pairs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # small star: every smaller neighbour of u, and u itself, links to the smallest of them
+        # large star: the larger neighbours of u, and u itself, link to the smallest of u's neighbourhood
+        both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
+                                              F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(least.where("m < u").withColumnRenamed("u", "b"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        # small star: u's smaller neighbours, and u itself, link to the smallest of them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            down.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = cut(small, label)
-        changed = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        small = large.join(down, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        edges = cut(small.where("a <> b").distinct(), label)
+        # equal tables have equal sums; a star forest stays as it is
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.hash("b", "a").cast("long"))).first())
+        if now == seen:
             break
+        seen = now
     roots = edges.select(F.col("a").alias("id"), F.col("b").alias("component_id"))
     return roots.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct())
 
 
+def module_path(spark: SparkSession) -> None:
+    """Python workers import this package; they find it where the driver did, unless their path has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def packed_blocks(docs: DataFrame, rows_per_block: int, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """(row_id, block, z) hash-partitioned by block: the whole texts, zstd-compressed, dealt to
     blocks of about rows_per_block rows by a hash of the id.
