@@ -1,4 +1,315 @@
-"""Named queries of the engine and the SQL that gives the same rows."""
+"""Named queries over the driver's tables, keyed by operator id, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from graphloom.functions import columns as C
+from graphloom.operators import graph, ingest, records, retrieval
+from graphloom.plans.driver_tables import PRELUDE, Project
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, prelude: bool = True):
+    def add(build: Callable[[Project], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(Project(spark, sf_dir))
+        if sql is not None:
+            ORACLE[name] = PRELUDE + sql if prelude else sql
+        return build
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+NOW = 1_706_745_600_000  # 2024-02-01, after the last event
+
+# scans, filters, projections
+
+query("cy01_node_scan", "SELECT id, label FROM entity")(lambda p: p.entity.select("id", "label"))
+query("cy02_key_lookup", "SELECT id, title, status FROM document WHERE id = '7'")(lambda p: p.document.where("id = '7'").select("id", "title", "status"))
+query("cy03_single_hop", "SELECT c.id, d.title FROM chunk c JOIN document d ON d.id = c.doc_id WHERE d.source = 'src1'")(
+    lambda p: p.chunk.join(p.document.where("source = 'src1'").select(F.col("id").alias("doc_id"), "title"), "doc_id").select("id", "title"))
+query("cy04_two_hops", "SELECT m.entity_id, d.id AS doc_id, count(*) AS n FROM mentions m JOIN chunk c ON c.id = m.chunk_id JOIN document d ON d.id = c.doc_id GROUP BY 1, 2")(
+    lambda p: p.mentions.join(p.chunk.select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id").groupBy("entity_id", "doc_id").agg(F.count("*").alias("n")))
+query("cy05_undirected", "SELECT x, count(*) AS degree, sum(weight)::BIGINT AS weight FROM both_ways GROUP BY 1")(
+    lambda p: graph.both_ways(p.related).groupBy("x").agg(F.count("*").alias("degree"), F.sum("weight").alias("weight")))
+query("cy06_co_mention", "SELECT a, b, weight FROM related WHERE weight >= 3")(lambda p: p.related.where("weight >= 3"))
+query("cy07_relation_scan", "SELECT count(*) AS mentions, count(DISTINCT entity_id) AS entities FROM mentions")(
+    lambda p: p.mentions.agg(F.count("*").alias("mentions"), F.count_distinct("entity_id").alias("entities")))
+query("cy08_optional_match", "SELECT c.id, count(m.entity_id) AS n FROM chunk c LEFT JOIN mentions m ON m.chunk_id = c.id GROUP BY 1")(
+    lambda p: p.chunk.select("id").join(p.mentions.select(F.col("chunk_id").alias("id"), "entity_id"), "id", "left").groupBy("id").agg(F.count("entity_id").alias("n")))
+query("cy09_where", "SELECT id FROM document WHERE (status = 'PUBLISHED' AND source IN ('src1', 'src2')) OR NOT (updated_at < 900)")(
+    lambda p: p.document.where(((F.col("status") == "PUBLISHED") & F.col("source").isin("src1", "src2")) | ~(F.col("updated_at") < 900)).select("id"))
+query("cy10_exists", "SELECT id FROM entity e WHERE EXISTS (SELECT 1 FROM mentions m JOIN chunk c ON c.id = m.chunk_id WHERE m.entity_id = e.id AND c.page = 1)")(
+    lambda p: p.entity.join(p.mentions.join(p.chunk.where("page = 1").select(F.col("id").alias("chunk_id")), "chunk_id").select(F.col("entity_id").alias("id")), "id", "left_semi").select("id"))
+query("cy11_count_subquery", "SELECT e.id, (SELECT count(*) FROM both_ways b WHERE b.x = e.id) AS n FROM entity e")(
+    lambda p: p.entity.select("id").join(graph.both_ways(p.related).groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n")), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")))
+query("cy12_unwind_parameters", "SELECT u.k, d.id FROM (VALUES (1, 'src1'), (2, 'src2')) u(k, s) JOIN document d ON d.source = u.s")(
+    lambda p: F.broadcast(p.spark.createDataFrame([(1, "src1"), (2, "src2")], "k int, source string")).join(p.document, "source").select("k", "id"))
+query("cy13_unwind_column", "SELECT id, unnest(tags) AS tag FROM document")(lambda p: p.document.select("id", F.explode("tags").alias("tag")))
+query("cy14_unwind_range", "SELECT range AS n FROM range(0, 11)", False)(lambda p: p.spark.range(11).select(F.col("id").alias("n")))
+query("cy15_with_break", "SELECT id, n FROM (SELECT doc_id AS id, count(*) AS n FROM chunk GROUP BY 1 ORDER BY n DESC, id LIMIT 20) WHERE n > 2")(
+    lambda p: p.chunk.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(20).where("n > 2"))
+query("cy16_implicit_group", "SELECT status, source, count(*) AS n FROM document GROUP BY 1, 2")(lambda p: p.document.groupBy("status", "source").agg(F.count("*").alias("n")))
+query("cy17_order", "SELECT id, row_number() OVER (ORDER BY source DESC, id) AS place FROM document ORDER BY source DESC, id LIMIT 50")(
+    lambda p: p.document.orderBy(F.desc("source"), "id").limit(50).select("id", F.row_number().over(Window.orderBy(F.desc("source"), "id")).alias("place")))
+query("cy18_skip_limit", "SELECT id FROM document ORDER BY updated_at DESC LIMIT 20 OFFSET 40")(lambda p: p.document.orderBy(F.desc("updated_at")).offset(40).limit(20).select("id"))
+query("cy19_counts", "SELECT count(*) AS n, count(page) AS pages, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, nullif(page, 0) AS page FROM chunk)")(
+    lambda p: p.chunk.withColumn("page", F.nullif(F.col("page"), F.lit(0))).agg(F.count("*").alias("n"), F.count("page").alias("pages"), F.count_distinct("doc_id").alias("docs")))
+query("cy20_sums", "SELECT doc_id, sum(length(text))::BIGINT AS chars, count_if(page = 1) AS first_page FROM chunk GROUP BY 1")(
+    lambda p: p.chunk.groupBy("doc_id").agg(F.sum(F.char_length("text")).alias("chars"), F.count_if(F.col("page") == 1).alias("first_page")))
+query("cy21_collect", "SELECT chunk_id, string_agg(entity_id, ',' ORDER BY entity_id) AS entities FROM mentions GROUP BY 1")(
+    lambda p: p.mentions.groupBy("chunk_id").agg(F.array_join(F.sort_array(F.collect_list("entity_id")), ",").alias("entities")))
+query("cy22_distinct", "SELECT DISTINCT source, status FROM document")(lambda p: p.document.select("source", "status").distinct())
+query("cy23_case", "SELECT id, CASE WHEN page = 0 THEN 'none' WHEN page < 3 THEN 'front' ELSE 'back' END AS place FROM chunk")(
+    lambda p: p.chunk.select("id", F.when(F.col("page") == 0, "none").when(F.col("page") < 3, "front").otherwise("back").alias("place")))
+query("cy24_coalesce", "SELECT id, coalesce(nullif(page, 0), -1) AS page FROM chunk")(lambda p: p.chunk.select("id", F.coalesce(F.nullif(F.col("page"), F.lit(0)), F.lit(-1)).alias("page")))
+query("cy25_case_functions", "SELECT id, lower(name) AS low, upper(name) AS up FROM entity")(lambda p: p.entity.select("id", F.lower("name").alias("low"), F.upper("name").alias("up")))
+query("cy26_string_predicates", "SELECT id, name || '!' AS loud FROM entity WHERE contains(name, 'th') AND starts_with(name, 'S')")(
+    lambda p: p.entity.where(F.col("name").contains("th") & F.col("name").startswith("S")).select("id", F.concat("name", F.lit("!")).alias("loud")))
+query("cy27_list_predicates", "SELECT id, len(tags) AS n FROM document WHERE list_contains(tags, 'fr') OR list_has_any(tags, ['src3', 'src4'])")(
+    lambda p: p.document.where(F.array_contains("tags", "fr") | F.exists("tags", lambda t: t.isin("src3", "src4"))).select("id", F.size("tags").alias("n")))
+query("cy28_cast", "SELECT CAST(vec_id AS VARCHAR) AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings", False)(
+    lambda p: p.raw("embeddings").select(F.col("vec_id").cast("string").alias("id"), r6(F.get("embedding", F.lit(0)).cast("double"), "first")))
+query("cy29_timestamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00'", False)(
+    lambda p: p.raw("events").where(F.col("ts") >= F.to_timestamp(F.lit("2024-01-20 00:00:00"))).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at")))
+
+
+def _query_vector(p: Project) -> list[float]:
+    """The vector of id 0: the question of the vector queries."""
+    return [float(x) for x in p.raw("embeddings").where("vec_id = 0").first().embedding]
+
+
+COS = """(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))
+  * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))))"""
+query("cy30_cosine", f"SELECT e.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q", False)(
+    lambda p: p.vectors.select("id", r6(C.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(p)))), "similarity")))
+query("cy31_vector_index", f"SELECT e.vec_id AS id, round(1 - {COS}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {COS} DESC, id LIMIT 10", False)(
+    lambda p: retrieval.nearest(p.vectors, _query_vector(p), 10).select("id", r6(1 - F.col("similarity"), "distance")))
+query("cy36_merge", "SELECT a, b, sum(w)::BIGINT AS weight FROM (SELECT a, b, weight AS w FROM related UNION ALL SELECT a, b, 1 FROM related WHERE weight > 2) GROUP BY 1, 2 HAVING sum(w) > 1")(
+    lambda p: ingest.merged_weights(p.related, p.related.where("weight > 2").withColumn("weight", F.lit(1).cast("long"))).where("weight > 1"))
+query("cy37_set", "SELECT id, CASE WHEN id IN ('1', '2') THEN 'New ' || id ELSE title END AS title, CASE WHEN id IN ('1', '2') THEN 99999 ELSE updated_at END AS updated_at FROM document")(
+    lambda p: ingest.patched(p.document, p.spark.createDataFrame([("1", "New 1"), ("2", "New 2")], "id string, title string"), F.lit(99999)).select("id", "title", "updated_at"))
+query("cy38_delete", "SELECT c.id FROM chunk c JOIN document d ON d.id = c.doc_id WHERE d.source <> 'src2'")(
+    lambda p: ingest.deleted({"document": p.document, "chunk": p.chunk, "mentions": p.mentions, "entity": p.entity}, p.document.where("source = 'src2'").select("id"), prune=False)["chunk"].select("id"))
+
+# filters and projections
+
+query("flt01_visibility", "SELECT id FROM document WHERE status = 'PUBLISHED' AND list_has_any(tags, ['fr', 'src1'])")(lambda p: p.document.where(graph.visible(False, ["fr", "src1"])).select("id"))
+query("flt02_document_list", "SELECT d.id, d.title FROM document d WHERE contains(lower(d.title), 'th') AND d.status = 'PUBLISHED' AND list_contains(d.tags, 'en')")(
+    lambda p: graph.list_documents(p.document, p.chunk, p.mentions, "TH", "published", "en").select("id", "title"))
+query("flt03_entity_list", "SELECT e.id, c.published AS n FROM entity e JOIN counts c ON c.entity_id = e.id WHERE contains(lower(e.name), 'the') AND e.label = 'BODY' AND c.published > 0 ORDER BY n DESC, e.name, e.id LIMIT 1000")(
+    lambda p: graph.list_entities(p.entity, p.counts, "the", "BODY").select("id", "n"))
+query("flt06_history", f"SELECT event_id FROM calls WHERE calls.at >= {NOW} - 400 * 3600000 AND channel = 'api' AND NOT ok")(
+    lambda p: records.calls_since(p.calls, NOW, 400, "api", errors=True).select("event_id"))
+STOP = "('the', 'this', 'that', 'these', 'those')"
+query("flt07_noise", f"SELECT DISTINCT surface FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+ ?[A-Za-z]+')) AS surface FROM chunk) WHERE NOT (lower(surface) IN {STOP} OR (NOT contains(surface, ' ') AND NOT regexp_matches(surface, '[A-Z0-9]')))")(
+    lambda p: p.chunk.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+ ?[A-Za-z]+"), F.lit(0))).alias("surface")).where(~C.is_noise(F.col("surface"), ("the", "this", "that", "these", "those"))).distinct())
+query("flt08_clean_name", r"SELECT id, CASE WHEN length(b) >= 2 THEN b END AS name FROM (SELECT id, regexp_replace(regexp_replace(trim(regexp_replace(title, '\s+', ' ', 'g')), '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS b FROM document WHERE title NOT LIKE '%(%')")(
+    lambda p: p.document.where("title not like '%(%'").select("id", C.clean_name(F.col("title")).alias("name")))
+query("flt09_tags", "SELECT id, lang || '|' || source AS tags FROM (SELECT id, tags[1] AS lang, tags[2] AS source FROM document)")(
+    lambda p: p.document.select("id", F.array_join(C.normal_tags(F.array(F.get("tags", F.lit(0)), F.lit("  "), F.upper(F.get("tags", F.lit(0))), F.concat(F.lit(" "), F.get("tags", F.lit(1))))), "|").alias("tags")))
+query("flt11_project_id", "SELECT DISTINCT source, regexp_full_match(source, '[a-z0-9][a-z0-9_-]{0,63}') AS ok FROM documents", False)(
+    lambda p: p.raw("documents").select("source", F.col("source").rlike("^[a-z0-9][a-z0-9_-]{0,63}$").alias("ok")).distinct())
+query("flt12_image_name", "SELECT page_id, regexp_full_match(substr(md5(url), 1, 16) || '.png', '[0-9a-f]{16}\\.(png|jpg|gif|webp)') AS ok FROM pages".replace("\\\\", "\\"), False)(
+    lambda p: p.raw("pages").select("page_id", F.concat(F.substring(F.md5("url"), 1, 16), F.lit(".png")).rlike(r"^[0-9a-f]{16}\.(png|jpg|gif|webp)$").alias("ok")))
+query("flt16_conversations", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(contains(lower(text), 'the'))", False)(
+    lambda p: p.raw("conversations").groupBy("conv_id").agg(F.bool_or(F.contains(F.lower("text"), F.lit("the"))).alias("hit")).where("hit").select("conv_id"))
+query("prj01_summary", "SELECT id, title, status, CAST(updated_at AS VARCHAR) AS updated FROM document")(lambda p: p.document.select("id", "title", "status", F.col("updated_at").cast("string").alias("updated")))
+query("prj02_passages", "SELECT c.id, nullif(c.page, 0) AS page, coalesce(string_agg(DISTINCT e.name, ',' ORDER BY e.name), '') AS entities FROM (SELECT * FROM chunk WHERE doc_id = '3' ORDER BY idx LIMIT 5) c LEFT JOIN mentions m ON m.chunk_id = c.id LEFT JOIN entity e ON e.id = m.entity_id GROUP BY 1, 2")(
+    lambda p: graph.passages(p.chunk, p.mentions, p.entity, "3", 0, 5).select("id", "page", F.array_join("entities", ",").alias("entities")))
+query("prj03_metadata", "SELECT event_id, json_extract_string(props, '$.page') AS page FROM events", False)(lambda p: p.raw("events").select("event_id", F.get_json_object("props", "$.page").alias("page")))
+
+# joins, aggregates
+
+query("jn05_theta_self_join", "SELECT a, b, weight FROM related WHERE a LIKE 'head:%' AND b LIKE 'head:%'")(lambda p: p.related.where("a like 'head:%' and b like 'head:%'"))
+query("jn06_relation_passages", "SELECT chunk_id FROM mentions WHERE entity_id = (SELECT a FROM related ORDER BY weight DESC, a, b LIMIT 1) INTERSECT SELECT chunk_id FROM mentions WHERE entity_id = (SELECT b FROM related ORDER BY weight DESC, a, b LIMIT 1)")(
+    lambda p: (lambda top: graph.relation(p.mentions, p.chunk, top.a, top.b, 1_000_000).select(F.col("id").alias("chunk_id")))(p.related.orderBy(F.desc("weight"), "a", "b").first()))
+query("jn08_orphans", "SELECT c.id FROM chunk c WHERE NOT EXISTS (SELECT 1 FROM document d WHERE d.id = c.doc_id AND d.status = 'PUBLISHED')")(
+    lambda p: graph.orphan_chunks(p.chunk, p.document.where("status = 'PUBLISHED'")).select("id"))
+query("jn09_edges_among", "SELECT a, b, weight FROM related WHERE a IN (SELECT id FROM entity WHERE label = 'HEAD') AND b IN (SELECT id FROM entity WHERE label = 'HEAD')")(
+    lambda p: graph.edges_among(p.related, p.entity.where("label = 'HEAD'").select("id")))
+query("jn12_read_window", """, wanted AS (SELECT id, doc_id, idx FROM chunk WHERE idx IN (2, 4, 9)),
+near AS (SELECT DISTINCT c.doc_id, c.idx, c.id FROM chunk c JOIN wanted w ON w.doc_id = c.doc_id AND c.idx BETWEEN w.idx - 1 AND w.idx + 1),
+mark AS (SELECT *, CASE WHEN coalesce(idx - lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) > 1, true) THEN 1 ELSE 0 END AS new FROM near)
+SELECT doc_id, idx, id, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY idx) AS BIGINT) AS range, id IN (SELECT id FROM wanted) AS asked FROM mark""")(
+    lambda p: records.read_window(p.chunk, p.chunk.where("idx in (2, 4, 9)").select("id"), 1).select("doc_id", "idx", "id", "range", "asked"))
+query("jn13_text_reuse", "SELECT c.id, (SELECT min(b.id) FROM chunk b WHERE b.text = c.text AND b.doc_id < '5') AS previous_id FROM chunk c WHERE c.doc_id >= '5'")(
+    lambda p: ingest.reusable(p.chunk.where("doc_id >= '5'"), p.chunk.where("doc_id < '5'")).select("id", "previous_id"))
+query("jn14_known_entity", "SELECT lower(name) AS key, arg_min(id, (-total, id)) AS id FROM entity JOIN counts ON entity_id = id GROUP BY 1")(
+    lambda p: p.entity.join(p.counts.withColumnRenamed("entity_id", "id"), "id").groupBy(F.lower("name").alias("key")).agg(F.min_by("id", F.struct(-F.col("total"), F.col("id"))).alias("id")))
+query("jn16_watch_diff", """SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added'
+  WHEN n.size = o.size AND n.mtime_s = o.mtime_s AND coalesce(n.path, o.path) IN (SELECT 'f' || doc_id FROM documents WHERE doc_id % 7 <> 0) THEN 'unchanged' ELSE 'changed' END AS change
+FROM (SELECT 'f' || doc_id AS path, n_chars AS size, doc_id * 10 AS mtime_s FROM documents WHERE doc_id % 5 <> 0) n FULL JOIN
+  (SELECT 'f' || doc_id AS path, n_chars + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS size, doc_id * 10 AS mtime_s FROM documents WHERE doc_id % 4 <> 0) o USING (path)""", False)(
+    lambda p: (lambda d: records.folder_changes(
+        d.where("doc_id % 5 <> 0").selectExpr("concat('f', doc_id) path", "n_chars size", "doc_id * 10 mtime_s"),
+        d.where("doc_id % 4 <> 0").selectExpr("concat('f', doc_id) path", "n_chars + if(doc_id % 3 = 0, 1, 0) size", "doc_id * 10 mtime_s"),
+        d.where("doc_id % 7 <> 0").selectExpr("concat('f', doc_id) path")))(p.raw("documents")))
+query("agg01_statistics", """SELECT (SELECT count(*) FROM document) AS documents, (SELECT count(*) FROM document WHERE status = 'PUBLISHED') AS published,
+  (SELECT count(*) FROM document WHERE status <> 'PUBLISHED') AS not_published, (SELECT count(*) FROM chunk) AS chunks, (SELECT count(*) FROM entity) AS entities,
+  (SELECT count(*) FROM mentions) AS mentions, (SELECT count(*) FROM related) AS relations""")(lambda p: graph.statistics(p.document, p.chunk, p.entity, p.mentions, p.related))
+query("agg01_labels", "SELECT label, count(*) AS n FROM entity GROUP BY 1")(lambda p: graph.label_counts(p.entity))
+query("agg02_agg03_document_counts", """SELECT d.id, count(DISTINCT c.id) AS chunks, count(DISTINCT m.entity_id) AS entities FROM document d LEFT JOIN chunk c ON c.doc_id = d.id
+  LEFT JOIN mentions m ON m.chunk_id = c.id GROUP BY 1""")(lambda p: graph.list_documents(p.document, p.chunk, p.mentions).select("id", "chunks", "entities"))
+query("agg04_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM document) GROUP BY 1")(lambda p: graph.tag_counts(p.document))
+query("agg05_mention_counts", "SELECT * FROM counts")(lambda p: p.counts)
+query("agg06_entity_documents", """SELECT c.doc_id, count(*) AS passages, array_to_string(list_sort(list_distinct(list(c.page) FILTER (c.page > 0)))[1:12], ',') AS pages
+  FROM mentions m JOIN chunk c ON c.id = m.chunk_id WHERE m.entity_id = (SELECT entity_id FROM counts ORDER BY total DESC, entity_id LIMIT 1) GROUP BY 1""")(
+    lambda p: graph.entity_documents(p.mentions, p.chunk, p.document, p.counts.orderBy(F.desc("total"), "entity_id").first().entity_id).select(
+        "doc_id", "passages", F.when(F.size("pages") > 0, F.array_join(F.col("pages").cast("array<string>"), ",")).alias("pages")))
+query("agg07_related", "SELECT * FROM related")(lambda p: p.related)
+query("agg08_decrement", """SELECT a, b, weight FROM (SELECT r.a, r.b, r.weight - coalesce(x.w, 0) AS weight FROM related r LEFT JOIN
+  (SELECT m.entity_id AS a, n.entity_id AS b, count(*) AS w FROM mentions m JOIN mentions n ON m.chunk_id = n.chunk_id AND m.entity_id < n.entity_id JOIN chunk c ON c.id = m.chunk_id
+   WHERE c.doc_id < '3' GROUP BY 1, 2) x USING (a, b)) WHERE weight > 0""")(
+    lambda p: ingest.deleted({"document": p.document, "chunk": p.chunk, "mentions": p.mentions, "entity": p.entity}, p.document.where("id < '3'").select("id"))["related"])
+query("agg09_document_graph", """SELECT a.entity_id AS a, b.entity_id AS b, count(DISTINCT a.chunk_id) AS weight FROM mentions a JOIN mentions b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id
+  JOIN chunk c ON c.id = a.chunk_id WHERE c.doc_id = '3' GROUP BY 1, 2""")(lambda p: graph.document_graph(p.mentions, p.chunk, "3")[1])
+query("agg10_graph_rank", """SELECT m.chunk_id AS id, round(sum(1.0 / (1 + length(e.name))), 6) AS graph FROM mentions m JOIN entity e ON e.id = m.entity_id JOIN chunk c ON c.id = m.chunk_id
+  JOIN document d ON d.id = c.doc_id WHERE e.label = 'HEAD' AND d.status = 'PUBLISHED' GROUP BY 1 ORDER BY round(sum(1.0 / (1 + length(e.name))), 6) DESC, 1 LIMIT 20""")(
+    lambda p: p.mentions.join(p.entity.where("label = 'HEAD'").select(F.col("id").alias("entity_id"), (1.0 / (1 + F.char_length("name"))).alias("w")), "entity_id")
+    .join(p.chunk.select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id").join(p.document.where(graph.visible()).select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    .groupBy(F.col("chunk_id").alias("id")).agg(r6(F.sum("w"), "graph")).orderBy(F.desc("graph"), "id").limit(20))
+query("agg11_strength", "SELECT r.a, r.b, round(r.weight / greatest(x.total + y.total - r.weight, r.weight, 1), 6) AS strength FROM related r JOIN counts x ON x.entity_id = r.a JOIN counts y ON y.entity_id = r.b")(
+    lambda p: graph.edge_strengths(p.related, p.counts).select("a", "b", r6(F.col("strength"), "strength")))
+query("agg12_label_vote", "SELECT key, label FROM vote")(lambda p: ingest.label_votes(p.raw_mentions))
+query("agg13_best_mention", "SELECT chunk_id, lower(surface) AS key, round(max(score), 6) AS score FROM mention_row GROUP BY 1, 2")(
+    lambda p: p.raw_mentions.groupBy("chunk_id", F.lower("surface").alias("key")).agg(r6(F.max("score"), "score")))
+query("agg14_history_totals", "SELECT count(*) AS calls, sum(context_tokens)::BIGINT AS tokens, list_sort(list(duration_ms))[count(*) // 2 + 1] AS median_ms, count_if(NOT ok) AS errors FROM calls WHERE calls.at >= " + str(NOW - 2160 * 3_600_000))(
+    lambda p: records.totals(records.calls_since(p.calls, NOW, 2160)))
+query("agg15_history_series", f"""SELECT CAST(r.range AS BIGINT) AS bucket, {NOW - 30 * 24 * 3_600_000} + r.range * 86400000 AS start, count(c.event_id) AS calls,
+  coalesce(sum(c.context_tokens) FILTER (c.channel = 'mcp'), 0)::BIGINT AS main_tokens, coalesce(sum(c.context_tokens) FILTER (c.channel <> 'mcp'), 0)::BIGINT AS other_tokens
+  FROM range(0, 30) r LEFT JOIN calls c ON c.at >= {NOW - 720 * 3_600_000} AND least(greatest((c.at - {NOW - 720 * 3_600_000}) // 86400000, 0), 29) = r.range GROUP BY 1, 2""")(
+    lambda p: records.series(p.calls, NOW, 720))
+query("agg20_image_repeats", "SELECT doc_id, n FROM (SELECT l_orderkey % 50 AS doc_id, l_linenumber + l_orderkey * 10 AS n, count(*) OVER (PARTITION BY l_orderkey % 50, l_partkey % 97) AS seen, l_quantity * 100 AS size, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_linenumber + l_orderkey * 10) FROM lineitem WHERE l_quantity * 100 >= 2048) WHERE seen < 4 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 300", False)(
+    lambda p: ingest.kept_images(p.raw("lineitem").selectExpr("l_orderkey % 50 doc_id", "l_linenumber + l_orderkey * 10 n", "l_partkey % 97 hash", "l_quantity * 100 size")).select("doc_id", "n"))
+query("agg21_bm25_statistics", r"""SELECT count(*) AS n, round(avg(l), 6) AS mean FROM (SELECT len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) AS l FROM chunk)""")(
+    lambda p: retrieval.postings(p.chunk)[1].agg(F.count("*").alias("n"), r6(F.avg("length"), "mean")))
+
+# ordered operators, limits, sets
+
+query("win01_next", "SELECT id, next_id FROM (SELECT id, lead(id) OVER (PARTITION BY doc_id ORDER BY idx) AS next_id FROM chunk) WHERE next_id IS NOT NULL")(lambda p: graph.next_chain(p.chunk))
+query("win03_first_seen", "SELECT text, id FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id, idx) AS r FROM chunk) WHERE r = 1")(
+    lambda p: p.chunk.withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("doc_id", "idx"))).where("r = 1").select("text", "id"))
+
+
+@query("win06_near_duplicates")
+def _near_duplicates(p: Project) -> DataFrame:
+    ranked = p.vectors.where("id < 300").select((F.col("id") % 3).alias("query_id"), F.floor(F.col("id") / 3).alias("rank"), "id", "embedding")
+    return retrieval.without_near_duplicates(ranked, 20, 0.35).select("query_id", "id", "place")
+
+
+@query("win07_question_leaders")
+def _leaders(p: Project) -> DataFrame:
+    return records.question_leaders(p.vectors.where("id < 400").select((F.col("id") % 4).cast("string").alias("project"), F.col("id").alias("seq"), "embedding"), 0.35)
+
+
+query("top01_candidates", f"""SELECT id, round(s, 6) AS similarity FROM (SELECT p.id, p.doc_id, s FROM (SELECT e.id, e.doc_id, {COS} AS s FROM passages e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY s DESC, id LIMIT 64) p
+  JOIN document d ON d.id = p.doc_id WHERE d.status = 'PUBLISHED') ORDER BY s DESC, id LIMIT 16""")(
+    lambda p: retrieval.vector_candidates(p.passages, p.document, _query_vector(p), 8, graph.visible()).select("id", r6(F.col("similarity"), "similarity")))
+query("top03_neighbours", "SELECT y AS id, weight FROM both_ways WHERE x = (SELECT entity_id FROM counts ORDER BY total DESC, entity_id LIMIT 1) ORDER BY weight DESC, y LIMIT 50")(
+    lambda p: graph.neighbours(p.related, p.counts.orderBy(F.desc("total"), "entity_id").first().entity_id))
+query("top08_history_page", "SELECT event_id, calls.at FROM calls ORDER BY calls.at DESC, event_id DESC LIMIT 50 OFFSET 100")(lambda p: records.page(p.calls, 100, 50).select("event_id", "at"))
+query("set03_difference", "SELECT id FROM entity WHERE id NOT IN (SELECT entity_id FROM counts WHERE published > 0)")(
+    lambda p: p.entity.join(p.counts.where("published > 0").select(F.col("entity_id").alias("id")), "id", "left_anti").select("id"))
+query("set04_not_sent", "SELECT id FROM chunk WHERE id NOT IN (SELECT id FROM chunk WHERE idx % 2 = 0)")(lambda p: records.not_sent(p.chunk, p.chunk.where("idx % 2 = 0")).select("id"))
+
+# scalar functions
+
+query("sc08_heading_split", "SELECT id, CASE WHEN contains(title, ' ') THEN split_part(title, ' ', 1) END AS head FROM document")(
+    lambda p: p.document.select("id", F.when(F.col("title").contains(" "), F.split_part("title", F.lit(" "), F.lit(1))).alias("head")))
+query("sc10_clip", "SELECT id, CASE WHEN length(text) > 240 THEN rtrim(substr(text, 1, 240)) || '…' ELSE text END AS short FROM chunk")(lambda p: p.chunk.select("id", C.clip(F.col("text"), 240).alias("short")))
+query("sc11_tokens", "SELECT id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM chunk")(lambda p: p.chunk.select("id", C.token_estimate("text").alias("tokens")))
+query("sc12_question_key", r"SELECT conv_id, turn, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?!.… ]+$', '') AS key FROM conversations WHERE role = 'user'", False)(
+    lambda p: p.raw("conversations").where("role = 'user'").select("conv_id", "turn", C.question_key("text").alias("key")))
+query("sc13_compact", r"SELECT id, CASE WHEN strlen(b) > 3 AND ends_with(b, 's') AND NOT ends_with(b, 'ss') THEN left(b, length(b) - 1) ELSE b END AS compact FROM (SELECT id, regexp_replace(lower(name), '[^\p{L}\p{N}]', '', 'g') AS b FROM entity)")(
+    lambda p: p.entity.select("id", C.compact_name(F.col("name")).alias("compact")))
+query("sc14_entity_id", "SELECT DISTINCT lower(label) || ':' || lower(surface) AS id FROM mention_row")(lambda p: p.raw_mentions.select(C.entity_id(F.col("label"), F.col("surface")).alias("id")).distinct())
+query("sc15_simple_terms", r"SELECT id, array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2), ' ') AS terms FROM chunk")(
+    lambda p: p.chunk.select("id", F.array_join(retrieval.simple_terms(F.col("text")), " ").alias("terms")))
+query("sc17_dot", "SELECT vec_id AS id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm FROM embeddings", False)(
+    lambda p: p.vectors.select("id", r6(C.dot(F.col("embedding"), F.col("embedding")), "norm")))
+query("sc19_sigmoid", "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS p FROM events", False)(lambda p: p.raw("events").select("event_id", r6(C.sigmoid(F.col("value") / 100), "p")))
+query("sc21_slug", "SELECT c_custkey AS id, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer", False)(
+    lambda p: p.raw("customer").select(F.col("c_custkey").alias("id"), C.slug(F.col("c_name")).alias("slug")))
+query("sc22_kind", r"SELECT page_id AS id, CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.html$') OR regexp_matches(url, '^https?://') THEN 'web' ELSE 'other' END AS kind FROM pages", False)(
+    lambda p: p.raw("pages").select(F.col("page_id").alias("id"), C.document_kind(F.col("url")).alias("kind")))
+query("sc23_band", "SELECT event_id, CASE WHEN value / 500 >= 0.86 THEN 'strong' WHEN value / 500 >= 0.82 THEN 'good' ELSE 'weak' END AS band FROM events", False)(
+    lambda p: p.raw("events").select("event_id", C.relevance_band(F.col("value") / 500).alias("band")))
+query("sc25_highlight", r"SELECT id, regexp_replace(text, '\b(the|of)\b', '**\1**', 'gi') AS marked FROM chunk WHERE regexp_full_match(text, '[\x00-\x7f]*')")(
+    lambda p: p.chunk.where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("id", C.highlight(F.col("text"), ["of", "the"]).alias("marked")))
+query("sc31_count_label", "SELECT doc_id, count(*) || ' ' || CASE WHEN count(*) <= 1 THEN 'passage' ELSE 'passages' END AS label FROM chunk GROUP BY 1")(
+    lambda p: p.chunk.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", C.count_label(F.col("n"), "passage", "passages").alias("label")))
+query("sc36_labels", "SELECT event_id, list_filter(list_transform(string_split(event_type || ', ,' || event_id, ','), lambda x: trim(x)), lambda x: x <> '')[2] AS second FROM events", False)(
+    lambda p: p.raw("events").select("event_id", F.get(C.parse_list(F.concat("event_type", F.lit(", ,"), "event_id")), F.lit(1)).alias("second")))
+
+# vectors, graph, keywords, fusion
+
+query("vec02_knn", f"SELECT e.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {COS} DESC, id LIMIT 50", False)(
+    lambda p: retrieval.nearest(p.vectors, _query_vector(p), 50).select("id", r6(F.col("similarity"), "similarity")))
+query("vec02_knn_filtered", f"SELECT e.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY {COS} DESC, id LIMIT 20", False)(
+    lambda p: retrieval.nearest(p.vectors, _query_vector(p), 20, F.col("label") == 3).select("id", r6(F.col("similarity"), "similarity")))
+query("vec02_knn_lsh")(lambda p: retrieval.lsh_nearest(p.vectors, _query_vector(p), 10))
+query("ner03_canonical", "SELECT chunk_id, entity_id, round(score, 6) AS score, surface FROM mentions")(lambda p: p.mentions.select("chunk_id", "entity_id", r6(F.col("score"), "score"), "surface"))
+query("kw01_postings", r"SELECT chunk_id, term, count(*) AS tf FROM (SELECT id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) AS term FROM chunk) GROUP BY 1, 2")(
+    lambda p: retrieval.postings(p.chunk)[0])
+TERMS = ["reation", "oration", "was", "für", "avec"]
+BM25_SQL = r""", post AS (SELECT id AS chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) AS term FROM chunk),
+leng AS (SELECT chunk_id, count(*) AS l FROM post GROUP BY 1), stat AS (SELECT (SELECT count(*) FROM chunk)::DOUBLE AS n, (SELECT count(*) FROM post)::DOUBLE / (SELECT count(*) FROM chunk) AS mean),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM post WHERE term IN ('reation', 'oration', 'was', 'für', 'avec') GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm25 AS (SELECT chunk_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM tf JOIN df USING (term) JOIN leng USING (chunk_id), stat GROUP BY 1)
+"""
+query("kw02_bm25", BM25_SQL + "SELECT chunk_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, chunk_id LIMIT 20")(
+    lambda p: retrieval.bm25_search(*retrieval.postings(p.chunk), TERMS, 20).select("chunk_id", r6(F.col("score"), "score")))
+EXPAND_SQL = """, seed AS (SELECT id, 1.0::DOUBLE AS score FROM entity WHERE lower(name) IN ('the', 'der')),
+near AS (SELECT b.y, s.score, b.weight FROM both_ways b JOIN seed s ON s.id = b.x WHERE b.y NOT IN (SELECT id FROM seed) ORDER BY b.weight DESC, b.x, b.y LIMIT 30),
+grown AS (SELECT id, score, 'query' AS via FROM seed UNION ALL SELECT y, max(0.5::DOUBLE * score * weight / (SELECT max(weight) FROM near)), 'neighbour' FROM near GROUP BY 1)
+"""
+query("grf02_expand", EXPAND_SQL + "SELECT id, round(score, 6) AS score, via FROM grown")(
+    lambda p: retrieval.expand(p.related, retrieval.seeds(p.entity, ["the", "Der"], None)).select("id", r6(F.col("score"), "score"), "via"))
+query("grf04_map", """, top AS (SELECT e.id FROM entity e JOIN counts c ON c.entity_id = e.id WHERE c.published > 0 ORDER BY c.published DESC, e.name, e.id LIMIT 40)
+SELECT a, b, weight FROM related WHERE a IN (FROM top) AND b IN (FROM top)""")(lambda p: graph.edges_among(p.related, graph.list_entities(p.entity, p.counts, limit=40).select("id")))
+query("grf06_neighbourhood", """, hub AS (SELECT entity_id AS id FROM counts ORDER BY total DESC, entity_id LIMIT 1),
+nodes AS (SELECT id FROM hub UNION SELECT y FROM (SELECT y, weight FROM both_ways WHERE x = (SELECT id FROM hub) ORDER BY weight DESC, y LIMIT 25))
+SELECT a, b, weight FROM related WHERE a IN (FROM nodes) AND b IN (FROM nodes)""")(
+    lambda p: graph.neighbourhood(p.related, p.counts.orderBy(F.desc("total"), "entity_id").first().entity_id, 25)[1])
+query("grf08_hidden_labels", "SELECT a, b, weight FROM related WHERE a LIKE 'head:%' AND b LIKE 'head:%'")(lambda p: graph.without_labels(p.entity, p.related, ["BODY"])[1])
+
+# whole queries
+
+HYBRID_SQL = BM25_SQL.replace("FROM chunk)", "FROM passages)").replace("FROM chunk", "FROM passages") + f""", sim AS (SELECT e.id, e.doc_id, {COS} AS s FROM passages e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
+vec AS (SELECT id FROM (SELECT sim.id, s FROM (SELECT * FROM sim ORDER BY s DESC, id LIMIT 64) sim JOIN document d ON d.id = sim.doc_id WHERE d.status = 'PUBLISHED') ORDER BY s DESC, id LIMIT 16),
+kw AS (SELECT chunk_id AS id, score AS k FROM bm25 ORDER BY score DESC, id LIMIT 32), kw_max AS (SELECT max(k) AS top FROM kw),
+cand AS (SELECT id, min(src) AS src FROM (SELECT id, 1 AS src FROM vec UNION ALL (SELECT id, 3 FROM kw ORDER BY k DESC, id LIMIT 16)) GROUP BY 1)
+SELECT row_number() OVER (ORDER BY s + boost DESC, id) AS rank, id, round(s + boost, 6) AS score, src = 3 AS via_keywords FROM (
+  SELECT c.id, c.src, sim.s, 0.04 * coalesce(kw.k / (SELECT top FROM kw_max), 0) AS boost FROM cand c JOIN sim USING (id) JOIN document d ON d.id = sim.doc_id LEFT JOIN kw USING (id) WHERE d.status = 'PUBLISHED')
+WHERE s + boost >= 0.05 ORDER BY 1 LIMIT 8"""
+
+
+@query("qry01_search", HYBRID_SQL)
+def _search(p: Project) -> DataFrame:
+    tables = {"chunk": p.passages, "document": p.document, "entity": p.entity, "mentions": p.mentions.where("false"), "related": p.related.where("false")}
+    found = retrieval.search(tables, _query_vector(p), TERMS, [], k=8, min_score=0.05)
+    return found.select("rank", "id", r6(F.col("score"), "score"), "via_keywords")
+
+
+@query("qry01_search_graph")
+def _search_graph(p: Project) -> DataFrame:
+    tables = {"chunk": p.passages, "document": p.document, "entity": p.entity, "mentions": p.mentions, "related": p.related}
+    return retrieval.search(tables, _query_vector(p), TERMS, ["the", "der"], k=8, min_score=0.05).drop("text")
+
+
+query("qry08_resolve", "SELECT id, name FROM entity JOIN counts ON entity_id = id WHERE lower(name) = 'the' ORDER BY total DESC, id LIMIT 1")(lambda p: graph.resolve(p.entity, p.counts, "THE").select("id", "name"))
+query("qry21_suggestions", """(SELECT 'entity' AS kind, entity_id AS a, NULL AS b FROM counts JOIN entity ON id = entity_id ORDER BY total DESC, name, id LIMIT 1)
+UNION ALL (SELECT 'relation', a, b FROM related WHERE weight >= 3 ORDER BY weight DESC, a, b LIMIT 1)""")(lambda p: graph.suggestions(p.entity, p.counts, p.related))
+query("qry24_delete_entities", "SELECT DISTINCT m.entity_id AS id FROM mentions m JOIN chunk c ON c.id = m.chunk_id WHERE c.doc_id >= '3'")(
+    lambda p: ingest.deleted({"document": p.document, "chunk": p.chunk, "mentions": p.mentions, "entity": p.entity}, p.document.where("id < '3'").select("id"))["entity"].select("id"))

@@ -96,7 +96,7 @@ def file_title(c) -> Column:
 
 def parse_list(c) -> Column:
     """Comma-separated values, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normal_tags(tags) -> Column:
