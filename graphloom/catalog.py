@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom import models
 from graphloom.functions import columns as C
-from graphloom.operators import graph, ingest, records, retrieval
+from graphloom.functions import stem
+from graphloom.operators import console, context, graph, ingest, records, retrieval
 from graphloom.plans.driver_tables import PRELUDE, Project
+from graphloom.sources import documents
+from graphloom.streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -313,3 +317,86 @@ query("qry21_suggestions", """(SELECT 'entity' AS kind, entity_id AS a, NULL AS
 UNION ALL (SELECT 'relation', a, b FROM related WHERE weight >= 3 ORDER BY weight DESC, a, b LIMIT 1)""")(lambda p: graph.suggestions(p.entity, p.counts, p.related))
 query("qry24_delete_entities", "SELECT DISTINCT m.entity_id AS id FROM mentions m JOIN chunk c ON c.id = m.chunk_id WHERE c.doc_id >= '3'")(
     lambda p: ingest.deleted({"document": p.document, "chunk": p.chunk, "mentions": p.mentions, "entity": p.entity}, p.document.where("id < '3'").select("id"))["entity"].select("id"))
+
+
+# evaluation, feedback, sources, models, streams
+
+
+def _eval(p: Project) -> tuple[DataFrame, DataFrame]:
+    """Questions: find the document of each benchmark item's number among ranked lines; every ninth expects nothing."""
+    questions = p.raw("benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), F.struct(
+        F.when(F.col("item_id") % 9 != 0, F.col("item_id").cast("string")).alias("doc"), F.array(F.lit(2)).cast("array<bigint>").alias("pages"),
+        F.array(F.lit("E")).alias("contains"), (F.col("item_id") % 9 == 0).alias("none")).alias("expect"))
+    lines = p.chunk.where("idx < 12").select(F.col("doc_id").alias("id"), (F.col("idx") + 1).alias("place"), "doc_id", "page", "text")
+    return lines.where("cast(id as int) % 9 <> 0 or cast(id as int) % 2 = 1"), questions
+
+
+EVAL_SQL = """, q AS (SELECT CAST(item_id AS VARCHAR) AS id, item_id % 9 = 0 AS none FROM benchmark),
+hits AS (SELECT doc_id AS id, idx + 1 AS place, doc_id = CASE WHEN CAST(doc_id AS INT) % 9 <> 0 THEN doc_id ELSE doc_id END AND abs(page - 2) <= 1 AND contains(lower(text), 'e') AS hit
+  FROM chunk WHERE idx < 12 AND (CAST(doc_id AS INT) % 9 <> 0 OR CAST(doc_id AS INT) % 2 = 1)),
+r AS (SELECT q.id, q.none, min(h.place) FILTER (h.hit) AS rank, count(h.id) AS returned FROM q LEFT JOIN hits h USING (id) GROUP BY 1, 2)
+"""
+query("agg16_eval_ranks", EVAL_SQL + "SELECT id, none, rank, returned FROM r")(lambda p: records.evaluated(*_eval(p)))
+query("agg16_eval_metrics", EVAL_SQL + """, m AS (SELECT count(*) AS questions, avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END) FILTER (NOT none) AS hit_1,
+  avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END) FILTER (NOT none) AS hit_3, avg(CASE WHEN rank <= 8 THEN 1.0 ELSE 0 END) FILTER (NOT none) AS hit_k,
+  avg(coalesce(1.0 / rank, 0)) FILTER (NOT none) AS mrr, avg(CASE WHEN returned = 0 THEN 1.0 ELSE 0 END) FILTER (none) AS rejection FROM r)
+SELECT questions, round(hit_1, 6)::DOUBLE AS hit_1, round(hit_3, 6)::DOUBLE AS hit_3, round(hit_k, 6)::DOUBLE AS hit_k, round(mrr, 6)::DOUBLE AS mrr, round(rejection, 6)::DOUBLE AS rejection,
+  round(coalesce((hit_k + rejection) / 2, hit_k, rejection), 6)::DOUBLE AS overall FROM m""")(
+    lambda p: records.metrics(records.evaluated(*_eval(p))).select("questions", *[r6(F.col(c), c) for c in ("hit_1", "hit_3", "hit_k", "mrr", "rejection", "overall")]))
+query("agg17_best_threshold", "SELECT l_orderkey AS min_score FROM lineitem WHERE l_linenumber = 1 ORDER BY l_discount DESC, l_tax DESC, l_orderkey DESC LIMIT 1", False)(
+    lambda p: records.best_threshold(p.raw("lineitem").where("l_linenumber = 1").selectExpr("l_orderkey min_score", "l_discount overall", "l_tax mrr")).select("min_score"))
+
+
+def _feedback(p: Project) -> DataFrame:
+    """User turns as searches (every third found nothing) and citations."""
+    talk = p.raw("conversations").where("role = 'user'")
+    at = (F.col("conv_id") * 100 + F.col("turn")).alias("at")
+    search = talk.select(F.lit("search").alias("kind"), at, F.col("text").alias("query"), F.lit(None).cast("string").alias("question"),
+                         F.when(F.col("conv_id") % 3 != 0, F.array(F.concat(F.col("conv_id"), F.lit("#0")))).alias("chunks"), (F.col("conv_id") % 10 / 10).alias("best"), F.lit(None).cast("string").alias("outcome"))
+    cite = talk.where("turn < 2").select(F.lit("cite").alias("kind"), at, F.lit(None).cast("string").alias("query"), F.col("text").alias("question"),
+                                         F.array(F.concat(F.col("conv_id"), F.lit("#0"))).alias("chunks"), F.lit(None).cast("double").alias("best"),
+                                         F.element_at(F.array(F.lit("answered"), F.lit("partial"), F.lit("not_found")), (F.col("conv_id") % 3 + 1).cast("int")).alias("outcome"))
+    return search.unionByName(cite)
+
+
+FEEDBACK_SQL = r"""WITH talk AS (SELECT *, conv_id * 100 + turn AS at_ms, regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[?!.… ]+$', '') AS qkey FROM conversations WHERE role = 'user'),
+cited AS (SELECT qkey, text, at_ms, ['answered', 'partial', 'not_found'][conv_id % 3 + 1] AS outcome FROM talk WHERE turn < 2),
+latest AS (SELECT qkey, arg_max(text, at_ms) AS question, arg_max(outcome, at_ms) AS outcome, max(at_ms) AS last_at, count(*) AS n FROM cited GROUP BY 1)
+"""
+query("agg19_latest_citation", FEEDBACK_SQL + "SELECT qkey, outcome, last_at, n FROM latest", False)(
+    lambda p: records.latest_citations(_feedback(p)).select("qkey", "outcome", F.col("at").alias("last_at"), "n"))
+query("agg18_gaps", FEEDBACK_SQL + """, each AS (SELECT qkey, at_ms, conv_id % 10 / 10 AS best, 1 AS u, 0 AS r FROM talk WHERE conv_id % 3 = 0
+  UNION ALL SELECT qkey, last_at, NULL, 0, 1 FROM latest WHERE outcome <> 'answered')
+SELECT qkey, count(*) AS n, sum(u)::BIGINT AS unanswered, sum(r)::BIGINT AS reported, max(at_ms) AS last_at, round(max(best), 6) AS best FROM each GROUP BY 1""", False)(
+    lambda p: records.gaps(_feedback(p)).select("qkey", "n", "unanswered", "reported", "last_at", r6(F.col("best"), "best")))
+query("agg22_compliance", """SELECT count(*) AS total, count_if(s = 0) AS compliant, count_if(s = 1) AS partial, count_if(s = 2) AS non_compliant, count_if(s = 3) AS not_verifiable,
+  CAST(round(100.0 * count_if(s = 0) / (count(*) - count_if(s = 3))) AS BIGINT) AS rate FROM (SELECT o_orderkey % 4 AS s FROM orders WHERE o_custkey < 100)""", False)(
+    lambda p: records.compliance(p.raw("orders").where("o_custkey < 100").select(
+        F.element_at(F.array(*map(F.lit, ("compliant", "partial", "non_compliant", "not_verifiable"))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("status"))))
+query("src07_html_title", "SELECT page_id, left(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), 200) AS title FROM pages WHERE NOT contains(regexp_extract(html, '<title>([^<]*)</title>', 1), '&')", False)(
+    lambda p: documents.read_pages(p.raw("pages").where(~F.regexp_extract("html", "<title>([^<]*)</title>", 1).contains("&"))).select("page_id", "title"))
+query("src05_html_markdown")(lambda p: documents.read_pages(p.raw("pages")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("md5")))
+query("src14_toc_leaders", "SELECT event_id, 'Part ' || event_type || ' … ' || user_id AS line FROM events", False)(
+    lambda p: p.raw("events").select("event_id", C.collapse_leaders(F.concat(F.lit("Part "), "event_type", F.lit(" ......... "), "user_id")).alias("line")))
+query("sc03_chunk_plain")(lambda p: ingest.passages(p.document, structured=False, size=300, overlap=100).select("id", F.char_length("text").alias("chars"), "page"))
+query("sc01_sentences", "SELECT id, len(regexp_extract_all(text, '[.!?…;](\\s|$)')) AS ends FROM chunk".replace("\\\\", "\\"))(
+    lambda p: p.chunk.select("id", F.size(F.regexp_extract_all("text", F.lit(r"[.!?…;](\s|$)"), F.lit(0))).alias("ends")))
+query("kw02_bm25_stemmed")(lambda p: retrieval.bm25_search(*retrieval.postings(p.passages, stem.stemmed_terms), stem.analyse("reations oration avec"), 20))
+query("vec05_embed")(lambda p: p.passages.select("id", models.embedded(F.col("text")).alias("v")).select("id", r6(C.dot(F.col("v"), F.col("v")), "norm")))
+query("ner01_extract")(lambda p: models.extracted(p.passages.select("id", "doc_id", "text")))
+query("rnk01_rerank")(lambda p: models.reranked("reation oration")(p.passages.select("id", "text")).select("id", r6(F.col("rerank"), "rerank")))
+
+
+@query("win05_budget")
+def _budget(p: Project) -> DataFrame:
+    ranked = p.chunk.where("idx < 8").select(F.col("doc_id").alias("query_id"), F.col("idx").alias("rank"), "id", "text", (F.col("idx") % 3 == 0).alias("provided"))
+    return context.budgeted(ranked, 200)
+
+
+query("str07_hourly", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, ['ui', 'api', 'mcp'][user_id % 3 + 1] AS channel, count(*) AS calls, sum(floor(value))::BIGINT AS tokens, count_if(event_type = 'error') AS errors FROM events GROUP BY 1, 2", False)(
+    lambda p: logs.hourly(p.calls.withColumn("ts", F.timestamp_millis("at"))).select(F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "channel", "calls", "tokens", "errors"))
+query("qry14_console", "SELECT source, count(*) AS n FROM document WHERE status = 'PUBLISHED' GROUP BY 1")(
+    lambda p: console.run_sql(p.spark, {"document": p.document}, "SELECT source, count(*) AS n FROM document WHERE status = 'PUBLISHED' GROUP BY source")[0])
+query("qry14_cypher", "SELECT e.name, count(c.id) AS n FROM entity e JOIN mentions m ON m.entity_id = e.id JOIN chunk c ON c.id = m.chunk_id WHERE e.label = 'HEAD' AND c.page = 1 GROUP BY 1 ORDER BY n DESC, e.name LIMIT 20")(
+    lambda p: console.run_cypher(p.spark, {"chunk": p.chunk, "mentions": p.mentions, "entity": p.entity},
+                                 "MATCH (c:Chunk)-[m:MENTIONS]->(e:Entity {label: 'HEAD'}) WHERE c.page = 1 RETURN e.name AS name, count(c) AS n ORDER BY n DESC, name LIMIT 20")[0])
