@@ -6,7 +6,7 @@ stay. Equal lines are first reduced to their first place. A line of length l is
 max_edits + 1 even segments; a line within max_edits edits holds one of them unchanged, at a
 start that the lengths and the segment's number narrow to a few. So each line files its segments
 under (length, number, text) and probes the substrings of the lengths l - max_edits to l. Pairs
-that meet are verified by a banded bit-parallel edit distance: one machine word holds the
+that meet, and whose letter counts allow it, are verified by a banded bit-parallel edit distance: one machine word holds the
 2 * max_edits + 1 diagonals, a fold over the characters updates it.
 
 Null texts have no lines; an empty text is one empty line. Null ids come last. Rows with equal id
@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from graphloom.llm import _shared
 
 
+#: Line hashes that may be broadcast (8 bytes each); beyond that a shuffle join is used.
+_BROADCAST_ROWS = 1_000_000
+
+
 def edit_distance_within(a: Column, b: Column, most: int) -> Column:
     """Edit distance of strings where char_length(a) >= char_length(b), the difference at most `most`;
     right up to `most`, above it some larger number.
@@ -28,73 +32,93 @@ def edit_distance_within(a: Column, b: Column, most: int) -> Column:
     next row is one more or one less, `dist` is the value on the main diagonal."""
     width = 2 * most + 1
     mask = (1 << width) - 1
-    rows, text = F.split(a, ""), F.split(b, "")
     band = lambda x: x.bitwiseAND(F.lit(mask).cast("long"))
     no = lambda x: band(F.bitwise_not(x))
-    start = F.struct(F.lit(mask ^ ((1 << most) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).alias("dist"))
-
-    def step(s, j):
-        ch = F.get(text, j)
-        match = F.lit(0).cast("long")
-        for bit in range(width):
-            row = F.get(rows, j - most + bit)
-            match = match.bitwiseOR(F.when((j - most + bit >= 0) & (row == ch), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
-        one = F.transform(F.array(match), lambda eq: F.struct(
-            s["vp"].alias("vp"), s["vn"].alias("vn"),
-            band(band(eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"])).alias("d")))
-        two = F.transform(one, lambda x: F.struct(
-            x["d"].alias("d"), x["vn"].bitwiseOR(no(x["d"].bitwiseOR(x["vp"]))).alias("hp"), x["vp"].bitwiseAND(x["d"]).alias("hn")))
-        return F.get(F.transform(two, lambda x: F.struct(
-            x["hn"].bitwiseOR(no(F.shiftright(x["d"], 1).bitwiseOR(x["hp"]))).alias("vp"),
-            F.shiftright(x["d"], 1).bitwiseAND(x["hp"]).alias("vn"),
-            (s["dist"] + 1 - F.shiftright(x["d"], most).bitwiseAND(F.lit(1).cast("long")).cast("int")).alias("dist"))), F.lit(0))
-
-    n = F.char_length(b)
-    end = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
-    # from the main diagonal's row down to the last row of the longer string
-    extra = F.char_length(a) - n
-    down = F.call_function("shiftleft", F.lit(1).cast("long"), extra) - 1
-    return F.get(F.transform(F.array(end), lambda e: e["dist"]
-                             + F.bit_count(F.shiftright(e["vp"], most).bitwiseAND(down))
-                             - F.bit_count(F.shiftright(e["vn"], most).bitwiseAND(down))), F.lit(0))
-
-
-def _cut(length: Column, parts: int, i: int) -> Column:
-    """Start (from 0) of segment i when `length` characters are cut into even parts, the longer ones last."""
-    short = F.floor(length / parts).cast("int")
-    return short * i + F.greatest(F.lit(0), F.lit(i) - (parts - (length - short * parts)))
-
-
-def index_keys(line: Column, length: Column, most: int) -> Column:
-    """Keys of the line's own segments."""
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  evaluates value once
+
+    def distance(chars):
+        rows, text, n = chars["a"], chars["b"], F.size(chars["b"])
+
+        def step(s, j):
+            ch = F.get(text, j)
+            match = F.lit(0).cast("long")
+            for bit in range(width):
+                row = F.when(j - most + bit >= 0, F.get(rows, j - most + bit))
+                match = match.bitwiseOR(F.when(row == ch, F.lit(1 << bit)).otherwise(F.lit(0)).cast("long"))
+            after = let(match, lambda eq: let(
+                F.struct(s["vp"].alias("vp"), s["vn"].alias("vn"),
+                         band(band(eq.bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(eq).bitwiseOR(s["vn"])).alias("d")),
+                lambda x: let(
+                    F.struct(x["d"].alias("d"), x["vn"].bitwiseOR(no(x["d"].bitwiseOR(x["vp"]))).alias("hp"), x["vp"].bitwiseAND(x["d"]).alias("hn")),
+                    lambda y: F.struct(
+                        y["hn"].bitwiseOR(no(F.shiftright(y["d"], 1).bitwiseOR(y["hp"]))).alias("vp"),
+                        F.shiftright(y["d"], 1).bitwiseAND(y["hp"]).alias("vn"),
+                        (s["dist"] + 1 - F.shiftright(y["d"], most).bitwiseAND(F.lit(1).cast("long")).cast("int")).alias("dist")))))
+            # a diagonal above 2 * most leaves no cell of the band within `most`
+            return F.when(s["dist"] > 2 * most, s).otherwise(after)
+
+        start = F.struct(F.lit(mask ^ ((1 << most) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(0).alias("dist"))
+        end = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
+        # from the main diagonal's row down to the last row of the longer string
+        down = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(rows) - n) - 1
+        return let(end, lambda e: F.when(e["dist"] > 2 * most, e["dist"]).otherwise(
+            e["dist"] + F.bit_count(F.shiftright(e["vp"], most).bitwiseAND(down)) - F.bit_count(F.shiftright(e["vn"], most).bitwiseAND(down))))
+
+    chars = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    return let(F.struct(chars(a).alias("a"), chars(b).alias("b")), distance)
+
+
+#: Letters whose counts, by four, tell lines apart before they are compared.
+LETTERS = "etaoinsrhldcumpg"
+
+
+def letter_counts(line: Column) -> Column:
+    """The counts of LETTERS in a word of 32 bits, two bits each."""
+    out = F.lit(0)
+    for i, c in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(3)), 2 * i))
+    return out
+
+
+def counts_within(a: Column, b: Column, most: int) -> Column:
+    """Whether letter counts allow `most` edits: an edit changes two of them by one at most."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = (F.shiftrightunsigned(a, 2 * i).bitwiseAND(F.lit(3)) - F.shiftrightunsigned(b, 2 * i).bitwiseAND(F.lit(3))).bitwiseAND(F.lit(3))
+        total = total + F.least(d, 4 - d)
+    return total <= 2 * most
+
+
+def segment_keys(lines: DataFrame, most: int) -> DataFrame:
+    """(h, counts, probe, key) of lines(h, line, counts): a row for each segment that a line files (probe false) and
+    for each substring that a segment of a line shorter by 0 to `most` can equal (probe true).
+
+    Edits left of segment i are at most i, those right of it at most `most` - i; that bounds the shift."""
     parts = most + 1
-    keys = []
-    for i in range(parts):
-        start = _cut(length, parts, i)
-        size = (_cut(length, parts, i + 1) if i < most else length) - start
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, length: Column, most: int) -> Column:
-    """Keys of the substrings that a segment of a line shorter by 0 to `most` can equal."""
-    parts, keys = most + 1, []
-    for d in range(most + 1):
-        other = length - d
+    specs = [(False, 0, i, 0) for i in range(parts)]
+    for d in range(parts):
         for i in range(parts):
-            start = _cut(other, parts, i)
-            size = (_cut(other, parts, i + 1) if i < most else other) - start
-            # edits left of the segment are at most i, right of it at most `most` - i
-            for shift in range(max(-i, d - (most - i)), min(i, d + (most - i)) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= length), F.xxhash64(other, F.lit(i), F.substring(line, at + 1, size))))
-    return F.filter(F.array(*keys), lambda k: k.isNotNull())
+            specs += [(True, d, i, shift) for shift in range(max(-i, d - (most - i)), min(i, d + most - i) + 1)]
+    rows = F.array(*[F.struct(F.lit(p).alias("probe"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for p, d, i, s in specs])
+    once = lines.select("h", "line", F.char_length("line").alias("len"), "counts")
+    each = once.select("h", "line", "len", "counts", F.explode(rows).alias("x")).select("h", "line", "len", "counts", "x.*")
+    # even segments, the longer ones last; rows of small expressions keep the generated code compilable
+    each = each.withColumn("whole", F.col("len") - F.col("d")).withColumn("short", F.expr(f"cast(whole div {parts} as int)"))
+    each = each.withColumn("late", F.col("i") - parts + F.col("whole") % parts)
+    each = each.withColumn("at", F.col("short") * F.col("i") + F.greatest(F.lit(0), "late") + F.col("shift"))
+    each = each.withColumn("size", F.col("short") + F.when(F.col("late") >= 0, 1).otherwise(0))
+    each = each.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("len")))
+    return each.select("h", "counts", "probe", F.xxhash64("whole", "i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_shared.NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc, mark, no, line): lines of min_chars at least; mark tells documents of equal ids apart."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_shared.NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), "text")
-    lines = keyed.select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    lines = _keyed(docs).select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     return lines.where(F.char_length("line") >= min_chars)
 
 
@@ -103,31 +127,31 @@ def removed_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 40) -> D
     if min_chars <= max_edits:
         raise ValueError("lines must be longer than the edits allowed")
     lines = _lines(_shared.columns(docs, "doc_id", "text"), min_chars)
-    length = F.char_length("line")
-    first = (lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), length.alias("len"), F.struct("doc", "mark", "no").alias("place"),
-                          index_keys(F.col("line"), length, max_edits).alias("own"), probe_keys(F.col("line"), length, max_edits).alias("ask"))
-             .groupBy("h", "h2", "len").agg(F.min("place").alias("place"), F.first("own").alias("own"), F.first("ask").alias("ask")))
-    own = first.select(F.explode("own").alias("key"), F.col("h").alias("a"))
-    ask = first.select(F.explode("ask").alias("key"), F.col("h").alias("b"))
-    met = _shared.cut(own.join(ask, "key").where("a <> b").select("a", "b").distinct(), "op7-met")
-    places = first.select("h", "place")
-    pairs = met.join(places.select(F.col("h").alias("a"), F.col("place").alias("pa")), "a").join(
-        places.select(F.col("h").alias("b"), F.col("place").alias("pb")), "b").select("pa", "pb")
-    pairs = _shared.cut(pairs, "op7-pairs")
-    wanted = pairs.select(F.col("pa").alias("p")).unionByName(pairs.select(F.col("pb").alias("p"))).distinct()
-    per_doc = wanted.groupBy(F.col("p.doc").alias("doc"), F.col("p.mark").alias("mark")).agg(F.collect_set("p.no").alias("nos"))
-    per_doc = _bounded(_shared.cut(per_doc, "op7-wanted"), "nos")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_shared.NO_ID)).alias("doc"), F.xxhash64("text").alias("mark"), "text").join(per_doc, ["doc", "mark"])
-    picked = texts.select("doc", "mark", F.explode(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get(F.split("text", "\n", -1), n).alias("line")))).alias("x"))
-    picked = picked.select(F.struct("doc", "mark", "x.no").alias("p"), F.col("x.line").alias("line")).distinct()
-    both = pairs.join(picked.select(F.col("p").alias("pa"), F.col("line").alias("la")), "pa").join(
-        picked.select(F.col("p").alias("pb"), F.col("line").alias("lb")), "pb")
+    marked = lines.select(F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.struct("doc", "mark", "no").alias("place"), "line", letter_counts(F.col("line")).alias("counts"))
+    first = marked.groupBy("h", "h2").agg(F.min("place").alias("place"))
+    # distinct lines: both sides of the join read the same exchange
+    texts = marked.groupBy("h", "h2").agg(F.first("line").alias("line"), F.first("counts").alias("counts"))
+    keys = segment_keys(texts, max_edits)
+    own = keys.where("not probe").select("key", F.col("h").alias("a"), F.col("counts").alias("ca"))
+    ask = keys.where("probe").select("key", F.col("h").alias("b"), F.col("counts").alias("cb"))
+    meet = own.join(ask, "key").where("a <> b").where(counts_within(F.col("ca"), F.col("cb"), max_edits))
+    met = _shared.cut(meet.select("a", "b").distinct(), "op7-met")
+    _shared.release(docs.sparkSession)
+    wanted = _shared.cut(met.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "op7-wanted")
+    few = wanted.count() <= _BROADCAST_ROWS
+    some = marked.select("h", "h2", "line").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").distinct()
+    side = lambda x: some.select(F.col("h").alias(x), F.struct("h", "h2").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
     # a files, b probes: b is the longer
-    near = both.where(edit_distance_within(F.col("lb"), F.col("la"), max_edits) <= max_edits)
-    later = near.select(F.greatest("pa", "pb").alias("place")).distinct()
+    length = F.char_length("b_line") - F.char_length("a_line")
+    near = both.where(length.between(0, max_edits)).where(edit_distance_within(F.col("b_line"), F.col("a_line"), max_edits) <= max_edits)
+    near = _shared.cut(near.select("a_id", "b_id"), "op7-near")
+    pa = near.select("a_id.*", "b_id").join(first, ["h", "h2"]).select("b_id.*", F.col("place").alias("pa"))
+    later = pa.join(first, ["h", "h2"]).select(F.greatest("pa", "place").alias("place")).distinct()
     kept = first.select("place").join(later, "place", "left_anti")
     kept = kept.groupBy("place.doc", "place.mark").agg(F.collect_list("place.no").alias("kept"))
-    held = lines.groupBy("doc", "mark").agg(F.collect_set("no").alias("nos"))
+    long_enough = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(F.char_length(x) >= min_chars, i)), lambda i: i.isNotNull())
+    held = _keyed(docs).select("doc", "mark", long_enough.alias("nos")).where(F.size("nos") > 0).distinct()
     gone = held.join(kept, ["doc", "mark"], "left").select(
         "doc", "mark", F.array_sort(F.array_except("nos", F.coalesce("kept", F.array().cast("array<int>")))).alias("removed"))
     return gone.where(F.size("removed") > 0)
