@@ -6,14 +6,18 @@
    by further hyperplanes, so no task holds a hot leaf.
 3. Rounds of neighbour-of-neighbour joins: each point sends its list along its (sampled both
    ways) edges; candidates are scored exactly and the best kept, until few lists change.
-4. A point whose whole list passes the threshold is saturated: its list doubles and the rounds go
-   on for it; connected saturated points are compared group by group, in blocks, so the count of
-   links is whole in dense groups.
+4. A point whose whole list passes the threshold is saturated: it may have more links, within its
+   component and to other components that hold saturated points. These components are dealt to
+   chunks, each in a ball (centre and largest angle). Chunks whose balls are within the threshold's
+   angle, of one component or of two, are compared whole, so given right lists of the other points
+   no link of dense groups is lost. The balls are compared in pairs of blocks: their number is that
+   of the dense chunks, not of the points, but that step grows with its square.
 5. Recall is audited against brute force for a stated set of queries (`audit`).
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing. Repeated
 rows and null ids: each row is a vector; rows of one id are one vertex, and null ids have a null
-component. Vectors of other lengths than the most common one link only among themselves."""
+component. Rows of one id with different vectors are points of their own, joined as one vertex.
+Vectors of other lengths than the most common one link only among themselves."""
 
 from __future__ import annotations
 
@@ -154,29 +158,81 @@ def descend(lists: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return best_lists(lists.unionByName(grouped.select("near").mapInArrow(compare, "p long, q long, cos double")), k)
 
 
-def dense_links(groups: DataFrame, found: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
-    """(p, links): weighted link counts inside the groups (component_id, p), whole, by pairs of chunks."""
-    rows = groups.join(found.select("p", "unit", "copies"), "p")
-    sized = rows.groupBy("component_id").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    rows = rows.join(sized, "component_id").withColumn("chunk", F.expr("cast(pmod(xxhash64(p, 11), chunks) as int)"))
-    paired = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    paired = paired.withColumns({"x": F.least("chunk", "other"), "y": F.greatest("chunk", "other")})
+def near_chunks(rows: DataFrame, threshold: float, block_rows: int = 1024) -> DataFrame:
+    """(cell_x, chunk_x, cell_y, chunk_y), each pair once: the chunks of rows(cell, chunk, unit) that may hold a link."""
 
-    def count(table):
+    def ball(key, table):
         import pyarrow as pa
 
-        ids, chunk = table.column("p").to_numpy(), table.column("chunk").to_numpy()
-        copies = table.column("copies").to_numpy().astype(np.int64)
         m = _matrix(table.column("unit").to_pylist())
+        centre = m.sum(0)
+        norm = math.sqrt(float(centre @ centre))
+        centre = centre / norm if norm > 0 else m[0]
+        radius = math.acos(max(-1.0, min(1.0, float((m @ centre).min()))))
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int32()),
+                         "centre": pa.array([centre.tobytes()], pa.binary()), "radius": pa.array([radius], pa.float64())})
+
+    balls = _shared.cut(rows.select("cell", "chunk", "unit").groupBy("cell", "chunk").applyInArrow(
+        ball, "cell long, chunk int, centre binary, radius double"), "op10-balls").withColumn("size", F.octet_length("centre"))
+    sized = balls.groupBy("size").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    dealt = balls.join(sized, "size").withColumn("block", F.expr("cast(pmod(xxhash64(cell, chunk), blocks) as int)"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def compare(table):
+        import pyarrow as pa
+
+        cell, chunk, block, radius = (table.column(n).to_numpy() for n in ("cell", "chunk", "block", "radius"))
+        m = _matrix(table.column("centre").to_pylist())
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        near = (m @ m.T) >= threshold
-        np.fill_diagonal(near, False)
-        if x != y:
-            near &= chunk[:, None] != chunk[None, :]
-        return pa.table({"p": pa.array(ids, pa.int64()), "links": pa.array(near @ copies, pa.int64())})
+        a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        near = np.arccos(np.clip(m[a] @ m[b].T, -1, 1)) <= radius[a][:, None] + radius[b][None, :] + reach
+        i, j = np.nonzero(near)
+        i, j = a[i], b[j]
+        once = (i <= j) if x == y else np.ones(len(i), bool)
+        i, j = i[once], j[once]
+        return pa.table({"cell_x": pa.array(cell[i], pa.int64()), "chunk_x": pa.array(chunk[i], pa.int32()),
+                         "cell_y": pa.array(cell[j], pa.int64()), "chunk_y": pa.array(chunk[j], pa.int32())})
 
-    counted = paired.groupBy("component_id", "x", "y").applyInArrow(count, "p long, links long")
-    return counted.groupBy("p").agg(F.sum("links").alias("links"))
+    return paired.groupBy("size", "x", "y").applyInArrow(compare, "cell_x long, chunk_x int, cell_y long, chunk_y int")
+
+
+def dense_links(groups: DataFrame, found: DataFrame, threshold: float, chunk_rows: int) -> DataFrame:
+    """(p, links, a, b) for the points of groups(cell, p), in which saturated points lie: weighted counts of
+    the links among them, in parts; and, with p null, the cells a and b that a link joins."""
+    rows = groups.join(found.select("p", "unit", "copies"), "p")
+    sized = rows.groupBy("cell").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    rows = _shared.cut(rows.join(sized, "cell").withColumn("chunk", F.expr("cast(pmod(xxhash64(p, 11), chunks) as int)")).drop("chunks"), "op10-dense")
+    pairs = _shared.cut(near_chunks(rows, threshold), "op10-near").withColumn("pair", F.struct("cell_x", "chunk_x", "cell_y", "chunk_y"))
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array(
+        F.struct(F.col("cell_x").alias("cell"), F.col("chunk_x").alias("chunk")),
+        F.struct(F.col("cell_y").alias("cell"), F.col("chunk_y").alias("chunk"))))).alias("s")).select("pair", "s.*")
+    blocks = rows.join(sides, ["cell", "chunk"]).select("pair", "cell", "chunk", "p", "unit", "copies")
+
+    def count(key, table):
+        import pyarrow as pa
+
+        pair = key[0].as_py()
+        ids, cell, chunk = (table.column(n).to_numpy() for n in ("p", "cell", "chunk"))
+        copies = table.column("copies").to_numpy().astype(np.int64)
+        m = _matrix(table.column("unit").to_pylist())
+        x = (cell == pair["cell_x"]) & (chunk == pair["chunk_x"])
+        if x.all():
+            near = (m @ m.T) >= threshold
+            np.fill_diagonal(near, False)
+            links = near @ copies
+        else:
+            near = (m[x] @ m[~x].T) >= threshold
+            links = np.empty(len(ids), np.int64)
+            links[x], links[~x] = near @ copies[~x], near.T @ copies[x]
+        some = links > 0
+        join = int(pair["cell_x"] != pair["cell_y"] and some.any())
+        return pa.table({"p": pa.array([*ids[some].tolist(), *[None] * join], pa.int64()), "links": pa.array([*links[some].tolist(), *[None] * join], pa.int64()),
+                         "a": pa.array([None] * int(some.sum()) + [pair["cell_x"]] * join, pa.int64()),
+                         "b": pa.array([None] * int(some.sum()) + [pair["cell_y"]] * join, pa.int64())})
+
+    return blocks.groupBy("pair").applyInArrow(count, "p long, links long, a long, b long")
 
 
 def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: int = 12, leaf_rows: int = 128,
@@ -186,9 +242,9 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: in
     _shared.small_batches(spark, 1024)
     rows = _shared.cut(points(vectors), "op10-points")
     taking = rows.where("unit is not null and vec_id is not null")
-    found = _shared.cut(taking.groupBy("unit").agg(F.min("vec_id").alias("p"), F.count("*").alias("copies")), "op10-found")
-    # rows of one id with different vectors are one vertex in the components; in the graph they are points of their own
-    found = found.groupBy("p").agg(F.first("unit").alias("unit"), F.sum("copies").alias("copies")) if _clash(found) else found
+    # points have keys of their own: an id may have several vectors, and a vector several ids
+    found = _shared.cut(taking.groupBy("unit").agg(F.min("vec_id").alias("v"), F.count("*").alias("copies"))
+                        .sortWithinPartitions("unit").withColumn("p", F.monotonically_increasing_id()), "op10-found")
     lists = _shared.cut(best_lists(first_lists(found, k, trees, leaf_rows, found.count(), seed), k), "op10-lists")
     _shared.small_batches(spark, 256)
     for _ in range(rounds):
@@ -200,28 +256,34 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: in
     links = lists.where(F.col("cos") >= threshold)
     pairs = links.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     comps = _shared.cut(_shared.components(pairs, "op10-comp"), "op10-comps")
-    # saturated: the whole list passes, so there may be more; such components are compared whole
+    # saturated: the whole list passes, so there may be more, in such components and between them
     full = links.groupBy("p").count().where(F.col("count") >= k).select(F.col("p").alias("id"))
     dense = comps.join(full, "id").select("component_id").distinct()
-    groups = comps.join(dense, "component_id").select("component_id", F.col("id").alias("p"))
-    whole = dense_links(groups, found, threshold, leaf_rows)
+    groups = _shared.cut(comps.join(dense, "component_id").select(F.col("component_id").alias("cell"), F.col("id").alias("p")), "op10-groups")
+    counted = _shared.cut(dense_links(groups, found, threshold, 4 * leaf_rows), "op10-whole")
+    whole = counted.where("p is not null").groupBy("p").agg(F.sum("links").alias("links"))
+    joins = counted.where("p is null").select("a", "b").distinct()
+    # the points of an id's vectors are one vertex
+    shared = taking.groupBy("vec_id").agg(F.min(F.xxhash64("unit")).alias("lo"), F.max(F.xxhash64("unit")).alias("hi")).where("lo < hi").select("vec_id")
+    several = taking.join(shared, "vec_id").join(found.select("unit", "p"), "unit").select("vec_id", "p").distinct()
+    same = several.groupBy("vec_id").agg(F.min("p").alias("a")).join(several, "vec_id").select("a", F.col("p").alias("b")).where("a <> b")
+    extra = _shared.cut(joins.unionByName(same), "op10-extra")
+    if extra.limit(1).count():
+        comps = _shared.cut(_shared.components(pairs.unionByName(extra), "op10-comp"), "op10-comps")
+    least = comps.join(found.select(F.col("p").alias("id"), "v"), "id").groupBy("component_id").agg(F.min("v").alias("least"))
+    named = comps.join(least, "component_id").select(F.col("id").alias("p"), F.col("least").alias("component_id"))
     copies = found.select(F.col("p").alias("b"), "copies")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sparse = both.join(groups.select(F.col("p").alias("a")), "a", "left_anti").join(copies, "b").groupBy(F.col("a").alias("p")).agg(
         F.sum("copies").alias("links"))
-    counts = found.select("p", "unit", "copies").join(whole.unionByName(sparse), "p", "left").join(
-        comps.withColumnRenamed("id", "p"), "p", "left")
+    counts = found.join(whole.unionByName(sparse), "p", "left").join(named, "p", "left")
     out = rows.join(counts, "unit", "left")
-    component = F.coalesce("component_id", "p", "vec_id")
+    component = F.coalesce("component_id", "v", "vec_id")
     return out.select("vec_id", F.when(F.col("p").isNotNull() & F.col("vec_id").isNotNull(), F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
                       F.when(F.col("vec_id").isNotNull(), component).alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _clash(found: DataFrame) -> bool:
-    return found.groupBy("p").count().where("count > 1").limit(1).count() > 0
-
-
 def audit(vectors: DataFrame, result: DataFrame, threshold: float = 0.9, every: int = 20) -> float:
     """Share of the true links of the vectors whose id is divisible by `every` that the result counts;
     those queries against all rows, in blocks."""

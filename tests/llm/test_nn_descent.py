@@ -67,3 +67,31 @@ def test_against_brute_force(spark, leaf):
 
 def test_empty(spark):
     assert near_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def subgroups(seed, groups, size, dim=64):
+    """Tight groups of one wide group: each point has its nearest in its own group, and links to all others."""
+    r = np.random.default_rng(seed)
+    base = r.normal(size=dim)
+    centres = base + r.normal(size=(groups, dim)) * 0.2
+    return [(g * size + i, (centres[g] + r.normal(size=dim) * 0.02).tolist()) for g in range(groups) for i in range(size)]
+
+
+@pytest.mark.parametrize("groups,size", [(2, 30), (20, 30), (100, 20)])
+def test_tight_subgroups_are_joined(spark, groups, size):
+    rows = subgroups(groups, groups, size)
+    got = {r.vec_id: r for r in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
+    unit = np.array([v for _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert near.min() >= size  # links leave the own group
+    assert [got[i].n_links for i, _ in rows] == near.tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
+def test_vectors_of_one_id_are_points_of_their_own(spark):
+    r = np.random.default_rng(1)
+    a, b, c = r.normal(size=(3, 16)).tolist()
+    rows = [(5, a), (3, a), (5, b), (7, b), (9, c)]
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (7, 1, 3), (9, 0, 9)]
