@@ -236,7 +236,7 @@ def dense_links(groups: DataFrame, found: DataFrame, threshold: float, chunk_row
 
 
 def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: int = 12, leaf_rows: int = 128,
-               rounds: int = 3, seed: int = 5) -> DataFrame:
+               seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding)."""
     spark = vectors.sparkSession
     _shared.small_batches(spark, 1024)
@@ -247,7 +247,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: in
                         .sortWithinPartitions("unit").withColumn("p", F.monotonically_increasing_id()), "op10-found")
     lists = _shared.cut(best_lists(first_lists(found, k, trees, leaf_rows, found.count(), seed), k), "op10-lists")
     _shared.small_batches(spark, 256)
-    for _ in range(rounds):
+    while True:  # lists only get better, so this ends
         after = _shared.cut(descend(lists, found, k), "op10-lists")
         changed = after.join(lists, ["p", "q"], "left_anti").count()
         lists = after
