@@ -8,9 +8,10 @@
    repeated signatures is done (one with more empty parts signs these too). No link is lost.
 2. Blocks exchange sorted runs of signatures; the answers are bitmaps of those seen elsewhere.
    Sets without a repeated signature are done.
-3. Members of a signature group are compared with the group's first member. Then families (sets
-   tied by signatures) that still span several components are compared across these, chunk by
-   chunk. Equal sets count once.
+3. Members of a signature group are compared with the group's first member, if their sizes can
+   link. Then families (sets tied by signatures, whatever their sizes: a group's first member may be
+   too short for others that link) that still span several components are compared across these,
+   chunk by chunk. Equal sets count once.
 4. Comparisons of one set with many: the others, in the global order, form a trie (sorted
    sequences with shared prefixes); the walk keeps the overlap at every node, resumes where two
    paths part, and leaves a subtree when the lengths that remain cannot reach the threshold.
@@ -312,11 +313,11 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
     fits = lambda a, b: F.col(a) * den >= F.col(b) * num
     star = (groups.join(first.select("sig", "first"), "sig")
             .where((F.col("row_id") != F.col("first.row_id")) & ((F.col("n") != F.col("first.n")) | (F.col("print") != F.col("first.print"))))
-            .where(fits("first.n", "n"))
-            .groupBy(F.col("first.row_id").alias("a"), F.col("row_id").alias("b")).agg(F.count("*").alias("shared")))
+            .groupBy(F.col("first.row_id").alias("a"), F.col("row_id").alias("b"))
+            .agg(F.count("*").alias("shared"), F.max(fits("first.n", "n")).alias("fits")))
     star = _shared.cut(star, "op6-star")
     # this only joins what is easily joined; sets of one shared signature are left to the families below
-    true_star = _shared.cut(verify(star.where("shared > 1").select("a", "b"), sets, num, den), "op6-links")
+    true_star = _shared.cut(verify(star.where("shared > 1 and fits").select("a", "b"), sets, num, den), "op6-links")
     known = rows.where(f"n > 0 and row_id <> {_shared.NO_ID}")
     same = known.groupBy("print", "n").agg(F.min("row_id").alias("a"))
     equal = known.join(same, ["print", "n"]).select("a", F.col("row_id").alias("b"))

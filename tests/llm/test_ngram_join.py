@@ -78,3 +78,19 @@ def test_bands_hold_linked_sizes():
     b = Bands(9, 10)
     for size in range(1, 500):
         assert b.band(size * 10 // 9) - b.band(size) in (0, 1)
+
+
+@pytest.mark.parametrize("words,middle,short", [(68, 65, 60), (118, 115, 105)])
+def test_a_shorter_copy_hides_no_link(spark, words, middle, short):
+    """A group's first member is too short for the longest set, which links with the one between."""
+    r = random.Random(words)
+    docs = []
+    for trial in range(40):
+        base = [f"t{trial}w{i}" for i in range(words)]
+        for length in (words, middle, *[short] * 20):
+            at = r.randrange(words - length + 1)
+            docs.append(" ".join(base[at:at + length]))
+    r.shuffle(docs)
+    docs = [*enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted([tuple(r) for r in ngram_join(df, 3, 90, 100).collect()], key=str) == brute(docs, 3, 90, 100)
