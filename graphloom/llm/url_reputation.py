@@ -1,10 +1,11 @@
 """URL verdicts from rules and empirical-Bayes host reputation; DataFrame functions only.
 
-Labelled page outcomes (good or bad) are counted by host. A beta-binomial prior is fitted by
-moments over the whole table; the public suffix's rate shrinks to it, the registered domain's rate
-to the suffix's, and the host's rate to the domain's, each level adding its own counts to a prior of `strength` pseudo-counts
-centred on the level above. A host is blocked when the lower bound of its posterior bad rate
-(mean minus `z` standard deviations) exceeds `max_bad`; hosts without evidence inherit the level above.
+Labelled page outcomes (good or bad) are counted by host. The mean rate of the whole table is
+estimated; the public suffix's rate shrinks to it, the registered domain's rate to the suffix's, and
+the host's rate to the domain's, each level adding its own counts to a prior of `strength`
+pseudo-counts (a constant, not fitted) centred on the level above. A host is blocked when the lower
+bound of its posterior bad rate (mean minus `z` standard deviations) exceeds `max_bad`. A host
+without labelled pages has no bound and is allowed, as in OP5_SQL; it does not inherit its domain's.
 
 Rules (verdict, pattern) win over reputation: a rule fits its host and all subdomains when the
 url's path starts with the rule's; the longest pattern wins.
@@ -69,7 +70,7 @@ def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 1.0) -> D
     by_domain = by_host.groupBy("domain").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"), F.first("suffix").alias("suffix"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
     whole = by_suffix.agg(F.sum("sn").alias("an"), F.sum("sb").alias("ab"))
-    # beta-binomial by moments: one row, so the cross join is with a single row
+    # one row, so the cross join is with a single row
     base = F.coalesce((F.col("ab") + 1) / (F.col("an") + 2), F.lit(0.5))
     suffixes = by_suffix.crossJoin(F.broadcast(whole)).withColumn(
         "s_mean", (F.col("sb") + strength * base) / (F.col("sn") + strength)).select("suffix", "s_mean")
