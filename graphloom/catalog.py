@@ -207,13 +207,14 @@ query("win03_first_seen", "SELECT text, id FROM (SELECT *, row_number() OVER (PA
 
 @query("win06_near_duplicates")
 def _near_duplicates(p: Project) -> DataFrame:
-    ranked = p.vectors.where("id < 300").select((F.col("id") % 3).alias("query_id"), F.floor(F.col("id") / 3).alias("rank"), "id", "embedding")
+    """All vectors, dealt to queries of a hundred ranks, three to each range of 300 ids."""
+    ranked = p.vectors.select((F.floor(F.col("id") / 300) * 3 + F.col("id") % 3).alias("query_id"), F.floor(F.col("id") % 300 / 3).alias("rank"), "id", "embedding")
     return retrieval.without_near_duplicates(ranked, 20, 0.35).select("query_id", "id", "place")
 
 
 @query("win07_question_leaders")
 def _leaders(p: Project) -> DataFrame:
-    return records.question_leaders(p.vectors.where("id < 400").select((F.col("id") % 4).cast("string").alias("project"), F.col("id").alias("seq"), "embedding"), 0.35)
+    return records.question_leaders(p.vectors.select((F.col("id") % 4).cast("string").alias("project"), F.col("id").alias("seq"), "embedding"), 0.35)
 
 
 query("top01_candidates", f"""SELECT id, round(s, 6) AS similarity FROM (SELECT p.id, p.doc_id, s FROM (SELECT e.id, e.doc_id, {COS} AS s FROM passages e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY s DESC, id LIMIT 64) p
@@ -389,7 +390,7 @@ query("rnk01_rerank")(lambda p: models.reranked("reation oration")(p.passages.se
 
 @query("win05_budget")
 def _budget(p: Project) -> DataFrame:
-    ranked = p.chunk.where("idx < 8").select(F.col("doc_id").alias("query_id"), F.col("idx").alias("rank"), "id", "text", (F.col("idx") % 3 == 0).alias("provided"))
+    ranked = p.chunk.select(F.col("doc_id").alias("query_id"), F.col("idx").alias("rank"), "id", "text", (F.col("idx") % 3 == 0).alias("provided"))
     return context.budgeted(ranked, 200)
 
 

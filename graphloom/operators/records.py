@@ -130,15 +130,20 @@ def question_leaders(questions: DataFrame, threshold: float = DEFAULTS.same_ques
         import numpy as np
 
         pdf = pdf.sort_values("seq")
-        vectors, names, out = [], [], []
+        vectors, names, out = np.empty((64, 0)), [], []  # rows up to len(names) are leaders
         for seq, v in zip(pdf["seq"], pdf["embedding"], strict=True):
             v = np.asarray(v, float)
-            near = next((n for n, w in zip(names, vectors, strict=True) if float(v @ w) >= threshold), None)
-            if near is None:
-                names.append(seq)
-                vectors.append(v)
-                near = seq
-            out.append(near)
+            if not names:
+                vectors = np.empty((64, len(v)))
+            hits = vectors[:len(names)] @ v >= threshold
+            if hits.any():
+                out.append(names[int(hits.argmax())])
+                continue
+            if len(names) == len(vectors):
+                vectors = np.concatenate([vectors, np.empty_like(vectors)])
+            vectors[len(names)] = v
+            names.append(seq)
+            out.append(seq)
         return pd.DataFrame({key: pdf[key], "seq": pdf["seq"], "leader": out})
 
     types = dict(questions.dtypes)
