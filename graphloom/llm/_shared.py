@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import gc
 import math
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,19 +24,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; only a session without one gets a local folder (tests)."""
+    """The shared folder of the session. A session on one machine that has none gets a local folder;
+    on a cluster that would lose rows, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-scratch")
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}"
+
+
+_swept: set[str] = set()
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Remove a folder of scratch tables."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended: what is left is in the shared folder, by application
+        pass
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors.
+
+    The tables of a session go when the driver ends; `drop` removes one sooner."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    top = scratch_dir(spark)
+    if top not in _swept:
+        _swept.add(top)
+        atexit.register(sweep, spark, top)
+    path = f"{top}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove a table that `cut` has written; no plan may read it any more."""
+    sweep(df.sparkSession, df._scratch)
 
 
 def release(spark: SparkSession) -> None:
@@ -48,6 +79,23 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def alone(name: str, clear: Callable[[], None] | None = None) -> None:
+    """In a Python worker: operator `name` begins, and what other operators have memorized there goes.
+
+    Workers are reused between stages, so memos would add up; `clear` empties the operator's own."""
+    others = [n for n in _memos if n != name]
+    for n in others:
+        _memos.pop(n)()
+    if others:
+        gc.collect()
+        ctypes.CDLL(None).malloc_trim(0)
+    if clear:
+        _memos[name] = clear
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -78,7 +126,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = cut(small.where("a <> b").distinct(), label)
+        before, edges = edges, cut(small.where("a <> b").distinct(), label)
+        if hasattr(before, "_scratch"):
+            drop(before)
         # equal tables have equal sums; a star forest stays as it is
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.hash("b", "a").cast("long"))).first())
         if now == seen:
@@ -128,6 +178,7 @@ def unpack(table):
     """ids and UTF-8 texts (null: empty) of a block, ordered by id, text; and each row's place in the table."""
     import zstandard
 
+    alone("blocks")
     grow = zstandard.ZstdDecompressor().decompress
     rows = [(i, b"" if z is None else grow(z), n) for n, (i, z) in
             enumerate(zip(table.column("row_id").to_pylist(), table.column("z").to_pylist(), strict=True))]

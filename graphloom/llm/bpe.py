@@ -9,7 +9,8 @@ leading space or of white space. No pre-token spans two chunks, so a chunk's ids
 chunk alone.
 
 Null texts are empty: no ids, and decoded to the empty text. Repeated rows and null ids are kept,
-each row for itself; columns other than doc_id and text are not looked at."""
+each row for itself; columns other than doc_id and text are not looked at, whatever their names.
+An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -24,6 +25,7 @@ from graphloom.llm import _shared
 #: White space as the pre-tokenizer sees it (Unicode White_Space).
 WHITE = " \\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+#: Chunks of the memo, of about 200 bytes each.
 MEMO = 700_000
 
 
@@ -111,6 +113,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary."""
+    _shared.alone("bpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

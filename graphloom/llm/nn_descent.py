@@ -250,6 +250,7 @@ def near_dedup(vectors: DataFrame, threshold: float = 0.9, k: int = 8, trees: in
     while True:  # lists only get better, so this ends
         after = _shared.cut(descend(lists, found, k), "op10-lists")
         changed = after.join(lists, ["p", "q"], "left_anti").count()
+        _shared.drop(lists)
         lists = after
         if changed <= lists.count() // 1000:
             break

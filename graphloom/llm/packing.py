@@ -5,15 +5,18 @@ Documents are tokenized and packed where they are read, without a shuffle: a tas
 tier are cut off each document; the rest is routed to the smallest tier that holds it. From the
 longest tier down, each tier's rests go best-fit into windows of that size, and gaps are filled
 from the shorter tiers, whole documents first, then a cut one. What is left at the end of a task
-is laid in windows of falling powers of two, so no sequence needs padding. Windows are dealt to
-step groups of equal token counts (`step_tokens` each).
+is laid in windows of falling powers of two, so no sequence needs padding. The windows of a buffer
+are dealt to step groups of about `step_tokens` tokens, the largest first to the least loaded, so
+the groups of a buffer hold the same number of tokens up to one window.
 
+An empty table gives an empty result; other columns are not looked at, whatever their names.
 Null texts are empty (only the end id). Rows with equal or null ids are packed each for itself.
 Sequence ids are unique: the task's partition number above, its counter below."""
 
 from __future__ import annotations
 
 import bisect
+import heapq
 import re
 import unicodedata
 import zlib
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _shared
 
+#: Words of the memo, of about 150 bytes each.
 MEMO = 900_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, tier int, step_group long")
@@ -80,6 +84,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
+    _shared.alone("packing", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
@@ -93,6 +98,18 @@ def tiers_of(window: int) -> list[int]:
     return out
 
 
+def balanced(sizes: list[int], step_tokens: int) -> list[int]:
+    """A step group for each window: the largest first to the least loaded of as many groups as there
+    are `step_tokens`. Sizes are powers of two, so loads differ by one window at most, the last dealt."""
+    loads = [(0, g) for g in range(max(1, round(sum(sizes) / step_tokens)))]
+    out = [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        load, g = loads[0]
+        heapq.heapreplace(loads, (load + sizes[i], g))
+        out[i] = g
+    return out
+
+
 class Packer:
     """Packs (key, start, length) runs; a window is (tier, [(key, start, length), ...])."""
 
@@ -194,22 +211,23 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, buffer
         end = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 33
-        state = {"next": 0, "tokens": 0}
+        state = {"next": 0, "groups": 0}
         held: dict[int, tuple] = {}  # key: (doc_id, tokens, ids); until all of them are in windows
         waiting: list[tuple[int, int, int]] = []
 
         def rows(windows):
             cols: list[list] = [[] for _ in range(9)]
-            for size, runs in windows:
-                sequence, group, at = first + state["next"], first + state["tokens"] // step_tokens, 0
+            groups = balanced([size for size, _ in windows], step_tokens)
+            for (size, runs), group in zip(windows, groups, strict=True):
+                sequence, group, at = first + state["next"], first + state["groups"] + group, 0
                 state["next"] += 1
-                state["tokens"] += size
                 for key, start, n in runs:
                     doc_id, total, ids = held[key]
                     values = (doc_id, start, n, zlib.crc32(ids[4 * start:4 * (start + n)]), total, sequence, at, size, group)
                     for c, v in zip(cols, values, strict=True):
                         c.append(v)
                     at += n
+            state["groups"] += max(groups, default=-1) + 1
             kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             for a in range(0, len(cols[0]), 8192):
@@ -229,7 +247,6 @@ def pack(docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, buffer
                     held = {k: held[k] for k, _, _ in waiting}
                     tokens = sum(n for _, _, n in waiting)
         windows, waiting = packer.pack(waiting)
-        yield from rows(windows)
-        yield from rows(packer.rest(waiting))
+        yield from rows(windows + packer.rest(waiting))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, SCHEMA)

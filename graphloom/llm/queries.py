@@ -55,20 +55,33 @@ WITH split AS (
 known AS (
   SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad
   FROM split JOIN labels USING (doc_id) WHERE page_id IS NOT NULL AND (toxic IS NOT NULL OR quality IS NOT NULL)),
-named AS (
-  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b, string_split(host, '.') AS p FROM known GROUP BY host),
+counted AS (
+  SELECT host, sum(n) AS n, sum(b) AS b, string_split(host, '.') AS p FROM (
+    SELECT host, 0.0::DOUBLE AS n, 0.0::DOUBLE AS b FROM split GROUP BY host
+    UNION ALL SELECT host, count(*)::DOUBLE, sum(bad)::DOUBLE FROM known GROUP BY host) GROUP BY host),
 tops AS (
-  SELECT *, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM named),
+  SELECT *, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS k FROM counted),
 hosts AS (
   SELECT host, n, b, array_to_string(p[-k:], '.') AS suffix,
     array_to_string(p[greatest(len(p) - k, 1):], '.') AS domain FROM tops),
-doms AS (SELECT domain, sum(n) AS dn, sum(b) AS db, any_value(suffix) AS suffix FROM hosts GROUP BY domain),
-sufs AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM doms GROUP BY suffix),
-base AS (SELECT (sum(sb) + 1) / (sum(sn) + 2) AS m FROM sufs),
-smean AS (SELECT suffix, (sb + 20 * m) / (sn + 20) AS s_mean FROM sufs, base),
-dmean AS (SELECT domain, (db + 20 * s_mean) / (dn + 20) AS d_mean FROM doms JOIN smean USING (suffix)),
-post AS (SELECT host, n, (b + 20 * d_mean) / (n + 20) AS mean FROM hosts JOIN dmean USING (domain)),
-bound AS (SELECT host, mean - sqrt(mean * (1 - mean) / (n + 21)) AS bad_bound FROM post),
+doms AS (SELECT domain, sum(n) AS n, sum(b) AS b, any_value(suffix) AS suffix FROM hosts GROUP BY domain),
+sufs AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM doms GROUP BY suffix),
+base AS (SELECT (coalesce(sum(b), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m, coalesce(sum(n), 0) AS an FROM sufs),
+s0 AS (SELECT suffix, n, b, m, m * (1 - m) / (an + 3) AS v FROM sufs, base),
+s1 AS (SELECT coalesce(CASE WHEN sum((n - 1) * n * m * (1 - m)) > 0 THEN least(greatest(
+  sum((b - n * m) * (b - n * m) - n * m * (1 - m)) / sum((n - 1) * n * m * (1 - m)), 1.0::DOUBLE / 1001), 0.5) END, 1.0::DOUBLE / 21) AS r FROM s0 WHERE n > 0),
+s2 AS (SELECT *, (b + (1 / r - 1) * m) / (n + (1 / r - 1)) AS mean FROM s0, s1),
+s3 AS (SELECT suffix, mean AS m, CASE WHEN n > 0 THEN mean * (1 - mean) / (n + 1 / r) ELSE r * m * (1 - m) + (1 - r) * v END AS v FROM s2),
+d0 AS (SELECT domain, n, b, m, v FROM doms JOIN s3 USING (suffix)),
+d1 AS (SELECT coalesce(CASE WHEN sum((n - 1) * n * m * (1 - m)) > 0 THEN least(greatest(
+  sum((b - n * m) * (b - n * m) - n * m * (1 - m)) / sum((n - 1) * n * m * (1 - m)), 1.0::DOUBLE / 1001), 0.5) END, 1.0::DOUBLE / 21) AS r FROM d0 WHERE n > 0),
+d2 AS (SELECT *, (b + (1 / r - 1) * m) / (n + (1 / r - 1)) AS mean FROM d0, d1),
+d3 AS (SELECT domain, mean AS m, CASE WHEN n > 0 THEN mean * (1 - mean) / (n + 1 / r) ELSE r * m * (1 - m) + (1 - r) * v END AS v FROM d2),
+h0 AS (SELECT host, n, b, m, v FROM hosts JOIN d3 USING (domain)),
+h1 AS (SELECT coalesce(CASE WHEN sum((n - 1) * n * m * (1 - m)) > 0 THEN least(greatest(
+  sum((b - n * m) * (b - n * m) - n * m * (1 - m)) / sum((n - 1) * n * m * (1 - m)), 1.0::DOUBLE / 1001), 0.5) END, 1.0::DOUBLE / 21) AS r FROM h0 WHERE n > 0),
+h2 AS (SELECT *, (b + (1 / r - 1) * m) / (n + (1 / r - 1)) AS mean FROM h0, h1),
+bound AS (SELECT host, mean - sqrt(CASE WHEN n > 0 THEN mean * (1 - mean) / (n + 1 / r) ELSE r * m * (1 - m) + (1 - r) * v END) AS bad_bound FROM h2),
 ruled AS (
   SELECT page_id, host, path, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'

@@ -39,3 +39,34 @@ def test_empty_and_unlabelled(spark):
     assert judge(pages.limit(0), queries.page_outcomes(pages, labels), queries.URL_RULES).count() == 0
     got = judge(pages, labels.limit(0).selectExpr("doc_id page_id", "toxic bad"), queries.URL_RULES)
     assert got.where("rule is null and verdict <> 'allow'").count() == 0
+
+
+def test_unlabelled_hosts_inherit(spark, tmp_path):
+    """A new subdomain of a bad domain is blocked, one of a good domain and a new domain are not."""
+    pages, labels = tables(spark)
+    new = [(900, "http://new.spam.org/x"), (901, "http://new.fine.org/x"), (902, "http://unheard.org/x"), (903, "http://h.else/" + "x" * 100_000)]
+    pages = pages.unionByName(spark.createDataFrame([(*p, "x") for p in new], "page_id long, url string, rule string"))
+    judged = judge(pages, queries.page_outcomes(pages, labels), queries.URL_RULES).where("page_id >= 900").collect()
+    assert {r.page_id: r.verdict for r in judged} == {900: "block", 901: "allow", 902: "allow", 903: "allow"}
+    bound = {r.page_id: r.bad_bound for r in judged}
+    assert bound[900] > 0.9 and bound[901] < bound[902] < bound[900]
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    con.register("labels", labels.toPandas().astype("Int64"))
+    want = con.sql(queries.OP5_SQL).fetchall()
+    got = judge(pages, queries.page_outcomes(pages, labels), queries.URL_RULES).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_spread_is_fitted(spark):
+    """Hosts of a domain that differ much shrink less than hosts that are alike."""
+    from graphloom.llm.url_reputation import reputation
+
+    def means(rates):
+        rows = [(f"h{i}.d.org", int(j < r)) for i, r in enumerate(rates) for j in range(20)]
+        out = spark.createDataFrame(rows, "host string, bad int")
+        return {r.host: r["mean"] for r in reputation(out.select("host"), out).collect()}
+
+    apart, alike = means([0, 20, 0, 20, 10]), means([9, 11, 10, 10, 10])
+    assert apart["h1.d.org"] > 0.9 and apart["h0.d.org"] < 0.1
+    assert abs(alike["h1.d.org"] - 0.5) < 0.01
