@@ -100,6 +100,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def receivers(spark: SparkSession, blocks: int) -> int:
+    """Hash ranges that blocks of rows exchange by: some for each shuffle partition, and enough that none
+    gets more than what 64 blocks send, whatever the number of shuffle partitions."""
+    return max(2 * min(blocks, partitions(spark)), -(-blocks // 64))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; a missing one is a clear error."""
     missing = [n for n in names if n not in df.columns]

@@ -258,7 +258,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
     spark = docs.sparkSession
     _shared.small_batches(spark)
     packed, blocks = _shared.packed_blocks(_shared.columns(docs, "doc_id", "text"), rows_per_block)
-    parts = 2 * min(blocks, _shared.partitions(spark))
+    parts = _shared.receivers(spark, blocks)
 
     def prepare(table):
         """Ids, set sizes, and the tokens and signatures of each distinct set of the block, by its first row."""

@@ -516,7 +516,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, rows_per_block: int = 512, h
     spark = docs.sparkSession
     _shared.small_batches(spark)
     packed, blocks = _shared.packed_blocks(docs, rows_per_block, carry)
-    parts = 2 * min(blocks, _shared.partitions(spark))
+    parts = _shared.receivers(spark, blocks)
     k, _ = shape(length)
 
     def prepare(table):
