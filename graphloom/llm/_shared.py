@@ -154,7 +154,7 @@ def module_path(spark: SparkSession) -> None:
 
 def packed_blocks(docs: DataFrame, rows_per_block: int, carry: list[str] | None = None) -> tuple[DataFrame, int]:
     """(row_id, block, z) hash-partitioned by block: the whole texts, zstd-compressed, dealt to
-    blocks of about rows_per_block rows by a hash of the id.
+    blocks of about rows_per_block rows by a hash of id and text.
 
     One plan may read it several times; the exchange is the same subplan, so Spark runs it once.
     Null ids become NO_ID, null texts stay null. Columns named in carry go along as a struct."""
@@ -173,7 +173,7 @@ def packed_blocks(docs: DataFrame, rows_per_block: int, carry: list[str] | None
 
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry")] if carry else []
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("row_id"), "text",
-                        F.expr(f"cast(pmod(xxhash64(coalesce(doc_id, {NO_ID})), {blocks}) as int)").alias("block"), *more)
+                        F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)").alias("block"), *more)
     schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("z", T.BinaryType()),
                            *keyed.schema.fields[3:]])
     out = keyed.mapInArrow(pack, schema)

@@ -1,4 +1,5 @@
-"""Exact Jaccard self-join of word n-gram sets, verified in prefix trees.
+"""Jaccard self-join of word n-gram sets, verified in prefix trees; exact but for collisions of hashes
+(n-grams are compared by 48 bits, whole sets are taken as equal by 64 bits and their size).
 
 1. Every text becomes its set of n-gram hashes in one global order (by hash). The hash range is
    split into more equal parts than two linked sets of that size can differ in, so linked sets
@@ -18,7 +19,8 @@
 
 Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Fewer than n words make
 one n-gram; no words or a null text make the empty set, which links with nothing. Rows with equal
-ids are one vertex. Null ids link with nothing and have a null component."""
+ids are one vertex. Null ids link with nothing and have a null component. An empty table gives an
+empty result; other columns are not looked at, whatever their names."""
 
 from __future__ import annotations
 

@@ -9,8 +9,9 @@ blocks of a few hundred documents:
 1. each block sends its distinct anchor hashes as sorted runs, by hash range; the receivers
    answer with bitmaps of those that other documents have too;
 2. at such anchors it sends a hash of the context (all windows of this anchor), once a block, with
-   the smallest document. All but the smallest holder of a context are settled by that; the rest
-   matters only where another context of the anchor agrees with it on a side;
+   the smallest document. All but the smallest holder of a context are settled by that, on 96 bits of
+   hash (48 of the anchor or a second one of the context, 48 of the context), without a look at bytes;
+   the rest matters only where another context of the anchor agrees with it on a side;
 3. the suffixes at those anchors (with their left contexts) are sorted and sent as front-coded
    runs. A loser tree merges the runs: it compares known common-prefix lengths, and bytes only
    beyond them; the lengths that it finds give the windows shared with smaller documents;
@@ -20,8 +21,9 @@ An anchor in more than `hot_docs` documents (a line that half of the corpus hold
 context and whole window, which spread by their own hash and shrink to one a block, so no
 receiver gets a group that grows with the corpus other than one entry a block.
 
-Nulls are empty texts. Null ids sort last. Rows with equal ids never remove bytes of each other.
-An empty table gives an empty result."""
+Blocks are dealt by a hash of id and text, so neither one id nor null ids fill a block. Nulls are
+empty texts. Null ids sort last. Rows with equal ids never remove bytes of each other. An empty table
+gives an empty result; other columns are not looked at unless carried, whatever their names."""
 
 from __future__ import annotations
 
@@ -53,6 +55,7 @@ def _mix(h):
 
 
 _VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
+_OTHERS = _mix(_VALUES + np.uint64(_STEP))
 
 
 def kmer_hashes(buf: np.ndarray, k: int) -> np.ndarray:
@@ -179,8 +182,15 @@ def by_range(values: np.ndarray, parts: int) -> np.ndarray:
 
 def distinct_hashes(hashes: np.ndarray, docs: np.ndarray):
     """Sorted distinct hashes of a block, and how many of its ids have each (255 at most)."""
-    pairs = np.unique(hashes << np.uint64(16) | docs.astype(np.uint64))
-    values, counts = np.unique(pairs >> np.uint64(16), return_counts=True)
+    if len(docs) and int(docs.max()) >> 16:  # does not fit beside 48 bits
+        order = np.lexsort((docs, hashes))
+        h, d = hashes[order], docs[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        held = h[new]
+    else:
+        held = np.unique(hashes << np.uint64(16) | docs.astype(np.uint64)) >> np.uint64(16)
+    values, counts = np.unique(held, return_counts=True)
     return values, np.minimum(counts, 255).astype(np.uint8)
 
 
@@ -229,7 +239,7 @@ def read_bits(values: np.ndarray, replies: list, parts: int):
 class Contexts:
     """A block's distinct contexts (all windows of one anchor occurrence) at repeated anchors.
 
-    For each: key (the anchor's hash, or its own if the anchor is hot), hash, smallest id, side
+    For each: key (the anchor's hash, or a second one of its own if the anchor is hot), hash, smallest id, side
     prints, and its first occurrence; for each occurrence the context that it has."""
 
     def __init__(self, buf, found, ids, multi, hot, values, length):
@@ -241,9 +251,11 @@ class Contexts:
         self.length, is_hot, h = length, hot[where[keep]], h[keep]
         whole = span_hashes(buf, self.p, self.q + length)
         ctx = _mix(whole + (self.a - self.p).astype(np.uint64) * np.uint64(_STEP) + (self.q - self.p).astype(np.uint64)) >> np.uint64(16)
-        order = np.lexsort((self.id, ctx, np.where(is_hot, ctx, h), is_hot))
-        ctx_o, hot_o = ctx[order], is_hot[order]
-        key_o = np.where(hot_o, ctx_o, h[order])
+        key = h.copy()
+        if is_hot.any():  # a second hash of the context, of other byte values
+            key[is_hot] = _mix(span_hashes(buf, self.p[is_hot], self.q[is_hot] + length, _OTHERS) + (self.a - self.p)[is_hot].astype(np.uint64)) >> np.uint64(16)
+        order = np.lexsort((self.id, ctx, key, is_hot))
+        ctx_o, hot_o, key_o = ctx[order], is_hot[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (ctx_o[1:] != ctx_o[:-1]) | (key_o[1:] != key_o[:-1]) | (hot_o[1:] != hot_o[:-1])
         self.of = np.empty(len(order), np.int64)
@@ -326,7 +338,7 @@ def answer_contexts(table):
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
     done = np.empty(len(k), bool)
-    done[order] = ~new
+    done[order] = ids[order] > ids[order][new][np.cumsum(new) - 1]  # rows of the smallest id may be in several blocks
     open_ = np.zeros(len(k), bool)
     lead = order[new]
     if is_hot:
