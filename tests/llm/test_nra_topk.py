@@ -39,31 +39,17 @@ def test_against_brute_force(spark):
 
 
 def test_huge_components_are_exact(spark):
-    """Products beyond 2**53 are whole numbers of any size; scores beyond 63 bits are the end of the range."""
-    rows = [(0, [3.0, -7.5e15]), (100, [1e300, 1.0]), (1, [2.0**40, 1.0]), (2, [2.0**40 + 1, 1.0]), (3, [-1e308, 0.0]), (4, [0.5, 2.0**41])]
+    """Products beyond 2**53 are whole numbers of any size; scores beyond 63 bits count as the end of the range."""
+    rows = [(0, [3.0, -7.5e15]), (100, [1e300, 1.0]), (1, [2.0**40, 1.0]), (2, [2.0**40 + 1, 1.0]), (3, [-1e308, 0.0]), (4, [0.5, 2.0**41]),
+            (200, [2.0**20, 3.0]), (5, [2.0**20 + 1, -1.0])]
     df = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<double>, score string")
-    ints = {i: [int(np.clip(np.floor(1024 * np.array(v)), -1.7976931348623157e308, 1.7976931348623157e308)[j]) for j in range(2)] for i, v in rows}
+    most = int(np.finfo(np.float64).max)
+    ints = {i: [max(-most, min(most, math.floor(1024 * x))) if math.isfinite(1024 * x) else (most if x > 0 else -most) for x in v] for i, v in rows}
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
     got = {}
     for x in top_k(df, every=100, k=10, scale=1024).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
-    for q in (0, 100):
-        clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q in (0, 100, 200):
         want = sorted((-clip(ints[q][0] * ints[i][0] + ints[q][1] * ints[i][1]), i) for i in ints if i != q)
         assert [(-s, i) for _, i, s in sorted(got[q])] == want
     assert top_k(df.limit(0)).count() == 0
-
-
-def test_huge_components_are_exact(spark):
-    """Products beyond 2**53 are whole numbers of any size; scores beyond 63 bits are the end of the range."""
-    rows = [(0, [3.0, -7.5e15]), (100, [1e300, 1.0]), (1, [2.0**40, 1.0]), (2, [2.0**40 + 1, 1.0]), (3, [-1e308, 0.0]), (4, [0.5, 2.0**41])]
-    df = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<double>, score string")
-    ints = {i: [int(np.clip(np.floor(1024 * np.array(v)), -1.7976931348623157e308, 1.7976931348623157e308)[j]) for j in range(2)] for i, v in rows}
-    got = {}
-    for x in top_k(df, every=100, k=10, scale=1024).collect():
-        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
-    for q in (0, 100):
-        want = sorted((-(ints[q][0] * ints[i][0] + ints[q][1] * ints[i][1]), i) for i in ints if i != q)
-        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in want]
-        clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
-        assert [s for *_, s in sorted(got[q])] == [clip(-s) for s, _ in want]
-    assert top_k(df.limit(0)).count() == 0
