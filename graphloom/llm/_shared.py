@@ -114,13 +114,56 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
-    """Smallest reachable id per vertex of an edge table (a, b): alternating large-star and
-    small-star rounds over at most the edges, O(log n) rounds in practice. A vertex of very many
-    edges is no group of one task: minima are partial sums, and the joins are ones that can be split.
+def forest(a, b):
+    """Distinct ids of the edges (a, b), sorted, and the smallest reachable id of each: roots hook to smaller roots."""
+    import numpy as np
 
-    Returns (id, component_id) for vertices with at least one edge."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    ids, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = back[: len(a)], back[len(a):], np.arange(len(ids))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return ids, ids[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def components(edges: DataFrame, label: str, task_edges: int = 1_000_000) -> DataFrame:
+    """Smallest reachable id per vertex of an edge table (a, b), as (id, component_id) for vertices with
+    at least one edge.
+
+    Up to `task_edges` edges (counted; 16 bytes each) are joined in one task. More go through alternating
+    large-star and small-star rounds over at most the edges, O(log n) rounds in practice. There a vertex
+    of very many edges is no group of one task: minima are partial sums, and the joins are ones that can be split."""
+    edges = cut(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    if edges.count() > task_edges:
+        return _star_rounds(edges, label)
+
+    def join(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            ids, roots = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            for at in range(0, len(ids), 8192):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:at + 8192]), pa.array(roots[at:at + 8192])], names=["id", "component_id"])
+
+    module_path(edges.sparkSession)
+    found = cut(edges.coalesce(1).mapInArrow(join, "id long, component_id long"), label)
+    drop(edges)
+    return found
+
+
+def _star_rounds(edges: DataFrame, label: str) -> DataFrame:
+    """components() for any number of edges (a > b, distinct, a table of `cut`)."""
     seen = None
     while True:
         # large star: the larger neighbours of u, and u itself, link to the smallest of u's neighbourhood
@@ -133,8 +176,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         small = large.join(down, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         before, edges = edges, cut(small.where("a <> b").distinct(), label)
-        if hasattr(before, "_scratch"):
-            drop(before)
+        drop(before)
         # equal tables have equal sums; a star forest stays as it is
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.sum(F.hash("b", "a").cast("long"))).first())
         if now == seen:

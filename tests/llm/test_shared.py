@@ -18,6 +18,7 @@ def test_components(spark):
         x, y = sorted((find(a), find(b)))
         root[y] = x
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    got = components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
-    assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
+    for most in (1_000_000, 10):  # in one task, in rounds
+        got = components(spark.createDataFrame(edges, "a long, b long"), "test", most).collect()
+        assert {r.id: r.component_id for r in got} == want and len(got) == len(want)
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
