@@ -126,9 +126,13 @@ def useful_alt(alt) -> Column:
     return F.when((text != "") & ~auto & ~numbered & ~file_name & (F.char_length(text) <= 300), text)
 
 
+#: Dotted leaders of a table of contents, some read as U+FFFD.
+LEADERS = r"[ \t]*(?:[.·•…_‧∙⋅\uFFFD][ \t]?){4,}"
+
+
 def collapse_leaders(c) -> Column:
-    """Dotted leaders of a table of contents: four at least become one ellipsis."""
-    return F.regexp_replace(c, r"[ \t]*(?:[.·•…_‧∙⋅][ \t]?){4,}", " … ")
+    """Leaders of four at least become one ellipsis."""
+    return F.regexp_replace(c, LEADERS, " … ")
 
 
 def join_hyphenated(c) -> Column:
@@ -142,12 +146,21 @@ def age_group(day, today) -> Column:
     return F.when(days <= 0, "today").when(days == 1, "yesterday").when(days < 7, "week").when(days < 30, "month").otherwise("older")
 
 
+#: Spans of a job's stages, in per cent.
+JOB_STAGES = {"queued": (0, 0), "extracting": (0, 5), "chunking": (5, 8), "embedding": (8, 45), "entities": (45, 90), "writing": (90, 99), "done": (100, 100), "failed": (100, 100)}
+
+
+def stage_percent(stage: str, done: int, total: int) -> int:
+    """job_percent() of one job."""
+    low, high = JOB_STAGES.get(stage, (100, 100))
+    return round(low + (min(done / total, 1) if total > 0 else 0) * (high - low))
+
+
 def job_percent(stage, done, total) -> Column:
     """Progress of a job from its stage's span and the share of the stage that is done."""
-    spans = {"queued": (0, 0), "extracting": (0, 5), "chunking": (5, 8), "embedding": (8, 45), "entities": (45, 90), "writing": (90, 99), "done": (100, 100), "failed": (100, 100)}
     share = F.when(total > 0, F.least(done / total, F.lit(1.0))).otherwise(F.lit(0.0))
     out = F.lit(0.0)
-    for name, (low, high) in spans.items():
+    for name, (low, high) in JOB_STAGES.items():
         out = F.when(stage == name, F.lit(float(low)) + share * (high - low)).otherwise(out)
     return F.round(out).cast("int")
 

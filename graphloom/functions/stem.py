@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 # Function words that are not indexed.
 STOPWORDS = frozenset((
-    "a an and are as at be but by for from has have in is it its of on or that the this to was were will with not "
-    "au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas pour que qui sa se ses "
-    "son sont sur un une vous").split())
+    "a an and are as at be by for from has have how i in is it of on or that the this to was what when where which who why will with you do does can "
+    "au aux avec ce ces comment dans de des du elle en est et il je la le les leur lui mais ne nous on ou où par pas pour qu que quel quelle qui quoi "
+    "sa se ses son sont sur ta te un une vous y l d c s n j m t").split())
 
 
 def _regions(word: str, vowels: str) -> tuple[int, int]:

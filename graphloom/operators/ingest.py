@@ -12,9 +12,12 @@ from graphloom.operators.graph import pair_weights
 
 _PASSAGE = "array<struct<text: string, page: bigint, images: array<struct<n: bigint, caption: string>>>>"
 
-#: Common words that are no entity.
-NOISE = ("the", "this", "that", "these", "those", "it", "we", "you", "they", "he", "she", "system", "user", "users", "data", "information",
-         "le", "la", "les", "un", "une", "des", "ce", "cette", "il", "elle", "nous", "vous", "système", "utilisateur", "données")
+# Words that extractors tag although they name nothing.
+NOISE = tuple((
+    "i me you he she it we they them us your our their this that user users app apps application applications developer developers people "
+    "customer customers client clients team company system systems file files data code example examples device devices server computer world home "
+    "je moi tu toi il elle on nous vous ils elles eux ce cela ça utilisateur utilisateurs utilisatrice développeur développeurs équipe équipes "
+    "entreprise société salarié salariés personne personnes système fichier fichiers données exemple serveur ordinateur monde").split())
 
 
 def passages(document: DataFrame, structured: bool = True, size: int = 1000, overlap: int = 150) -> DataFrame:
@@ -30,6 +33,26 @@ def passages(document: DataFrame, structured: bool = True, size: int = 1000, ove
                        F.col("p.text").alias("text"), F.coalesce("p.page", F.lit(0)).alias("page"), F.col("p.images").alias("images"))
 
 
+def sentence_lists(c):
+    """The sentences of a text, as a column: array<string>."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: rules.sentences(t or ""))
+
+    return run(c)
+
+
+def heading_parts(c):
+    """struct<path, body> of a passage, as a column."""
+
+    @F.pandas_udf("struct<path: string, body: string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rules.split_heading(t or "") for t in texts], columns=["path", "body"])
+
+    return run(c)
+
+
 def line_passages(document: DataFrame) -> DataFrame:
     """One passage a line that is not blank."""
     each = document.select(F.col("id").alias("doc_id"), F.posexplode(F.split("content", "\n", -1)).alias("idx", "text"))

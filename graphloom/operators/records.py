@@ -198,3 +198,14 @@ def gap_cards(requirements: DataFrame) -> DataFrame:
     order = lambda c, names: F.coalesce(*[F.when(F.col(c) == x, i) for i, x in enumerate(names)], F.lit(len(names)))
     return requirements.where("status in ('non_compliant', 'partial')").orderBy(
         order("status", ["non_compliant", "partial"]), order("severity", ["critical", "major", "minor"]), "id")
+
+
+def answer_sources(answers: DataFrame, chunk: DataFrame, document: DataFrame) -> DataFrame:
+    """(answer_id, doc_id, title, passages, pages): what answers(answer_id, cited array, read array) rest on, the passages
+    cited, else those read, by document; documents in the order of their first passage in the list."""
+    ids = F.when(F.size(F.coalesce("cited", F.array())) > 0, F.col("cited")).otherwise(F.col("read"))
+    each = answers.select("answer_id", F.posexplode(F.array_distinct(ids)).alias("place", "id"))
+    placed = each.join(chunk.select("id", "doc_id", "page"), "id").join(document.select(F.col("id").alias("doc_id"), "title"), "doc_id")
+    return placed.groupBy("answer_id", "doc_id", "title").agg(
+        F.min("place").alias("place"), F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("passages"),
+        F.array_sort(F.collect_set(F.when(F.col("page") > 0, F.col("page")))).alias("pages"))

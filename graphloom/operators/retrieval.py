@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
+from graphloom.functions.stem import stemmed_terms
 from graphloom.functions.columns import bm25, cosine
 from graphloom.operators.graph import both_ways
 
@@ -20,17 +21,47 @@ def simple_terms(c) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: F.char_length(t) >= 2)
 
 
-def postings(chunk: DataFrame, terms=simple_terms) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, term, tf) and (chunk_id, length)."""
+def postings(chunk: DataFrame, terms=simple_terms, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chunk_id, term, tf) and (chunk_id, length); `only`: postings of these terms alone, filtered before they are rows."""
     analysed = chunk.select(F.col("id").alias("chunk_id"), terms(F.col("text")).alias("terms"))
-    tf = analysed.select("chunk_id", F.explode("terms").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    wanted = "terms" if only is None else F.filter("terms", lambda t: t.isin(*dict.fromkeys(only)))
+    tf = analysed.select("chunk_id", F.explode(wanted).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     return tf, analysed.select("chunk_id", F.size("terms").cast("long").alias("length"))
 
 
+class KeywordIndex:
+    """Postings and lengths as tables: what documents add or take away, never built anew as a whole."""
+
+    def __init__(self, tf: DataFrame, lengths: DataFrame):
+        self.tf, self.lengths = tf, lengths
+
+    @classmethod
+    def build(cls, chunk: DataFrame, analyser=stemmed_terms) -> KeywordIndex:
+        return cls(*postings(chunk, analyser))
+
+    def without(self, chunk_ids: DataFrame) -> KeywordIndex:
+        """Without the passages of chunk_ids(chunk_id)."""
+        return KeywordIndex(*(t.join(chunk_ids.select("chunk_id"), "chunk_id", "left_anti") for t in (self.tf, self.lengths)))
+
+    def with_passages(self, chunk: DataFrame, analyser=stemmed_terms) -> KeywordIndex:
+        """Passages added, or put in the place of those of their ids."""
+        kept, new = self.without(chunk.select(F.col("id").alias("chunk_id"))), postings(chunk, analyser)
+        return KeywordIndex(kept.tf.unionByName(new[0]), kept.lengths.unionByName(new[1]))
+
+    def write(self, path: str) -> None:
+        """Sorted by term within files, so that a search of a few terms skips most row groups."""
+        self.tf.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+    @classmethod
+    def read(cls, spark, path: str) -> KeywordIndex:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
 def bm25_search(tf: DataFrame, lengths: DataFrame, terms: list[str], limit: int, settings: Settings = DEFAULTS) -> DataFrame:
     """(chunk_id, score) of the best passages for the terms; statistics cover all passages, drafts too."""
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"))
-    hits = tf.where(F.col("term").isin(*dict.fromkeys(terms)))  # the filter reaches the scan; terms are few
+    hits = tf.where(F.col("term").isin(*dict.fromkeys(terms)))  # reaches the scan of stored postings; terms are few
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # statistics are one row; document frequencies are one row a query term
     scored = hits.join(F.broadcast(df), "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
@@ -133,9 +164,12 @@ def without_near_duplicates(ranked: DataFrame, k: int, threshold: float = DEFAUL
 
 
 def search(tables: dict[str, DataFrame], query: list[float], terms: list[str], names: list[str], k: int = DEFAULTS.k, drafts: bool = False,
-           tags: list[str] | None = None, min_score: float = DEFAULTS.min_score, rerank=None, settings: Settings = DEFAULTS) -> DataFrame:
+           tags: list[str] | None = None, min_score: float = DEFAULTS.min_score, rerank=None, settings: Settings = DEFAULTS, analyser=stemmed_terms) -> DataFrame:
     """Hybrid search: (rank, id, doc_id, similarity, score, via_graph, via_keywords, text).
 
+    terms: the question's, by the analyser (`stem.analyse`). Stored `postings` and `lengths` among the tables (see
+    KeywordIndex) are used; else passages are analysed here.
+
     rerank: candidates -> candidates with a `rerank` column, which then alone orders the best max(2 k, 16)."""
     from graphloom.operators.graph import visible
 
@@ -145,7 +179,8 @@ def search(tables: dict[str, DataFrame], query: list[float], terms: list[str], n
     with_vectors = "embedding" in tables["entity"].columns
     start = seeds(tables["entity"], names, query if with_vectors else None, settings.seed_distance)
     graph = graph_candidates(expand(tables["related"], start, settings.max_neighbours), tables["mentions"], chunk, document, k, seen)
-    words = bm25_search(*postings(chunk), terms, clamp(4 * k, 20, 100), settings)
+    index = (tables["postings"], tables["lengths"]) if "postings" in tables else postings(chunk, analyser, terms)
+    words = bm25_search(*index, terms, clamp(4 * k, 20, 100), settings)
     found = candidates(vector, graph, words, k)
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
     detail = chunk.join(F.broadcast(found.select("id")), "id", "left_semi").join(docs, "doc_id", "left_semi")

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom import models
 from graphloom.operators import ingest
 from graphloom.schema import TABLES
 
@@ -31,7 +32,8 @@ class Files:
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark.sparkContext._jvm
         self.path = self.jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.gateway, self.conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path(root).getFileSystem(self.conf)
 
     def read(self, path: str) -> str | None:
         if not self.fs.exists(self.path(path)):
@@ -42,14 +44,36 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
-        """Write aside, then rename over: a reader sees the old text or the new."""
-        aside = self.path(f"{path}.{uuid.uuid4().hex}")
-        stream = self.fs.create(aside, True)
+    def _put(self, path: str, text: str, overwrite: bool) -> None:
+        stream = self.fs.create(self.path(path), overwrite)
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(self.path(path), False)
-        self.fs.rename(aside, self.path(path))
+
+    def replace(self, path: str, text: str) -> None:
+        """Write aside, then rename over in one step of the file system: a reader sees the old text or the new."""
+        aside = f"{path}.{uuid.uuid4().hex}"
+        self._put(aside, text, True)
+        over = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = over
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(self.fs.makeQualified(self.path(aside)), self.fs.makeQualified(self.path(path)), options)
+
+    def claim(self, path: str) -> bool:
+        """Make a file that must not exist; whether this call made it."""
+        from py4j.protocol import Py4JJavaError
+
+        try:
+            self._put(path, "", False)
+        except Py4JJavaError:
+            if not self.fs.exists(self.path(path)):
+                raise
+            return False
+        return True
+
+    def rename(self, path: str, to: str) -> None:
+        if not self.fs.rename(self.path(path), self.path(to)):
+            raise OSError(f"cannot rename {path}")
 
     def names(self, path: str) -> list[str]:
         if not self.fs.exists(self.path(path)):
@@ -86,6 +110,19 @@ class Projects:
             raise Conflict(f"{project} was made with the model {store.manifest()['model']}")
         return store
 
+    def rename(self, project: str, name: str) -> None:
+        """A new display name."""
+        manifest = Store(self.spark, f"{self.root}/{project}").manifest()
+        self.files.replace(f"{self.root}/{project}/manifest.json", json.dumps(manifest | {"name": name}))
+
+    def health(self) -> dict:
+        """State of the service and its settings."""
+        from dataclasses import asdict
+
+        from graphloom.config import DEFAULTS
+
+        return {"status": "ok", "spark": self.spark.version, "projects": len(self.list()), "settings": asdict(DEFAULTS)}
+
     def delete(self, project: str) -> None:
         if not self.files.delete(f"{self.root}/{project}"):
             raise Missing(project)
@@ -116,11 +153,12 @@ class Store:
         return {name: self.table(name) for name in TABLES}
 
     def write(self, changed: dict[str, DataFrame]) -> int:
-        """A new version with the changed tables."""
-        manifest = self.manifest()
+        """A new version with the changed tables. Of two writers that start from one version the second to end
+        fails: the version is claimed by a file that only one can make."""
+        manifest, turn = self.manifest(), uuid.uuid4().hex[:8]
         version = manifest["version"] + 1
         for name, df in changed.items():
-            path = f"{self.root}/v{version}/{name}"
+            path = f"{self.root}/v{version}-{turn}/{name}"
             missing = [f for f in TABLES[name].fields if f.name not in df.columns]
             from pyspark.sql import functions as F
 
@@ -128,11 +166,14 @@ class Store:
             full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.mode("overwrite").parquet(path)
             manifest["tables"][name] = path
         manifest["version"] = version
+        if not self.files.claim(f"{self.root}/claims/{version}"):
+            raise Conflict(f"version {version} is written by another; if that writer died, remove {self.root}/claims/{version}")
         self.files.replace(f"{self.root}/manifest.json", json.dumps(manifest))
         return version
 
-    def ingest(self, document: DataFrame, create: bool = False, extract=ingest.capital_mentions, structured: bool = True, **sizes) -> int:
-        """Documents to a new version; `create` refuses ids that exist, else they are replaced and keep creator and creation date."""
+    def ingest(self, document: DataFrame, create: bool = False, extract=ingest.capital_mentions, structured: bool = True, embedder=models.HashedTerms, **sizes) -> int:
+        """Documents to a new version, passages and new entities with their vectors, images with the passages that show
+        them; `create` refuses ids that exist, else they are replaced and keep creator and creation date."""
         from pyspark.sql import functions as F
 
         old = self.tables()
@@ -145,10 +186,12 @@ class Store:
             "creator": F.coalesce("creator", "old_creator"), "created_at": F.coalesce("old_created", "created_at", F.current_timestamp()),
             "updated_at": F.coalesce("updated_at", F.current_timestamp()), "status": F.coalesce("status", F.lit("PUBLISHED"))})
         full = full.select(*TABLES["document"].fieldNames())
-        chunk = ingest.passages(full, structured, **sizes)
+        chunk = ingest.passages(full, structured, **sizes).withColumn("embedding", models.embedded(F.col("text"), embedder))
         mentions, entity = ingest.canonical(ingest.cleaned(extract(chunk)), old["entity"])
-        fresh = entity.join(old["entity"].select("id"), "id", "left_anti")
-        new = {"document": full, "chunk": chunk.drop("images"), "mentions": mentions, "entity": fresh}
+        fresh = entity.join(old["entity"].select("id"), "id", "left_anti").withColumn("embedding", models.embedded(F.col("name"), embedder))
+        shown = chunk.select(F.col("id").alias("chunk_id"), "doc_id", "page", F.explode("images").alias("i")).withColumn("id", F.concat("doc_id", F.lit("!"), "i.n"))
+        new = {"document": full, "chunk": chunk.drop("images"), "mentions": mentions, "entity": fresh, "shows": shown.select("chunk_id", F.col("id").alias("image_id")),
+               "image": shown.select("id", "doc_id", F.col("i.caption").alias("caption"), "page", F.col("i.n").alias("n"))}
         return self.write(ingest.replaced(old, new, full.select("id")))
 
     def delete(self, ids: list[str]) -> int:

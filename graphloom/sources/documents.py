@@ -18,12 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.columns import LEADERS
 from graphloom.functions.text import fnv64
 
 EXTENSIONS = ("md", "markdown", "txt", "text", "html", "htm", "pdf", "docx", "pptx", "doc", "ppt")
 EXTRACTED = "struct<format: string, title: string, text: string, tags: array<string>, status: string, pages: int, structured: boolean, error: string>"
 # Headings that name no document.
-GENERIC = ("introduction", "sommaire", "contents", "table of contents", "table des matières", "abstract", "résumé", "overview", "summary", "preface", "préface", "avant-propos")
+GENERIC = (
+    "introduction", "sommaire", "table des matières", "table des matieres", "contents", "table of contents", "overview", "summary", "résumé", "resume",
+    "préambule", "preambule", "avant-propos", "foreword", "preface", "préface", "contexte", "context", "objet", "purpose", "scope", "périmètre",
+    "historique", "historique des versions", "suivi des versions", "version history", "revision history", "document history", "document control",
+    "glossaire", "glossary", "abstract")
 
 
 def detect(name: str, data: bytes) -> str:
@@ -87,12 +92,10 @@ def is_generic(title: str) -> bool:
 
 
 def first_heading(text: str) -> str | None:
-    """The first top heading that is not generic."""
-    for m in re.finditer(r"(?m)^\s*# (.+)$", text):
-        title = m[1].strip().rstrip("#").strip()
-        if title and not is_generic(title):
-            return title
-    return None
+    """The first top heading, unless it is generic: then the file's name is the better title."""
+    m = re.search(r"(?m)^[^\S\n]*# [^\S\n]*(\S.*)$", text)
+    title = m[1].strip() if m else ""
+    return title if title and not is_generic(title) else None
 
 
 _SKIP = frozenset("script style head nav aside footer form noscript template iframe svg button select".split())
@@ -369,7 +372,7 @@ def pdf_markdown(xml: str) -> tuple[str, int]:
                 out[-1] = out[-1][:-1] + x["text"]
             else:
                 out.append(x["text"])
-    return re.sub(r"(?:[ \t]*[.·•…_][ \t]?){4,}", " … ", "\n".join(out)), len(pages)
+    return re.sub(LEADERS, " … ", "\n".join(out)), len(pages)
 
 
 def extract(name: str, data: bytes) -> dict:
@@ -525,3 +528,13 @@ def to_json_lines(df: DataFrame) -> DataFrame:
 
 def dumps(value) -> str:
     return json.dumps(value, ensure_ascii=False, default=str)
+
+
+def inside(root: str, path: str) -> str:
+    """The real path of a watched folder, links followed; an error if it is not below the watch root."""
+    import os
+
+    top, found = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([top, found]) != top:
+        raise ValueError(f"outside the watch root: {path}")
+    return found

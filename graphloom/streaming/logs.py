@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,25 +39,73 @@ def hourly(calls: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def new_passages(sent: DataFrame, hours: int = 4) -> DataFrame:
-    """(session, chunk_id) of a stream (session, chunk_id, ts) without what the session had in the last hours.
+    """(session, chunk_id) of a stream (session, chunk_id[, ts]) without what the session had in the last hours.
 
-    State is the session's ids; it times out `hours` after its last record."""
+    State is the session's ids; it times out, by event time (arrival where there is no ts), `hours` after its last
+    record. The limit on the number of sessions is one over all keys: see `session_ids` for a table of sent passages."""
+    if "ts" not in sent.columns:
+        sent = sent.withColumn("ts", F.current_timestamp())
+    sent = sent.withWatermark("ts", "0 seconds")
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        had = set(state.get[0].split("\n")) if state.exists else set()
+        had, last = set(state.get[0].split("\n")) if state.exists else set(), state.get[1] if state.exists else 0
         for pdf in batches:
+            last = max(last, int(pdf["ts"].max().timestamp() * 1000))
             fresh = pdf.drop_duplicates("chunk_id")
             fresh = fresh[~fresh["chunk_id"].isin(had)]
             had |= set(fresh["chunk_id"])
             yield fresh[["session", "chunk_id"]]
-        state.update(("\n".join(sorted(had)),))
-        state.setTimeoutDuration(hours * 3_600_000)
+        state.update(("\n".join(sorted(had)), last))
+        state.setTimeoutTimestamp(max(last + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
 
     return sent.groupBy("session").applyInPandasWithState(
-        step, "session string, chunk_id string", "ids string", "append", "ProcessingTimeTimeout")
+        step, "session string, chunk_id string", "ids string, last long", "append", "EventTimeTimeout")
+
+
+def session_ids(sent: DataFrame, now, hours: int = 4, most: int = 500) -> DataFrame:
+    """(session, chunk_id) of a table (session, chunk_id, ts) that sessions still remember: those active in the last
+    hours, and of these the `most` latest; older ones are forgotten whole."""
+    live = sent.groupBy("session").agg(F.max("ts").alias("last")).where(F.col("last") > now - F.expr(f"INTERVAL {hours} HOURS"))
+    kept = live.orderBy(F.desc("last"), "session").limit(most).select("session")
+    return sent.join(F.broadcast(kept), "session", "left_semi").select("session", "chunk_id").distinct()  # `most` rows at most
+
+
+def rotate_log(spark: SparkSession, path: str, most_bytes: int = 20_000_000) -> str | None:
+    """Move a log aside when it has grown above the limit; its new name, or None."""
+    import time
+
+    from graphloom.operators.store import Files
+
+    files = Files(spark, path)
+    if files.size(path) <= most_bytes:
+        return None
+    aside = f"{path.rstrip('/')}-{int(time.time() * 1000)}"
+    files.rename(path, aside)
+    return aside
+
+
+def clear_log(spark: SparkSession, path: str, project: str = "") -> int:
+    """Forget the calls of one project, or all calls and rotated logs; how many of the visible calls went."""
+    import uuid
+
+    from graphloom.operators.store import Files
+
+    files, path = Files(spark, path), path.rstrip("/")
+    rows = read_log(spark, path)
+    gone = rows if not project else rows.where(F.col("project") == project)
+    count = gone.count()
+    aside = f"{path}.{uuid.uuid4().hex}"
+    rows.where(~F.col("project").eqNullSafe(project) if project else F.lit(False)).write.json(aside)
+    folder, name = path.rsplit("/", 1)
+    for old in files.names(folder) if not project else []:
+        if re.fullmatch(re.escape(name) + r"-\d+", old):
+            files.delete(f"{folder}/{old}")
+    files.delete(path)
+    files.rename(aside, path)
+    return count
 
 
 def poll_folder(list_now: Callable[[], DataFrame], load_state: Callable[[], DataFrame], present: Callable[[], DataFrame], apply: Callable[[DataFrame], None]) -> DataFrame:

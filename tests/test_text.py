@@ -39,7 +39,7 @@ def test_long_sentence():
 
 
 def test_prose_display_clip():
-    assert t.prose("a\n```\ncode\n```\nb\n~~~\nrest") == "a\nb"
+    assert t.prose("a\n```\ncode\n```\nb\n~~~\nrest") == "a\nb\n~~~\nrest" and t.prose("a\n ```x\nrest") == "a"
     assert t.split_heading("A › B\nbody") == ("A › B", "body") and t.split_heading("x\ny") == (None, "x\ny")
     assert t.display_sentences("Short. This sentence is long enough to show. No end mark but also long") == ["This sentence is long enough to show."]
     assert t.clip("abcdef", 3) == "abc…" and t.clip_bytes("é" * 200, 301) == "é" * 150 + "…"
@@ -60,3 +60,30 @@ def test_stems():
     assert stem.french("chevaux") == "cheval" and stem.french("nationales") == stem.french("nationale")
     assert stem.french("parlerions") == stem.french("parler") == "parl"
     assert stem.analyse("The cats") == ["cat"] or "cat" in stem.analyse("The cats")
+
+
+def test_fences_hide_markers_and_images_are_placed_once():
+    got = t.chunk_document("```\n<!-- page 9 -->\n```\n<!-- page 2 -->\nx.\n")
+    assert [(g["page"], "page 9" in g["text"]) for g in got] == [(None, True), (2, False)]
+    words = " ".join(f"Sentence {i} is here." for i in range(12))
+    got = t.chunk_document(f"{words}\n<!-- image 4 -->\n{words}", 300, 150)
+    assert sum(len(g["images"]) for g in got) == 1 and all(g["text"] for g in got)
+
+
+def test_ranges_against_a_plain_loop():
+    import random
+
+    r = random.Random(2)
+    for _ in range(300):
+        costs = [r.randrange(1, 40) for _ in range(r.randrange(0, 25))]
+        size, overlap = r.randrange(20, 90), r.randrange(0, 45)
+        want, window, used = [], [], 0
+        for i, c in enumerate(costs):
+            if window and used + 1 + c > size:
+                want.append((window[0], window[-1] + 1))
+                kept = [j for j in window if sum(costs[j:i]) + i - j - 1 <= overlap]
+                window, used = kept, sum(costs[j] + 1 for j in kept)
+            used += c + bool(window)
+            window.append(i)
+        want += [(window[0], window[-1] + 1)] if window else []
+        assert t.ranges(costs, size, overlap) == want
