@@ -98,7 +98,8 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.0) -> DataFra
     counted = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("b"))
     by_host = hosts.groupBy("host").agg(F.lit(0.0).alias("n"), F.lit(0.0).alias("b")).unionByName(counted).groupBy("host").agg(
         F.sum("n").alias("n"), F.sum("b").alias("b"))
-    by_host = by_host.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    # a table of the hosts alone: the levels read it several times
+    by_host = _shared.cut(by_host.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "op5-hosts")
     by_domain = by_host.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.first("suffix").alias("suffix"))
     by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     whole = by_suffix.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("an"), F.coalesce(F.sum("b"), F.lit(0.0)).alias("ab"))
@@ -106,7 +107,7 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.0) -> DataFra
     top = whole.select(base.alias("m"), (base * (1 - base) / (F.col("an") + 3)).alias("v"))  # one row
     above = lambda level, name: level.select(name, F.col("mean").alias("m"), F.col("var").alias("v"))
     suffixes = _posterior(by_suffix.crossJoin(F.broadcast(top)))
-    domains = _posterior(by_domain.join(above(suffixes, "suffix"), "suffix"))
+    domains = _shared.cut(_posterior(by_domain.join(above(suffixes, "suffix"), "suffix")).select("domain", "mean", "var"), "op5-domains")
     found = _posterior(by_host.join(above(domains, "domain"), "domain"))
     return found.select("host", "n", F.col("b").alias("bad"), "mean", (F.col("mean") - z * F.sqrt("var")).alias("bound"))
 

@@ -80,3 +80,16 @@ def test_against_brute_force(spark, most):
         assert (i, kept) in texts
     assert line_dedup(df, most, 9).columns == df.columns
     assert report(df.limit(0)).count() == 0
+
+
+def test_groups_of_near_copies_and_hot_lines(spark):
+    """Copies with one changed letter are settled by a leader; copies with two are compared with all, and only those within two edits go."""
+    r = random.Random(9)
+    base = "".join(r.choices("abcdefgh ijkl", k=60))
+    near = [base[:p] + "Z" + base[p + 1:] for p in range(60)]
+    far = [mutate(r, mutate(r, base, 2), 3) for _ in range(60)]
+    other = ["".join(r.choices("mnopqrst", k=20)) + base[20:] for _ in range(20)]  # two segments of three in common
+    docs = [(i, f"{base}\n{r.choice(near + far + other)}\n{r.choice(near)}") for i in range(120)] + [(500 + i, t) for i, t in enumerate(near + far + other)]
+    docs = [(i, t if i % 3 else t + "\n" + base) for i, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in report(df, 2, 9).collect()) == sorted(brute(docs, 2, 9))

@@ -74,3 +74,17 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run_on_small_data(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """No rows give no rows; columns named like the operators' own are carried through."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, key string, h long, mark string, row_id long, block int, carry string, n_chars int, removed string"
+    full = spark.createDataFrame([(i, f"{w} " * 12, "k", i, "m", -i, 3, "c", 1, "r") for i, w in enumerate(("alpha", "beta", "gamma", "delta"))], schema)
+    for df, count in ((full.limit(0), 0), (full, 4)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == df.columns, name
+            assert out.count() == count, name
+            assert all(r.carry == "c" and r.removed == "r" for r in out.collect())
+        assert (corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() > 0) == (count > 0)
