@@ -138,6 +138,60 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+#: Sets of shingles, counted pairs of those that share one, links, and the smallest id reachable.
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+ids AS (SELECT s, list(doc_id) AS d FROM shingle GROUP BY 1 HAVING count(*) > 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM shingle x JOIN shingle y USING (s) WHERE x.doc_id < y.doc_id AND s IN (SELECT s FROM ids) GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b WHERE 100 * pairs.both >= 90 * (p.n + q.n - pairs.both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS c FROM ways UNION SELECT w.b, r.c FROM reach r JOIN ways w ON w.a = r.id),
+roots AS (SELECT id, min(c) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sized USING (doc_id) LEFT JOIN roots ON id = d.doc_id
+"""
+
+#: Lines that share a third, at a shift of two at most, and are two edits apart; letters beyond ASCII are single bytes for the distance.
+OP7_SQL = r"""
+WITH long AS (
+  SELECT doc_id, no - 1 AS no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents)
+  WHERE length(line) >= 40),
+firsts AS (SELECT line, arg_min({'d': doc_id, 'n': no}, {'d': doc_id, 'n': no}) AS place, length(line) AS l, row_number() OVER () AS h,
+  translate(line, 'éèêçäöüßáíóúñàâîôû', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(11) || chr(12) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21)) AS flat
+  FROM long GROUP BY line),
+own AS (SELECT h, i, l // 3 AS s, substr(line, i * (l // 3) + 1, l // 3) AS part FROM firsts, range(3) r(i)),
+ask AS (SELECT DISTINCT h, i, (l - d) // 3 AS s, substr(line, i * ((l - d) // 3) + shift + 1, (l - d) // 3) AS part
+  FROM firsts, range(3) r(i), range(3) e(d), range(-2, 3) f(shift) WHERE i * ((l - d) // 3) + shift >= 0),
+met AS (SELECT DISTINCT o.h AS a, p.h AS b FROM own o JOIN ask p USING (i, s, part) WHERE o.h <> p.h),
+near AS (SELECT x.line AS la, x.place AS pa, y.line AS lb, y.place AS pb FROM met JOIN firsts x ON x.h = a JOIN firsts y ON y.h = b
+  WHERE abs(x.l - y.l) <= 2 AND levenshtein(x.flat, y.flat) <= 2),
+later AS (SELECT lb AS line FROM near WHERE pa < pb UNION SELECT la FROM near WHERE pb < pa),
+gone AS (SELECT doc_id, list(no ORDER BY no) AS g FROM long JOIN firsts USING (line) WHERE place <> {'d': doc_id, 'n': no} OR line IN (FROM later) GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(g), 0)::BIGINT AS n_removed,
+  coalesce(array_to_string(list_transform(g, lambda x: x::VARCHAR), ','), '') AS removed FROM documents LEFT JOIN gone USING (doc_id)
+"""
+
+#: Every 50-byte string with its smallest document; the bytes that later ones cover, as islands; the rest put together.
+OP8_SQL = r"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS w FROM (SELECT doc_id, x, unnest(range(n - 49)) AS p FROM raw WHERE n >= 50)),
+least_of AS (SELECT w, min(doc_id) AS d FROM starts GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, p FROM starts JOIN least_of USING (w) WHERE d < doc_id),
+marked AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+island AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
+edges AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM island GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(len(a) + 1), lambda i:
+    substr(x, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN n ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '') END)) AS kept_sha256
+FROM raw LEFT JOIN edges USING (doc_id)
+"""
+
+
 QUERIES = {"op7_line_dedup": op7_line_dedup, "op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
 
-ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL}
+ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
