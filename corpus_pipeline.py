@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes at least that stand in a document of a smaller id go."""
+    """Passages of 100 bytes at least that stand in a document of a smaller id go; a null text becomes empty."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     done = suffix_dedup.suffix_dedup(docs, length=100, whole_chars=True, carry=others)
     by_name = {"doc_id": F.col("doc_id"), "text": F.decode("kept", "UTF-8"), **{c: F.col(f"carry.`{c}`") for c in others}}
