@@ -159,7 +159,7 @@ def unknown_chunks(cited: DataFrame, chunk: DataFrame) -> DataFrame:
 def read_window(chunk: DataFrame, wanted: DataFrame, window: int = 1) -> DataFrame:
     """Passages within `window` (0 to 3) of those asked for (id), in ranges merged when they touch: (doc_id, range, idx, id, asked, text)."""
     window = max(0, min(DEFAULTS.read_window, window))
-    asked = chunk.join(F.broadcast(wanted.select("id").distinct()), "id", "left_semi").select("doc_id", "idx")
+    asked = chunk.join(wanted.select("id").distinct(), "id", "left_semi").select("doc_id", "idx")
     around = asked.select("doc_id", F.explode(F.sequence(F.col("idx") - window, F.col("idx") + window)).alias("idx")).distinct()
     found = chunk.join(around, ["doc_id", "idx"]).join(asked.withColumn("asked", F.lit(True)), ["doc_id", "idx"], "left")
     order = Window.partitionBy("doc_id").orderBy("idx")

@@ -107,8 +107,8 @@ def expand(related: DataFrame, seed: DataFrame, limit: int = DEFAULTS.max_neighb
 def graph_candidates(entities: DataFrame, mentions: DataFrame, chunk: DataFrame, document: DataFrame, k: int, seen: Column) -> DataFrame:
     """(id, graph): passages by the sum of the weights of the entities that they mention."""
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
-    hits = mentions.join(F.broadcast(entities.select(F.col("id").alias("entity_id"), "score_e") if "score_e" in entities.columns else
-                                     entities.select(F.col("id").alias("entity_id"), F.col("score").alias("score_e"))), "entity_id")
+    weight = "score_e" if "score_e" in entities.columns else "score"
+    hits = mentions.join(entities.select(F.col("id").alias("entity_id"), F.col(weight).alias("score_e")), "entity_id")
     placed = hits.join(chunk.select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id").join(docs, "doc_id", "left_semi")
     return placed.groupBy(F.col("chunk_id").alias("id")).agg(F.sum("score_e").alias("graph")).orderBy(F.desc("graph"), "id").limit(max(2 * k, 10))
 
