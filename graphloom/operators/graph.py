@@ -147,10 +147,10 @@ def neighbourhood(related: DataFrame, entity_id: str, limit: int = 500) -> tuple
 
 def thinned(edges: DataFrame, nodes: int) -> DataFrame:
     """A dense graph's edges above a cut: the weight at place 3 n when there are more than 4 n, two at least."""
-    if edges.count() <= 4 * nodes:
-        return edges
-    at = edges.orderBy(F.desc("weight"), "a", "b").offset(3 * nodes).limit(1).select(F.greatest(F.lit(2), "weight").alias("cut"))
-    return edges.crossJoin(F.broadcast(at)).where("weight >= cut").drop("cut")
+    at = edges.orderBy(F.desc("weight"), "a", "b").offset(3 * nodes).limit(1).agg(F.max(F.greatest(F.lit(2), "weight")).alias("cut"))
+    more = edges.offset(4 * nodes).limit(1).agg(F.count("*").alias("more"))
+    # one row each
+    return edges.crossJoin(F.broadcast(at)).crossJoin(F.broadcast(more)).where("more = 0 or weight >= cut").drop("cut", "more")
 
 
 def without_labels(nodes: DataFrame, edges: DataFrame, hidden: list[str]) -> tuple[DataFrame, DataFrame]:

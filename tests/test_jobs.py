@@ -96,3 +96,13 @@ def test_logs_clear_rotate_and_sessions(spark, tmp_path):
     sent = spark.createDataFrame([(f"s{i}", "c", i) for i in range(5)] + [("s4", "d", 9)], "session string, chunk_id string, t long").withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
     got = logs.session_ids(sent, F.timestamp_seconds(F.lit(6 * 3600)), hours=4, most=2)
     assert {(r.session, r.chunk_id) for r in got.collect()} == {("s3", "c"), ("s4", "c"), ("s4", "d")}
+
+
+def test_dense_maps_are_thinned(spark):
+    from graphloom.operators import graph
+
+    weights = [i % 7 + 1 for i in range(30)]
+    edges = spark.createDataFrame([(str(i), str(i + 1), w) for i, w in enumerate(weights)], "a string, b string, weight long")
+    for nodes in (3, 7, 8, 100):
+        cut = max(2, sorted(weights, reverse=True)[3 * nodes]) if len(weights) > 4 * nodes else 0
+        assert graph.thinned(edges, nodes).count() == sum(w >= cut for w in weights)
