@@ -130,6 +130,21 @@ def useful_alt(alt) -> Column:
 LEADERS = r"[ \t]*(?:[.·•…_‧∙⋅\uFFFD][ \t]?){4,}"
 
 
+def clip_bytes(c, most: int = 300) -> Column:
+    """At most `most` bytes of UTF-8, cut between characters."""
+    raw = c.cast("binary")
+    cut = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, most - i).cast("string")) for i in range(4)])
+    return F.when(F.octet_length(c) > most, F.concat(cut, F.lit("…"))).otherwise(c)
+
+
+def natural_key(c) -> Column:
+    """Sort key where runs of digits compare as numbers and stand after other text: each run behind its length."""
+    parts = F.regexp_extract_all(c, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    number = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    return F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.concat(F.lit("1"), F.lpad(F.char_length(number(x)).cast("string"), 9, "0"), number(x)))
+                       .otherwise(F.concat(F.lit("0"), x)))
+
+
 def collapse_leaders(c) -> Column:
     """Leaders of four at least become one ellipsis."""
     return F.regexp_replace(c, LEADERS, " … ")

@@ -107,6 +107,19 @@ def neighbours(related: DataFrame, entity_id: str, limit: int = 50) -> DataFrame
     return both_ways(related).where(F.col("x") == entity_id).select(F.col("y").alias("id"), "weight").orderBy(F.desc("weight"), "id").limit(limit)
 
 
+def entity_detail(tables: dict[str, DataFrame], entity_id: str, limit: int = 50) -> dict[str, DataFrame]:
+    """Everything about one entity: itself, its neighbours, documents, passages and, where there are any, images."""
+    mentions, chunk = tables["mentions"], tables["chunk"]
+    own = mentions.where(F.col("entity_id") == entity_id).select(F.col("chunk_id").alias("id")).distinct()
+    of = chunk.join(own, "id", "left_semi")
+    out = {"entity": tables["entity"].where(F.col("id") == entity_id), "neighbours": neighbours(tables["related"], entity_id, limit),
+           "documents": entity_documents(mentions, chunk, tables["document"], entity_id),
+           "passages": of.select("id", "doc_id", "idx", "page", "text").orderBy("doc_id", "idx").limit(limit)}
+    if "image" in tables:
+        out["images"] = images_of(of, tables["shows"], tables["image"])
+    return out
+
+
 def relation(mentions: DataFrame, chunk: DataFrame, first: str, second: str, limit: int = 30) -> DataFrame:
     """Passages that mention both entities; the weight is their number, counted before the limit."""
     of = lambda e: mentions.where(F.col("entity_id") == e).select("chunk_id").distinct()

@@ -110,7 +110,8 @@ def graph_candidates(entities: DataFrame, mentions: DataFrame, chunk: DataFrame,
     weight = "score_e" if "score_e" in entities.columns else "score"
     hits = mentions.join(entities.select(F.col("id").alias("entity_id"), F.col(weight).alias("score_e")), "entity_id")
     placed = hits.join(chunk.select(F.col("id").alias("chunk_id"), "doc_id"), "chunk_id").join(docs, "doc_id", "left_semi")
-    return placed.groupBy(F.col("chunk_id").alias("id")).agg(F.sum("score_e").alias("graph")).orderBy(F.desc("graph"), "id").limit(max(2 * k, 10))
+    # rounded: a sum of doubles depends on the order of the rows, and the order of ties on the sum
+    return placed.groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.sum("score_e"), 9).alias("graph")).orderBy(F.desc("graph"), "id").limit(max(2 * k, 10))
 
 
 def candidates(vector: DataFrame, graph: DataFrame, keywords: DataFrame, k: int) -> DataFrame:

@@ -73,8 +73,10 @@ class Project:
 
     @cached_property
     def passages(self) -> DataFrame:
-        """First lines of documents that have a vector."""
-        first = self.chunk.where("idx = 0").select("id", "doc_id", "text", "idx", "page")
+        """First lines of documents that have a vector; cut from the text, other lines never become rows."""
+        lines = self.raw("documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"), "source")
+        page = F.when(F.col("source") == "src0", 0).otherwise(1).cast("long")
+        first = lines.where("text <> ''").select(F.concat("doc_id", F.lit("#0")).alias("id"), "doc_id", "text", F.lit(0).cast("long").alias("idx"), page.alias("page"))
         return first.join(self.raw("embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding"), "doc_id")
 
 

@@ -512,6 +512,26 @@ def stored_name(doc_id: str, ending: str) -> str:
     return f"{fnv64(doc_id.encode())}.{ending}"
 
 
+def stored_names(doc_id, ending: str) -> F.Column:
+    """stored_name() of a column of ids."""
+
+    @F.pandas_udf("string")
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: None if i is None else stored_name(i, ending))
+
+    return run(doc_id)
+
+
+def resolved_links(base, link) -> F.Column:
+    """resolve_url() of columns; null where either is null."""
+
+    @F.pandas_udf("string")
+    def run(bases: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None or x is None else resolve_url(b, x) for b, x in zip(bases, links, strict=True)], dtype=object)
+
+    return run(base, link)
+
+
 def image_file(data: bytes, ending: str) -> str:
     return f"{fnv64(data)}.{ending}"
 
