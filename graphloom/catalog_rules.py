@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.catalog import BM25_SQL, COS, EXPAND_SQL, FEEDBACK_SQL, HYBRID_SQL, TERMS, _feedback, _query_vector, query, r6
+from graphloom.catalog import COS, EXPAND_SQL, FEEDBACK_SQL, HYBRID_SQL, TERMS, _feedback, _query_vector, query, r6
 from graphloom.functions import columns as C
 from graphloom.operators import console, context, graph, ingest, records, retrieval
 from graphloom.plans.driver_tables import Project
@@ -143,15 +143,13 @@ query("flt04_min_score", f"""WITH sim AS (SELECT e.vec_id AS id, {COS} AS s, e.v
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
 SELECT id, round(s + w + 0.05 * coalesce(g / top_g, 0), 6) AS score, src = 2 AS via_graph, src = 3 AS via_keywords FROM (SELECT *, 0.04 * coalesce(k / (SELECT max(k) FROM sim), 0) AS w, (SELECT max(g) FROM sim) AS top_g FROM sim)
 WHERE s + w >= 0.05""", False)(
-    lambda p: (lambda v: retrieval.fused(
-        v.select("id", (F.col("id") % 3 + 1).alias("source")), v.select("id", C.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(p)))).alias("similarity")),
-        v.where("id % 5 = 0").select("id", (F.col("id") % 11 + 1).cast("double").alias("graph")),
-        v.where("id % 7 = 0").select(F.col("id").alias("chunk_id"), (F.col("id") % 13 + 1).cast("double").alias("score")), 0.05))(p.vectors).select("id", r6(F.col("score"), "score"), "via_graph", "via_keywords"))
+    lambda p: retrieval.fused(p.vectors.select(
+        "id", C.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(p)))).alias("similarity"), (F.col("id") % 3 + 1).alias("source"), F.when(F.col("id") % 5 == 0, F.col("id") % 11 + 1.0).alias("graph"),
+        F.when(F.col("id") % 7 == 0, F.col("id") % 13 + 1.0).alias("bm25"), F.lit(11.0).alias("graph_max"), F.lit(13.0).alias("bm25_max")), 0.05).select("id", r6(F.col("score"), "score"), "via_graph", "via_keywords"))
 query("kw01_index_changes", r"""SELECT id AS chunk_id, term, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) AS term
   FROM chunk WHERE doc_id < '7') GROUP BY 1, 2""")(
     lambda p: retrieval.KeywordIndex.build(p.chunk.where("doc_id < '5'"), retrieval.simple_terms).with_passages(p.chunk.where("doc_id >= '4'"), retrieval.simple_terms)
     .without(p.chunk.where("doc_id >= '7'").select(F.col("id").alias("chunk_id"))).tf)
-ranked_sql = HYBRID_SQL[len(BM25_SQL):]
 GRAPH_SEARCH_SQL = EXPAND_SQL + (", " + HYBRID_SQL.lstrip().removeprefix(",")).replace(
     "cand AS (SELECT id, min(src) AS src FROM (SELECT id, 1 AS src FROM vec UNION ALL", """gr AS (SELECT m.chunk_id AS id, round(sum(g.score), 9) AS g FROM mentions m JOIN grown g ON g.id = m.entity_id JOIN passages p ON p.id = m.chunk_id
   JOIN document d ON d.id = p.doc_id WHERE d.status = 'PUBLISHED' GROUP BY 1 ORDER BY round(sum(g.score), 9) DESC, 1 LIMIT 16), gr_max AS (SELECT max(g) AS top FROM gr),

@@ -78,9 +78,11 @@ def nearest(vectors: DataFrame, query: list[float], limit: int, where: Column |
 
 def vector_candidates(chunk: DataFrame, document: DataFrame, query: list[float], k: int, seen: Column) -> DataFrame:
     """A pool of clamp(8 k, 40, 400) nearest passages, then the visible ones, then max(2 k, 10)."""
-    pool = nearest(chunk.select("id", "embedding"), query, clamp(8 * k, 40, 400))
+    q = F.array(*[F.lit(float(x)) for x in query])
+    scored = chunk.select("id", "doc_id", cosine(F.col("embedding"), q).alias("similarity"))  # one reading: the document comes along
+    pool = scored.orderBy(F.desc("similarity"), "id").limit(clamp(8 * k, 40, 400))
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
-    return (pool.join(chunk.select("id", "doc_id"), "id").join(docs, "doc_id", "left_semi")
+    return (pool.join(docs, "doc_id", "left_semi")
             .select("id", "similarity").orderBy(F.desc("similarity"), "id").limit(max(2 * k, 10)))
 
 
@@ -98,8 +100,8 @@ def expand(related: DataFrame, seed: DataFrame, limit: int = DEFAULTS.max_neighb
     start = F.broadcast(seed.select(F.col("id").alias("x"), "score"))  # named entities and ten at most
     edges = both_ways(related).join(start, "x").join(F.broadcast(seed.select(F.col("id").alias("y"))), "y", "left_anti")
     strongest = edges.orderBy(F.desc("weight"), "x", "y").limit(limit)
-    most = strongest.agg(F.max("weight").alias("most"))
-    near = strongest.crossJoin(most).select(F.col("y").alias("id"), (0.5 * F.col("score") * F.col("weight") / F.col("most")).alias("score"))
+    most = F.max("weight").over(Window.partitionBy())  # over `limit` rows
+    near = strongest.withColumn("most", most).select(F.col("y").alias("id"), (0.5 * F.col("score") * F.col("weight") / F.col("most")).alias("score"))
     near = near.groupBy("id").agg(F.max("score").alias("score")).withColumn("via", F.lit("neighbour"))
     return seed.select("id", "score", "via").unionByName(near)
 
@@ -115,33 +117,36 @@ def graph_candidates(entities: DataFrame, mentions: DataFrame, chunk: DataFrame,
 
 
 def candidates(vector: DataFrame, graph: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
-    """Union with flags: the vector list, then graph passages, then the first max(2 k, 10) keyword hits."""
-    first = keywords.orderBy(F.desc("score"), "chunk_id").limit(max(2 * k, 10)).select(F.col("chunk_id").alias("id"))
-    ranked = vector.select("id", F.lit(1).alias("source")).unionByName(graph.select("id", F.lit(2).alias("source"))).unionByName(
-        first.withColumn("source", F.lit(3)))
-    return ranked.groupBy("id").agg(F.min("source").alias("source"))
+    """(id, source, graph, bm25, graph_max, bm25_max): the vector list (source 1), graph passages (2), then the first
+    max(2 k, 10) keyword hits (3), with the scores that a passage has on any list and the best of each list.
+
+    Each list is read once: they are put below one another and grouped."""
+    whole = Window.partitionBy()  # the lists hold a few hundred rows at most
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "chunk_id"))
+    none = F.lit(None).cast("double")
+    rows = (vector.select("id", F.lit(1).alias("source"), none.alias("graph"), none.alias("bm25"))
+            .unionByName(graph.select("id", F.lit(2).alias("source"), "graph", none.alias("bm25")))
+            .unionByName(keywords.select(F.col("chunk_id").alias("id"), F.when(place <= max(2 * k, 10), 3).alias("source"), none.alias("graph"), F.col("score").alias("bm25"))))
+    found = rows.groupBy("id").agg(F.min("source").alias("source"), F.max("graph").alias("graph"), F.max("bm25").alias("bm25"))
+    return found.withColumns({"graph_max": F.max("graph").over(whole), "bm25_max": F.max("bm25").over(whole)}).where("source is not null")
 
 
-def fused(cands: DataFrame, similarity: DataFrame, graph: DataFrame, keywords: DataFrame, min_score: float, settings: Settings = DEFAULTS) -> DataFrame:
-    """(id, similarity, score, via_graph, via_keywords): candidates above the threshold, best first.
+def fused(found: DataFrame, min_score: float, settings: Settings = DEFAULTS) -> DataFrame:
+    """Rows of found(similarity and the columns of candidates()) above the threshold with score, via_graph, via_keywords.
 
     Threshold: similarity and keyword boost; the graph boost counts only in the order."""
-    whole = Window.partitionBy()  # the candidates are a few hundred at most
-    best = keywords.select(F.col("chunk_id").alias("id"), F.col("score").alias("bm25")).withColumn("bm25_max", F.max("bm25").over(whole))
-    ranked = graph.withColumn("graph_max", F.max("graph").over(whole))
-    joined = cands.join(similarity, "id").join(ranked, "id", "left").join(best, "id", "left")
     word = settings.keyword_boost * F.coalesce(F.try_divide("bm25", "bm25_max"), F.lit(0.0))
     edge = settings.graph_boost * F.coalesce(F.try_divide("graph", "graph_max"), F.lit(0.0))
-    return (joined.withColumns({"word": word, "edge": edge}).where(F.col("similarity") + F.col("word") >= min_score)
-            .select("id", "similarity", (F.col("similarity") + F.col("edge") + F.col("word")).alias("score"),
-                    (F.col("source") == 2).alias("via_graph"), (F.col("source") == 3).alias("via_keywords"))
-            .orderBy(F.desc("score"), "id"))
+    return (found.withColumns({"word": word, "edge": edge}).where(F.col("similarity") + F.col("word") >= min_score)
+            .withColumns({"score": F.col("similarity") + F.col("edge") + F.col("word"), "via_graph": F.col("source") == 2, "via_keywords": F.col("source") == 3})
+            .drop("word", "edge", "source", "graph", "bm25", "graph_max", "bm25_max"))
 
 
 def without_near_duplicates(ranked: DataFrame, k: int, threshold: float = DEFAULTS.near_duplicate, key: str = "query_id") -> DataFrame:
     """Greedy: in rank order a passage stays unless it is too near to one that stayed; testing ends at k.
 
-    ranked: (key, rank, id, embedding), a hundred rows a query at most."""
+    ranked: (key, rank, id, embedding, ...), a hundred rows a query at most; (key, id, rank, ..., place) comes back."""
+    carried = [c for c in ranked.columns if c not in (key, "id", "rank", "embedding")]
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -156,17 +161,18 @@ def without_near_duplicates(ranked: DataFrame, k: int, threshold: float = DEFAUL
             if all(float(v @ w) < threshold for w in kept):
                 kept.append(v)
                 rows.append(i)
-        out = pdf.iloc[rows][[key, "id", "rank"]].copy()
+        out = pdf.iloc[rows][[key, "id", "rank", *carried]].copy()
         out["place"] = range(1, len(out) + 1)
         return out
 
     types = dict(ranked.dtypes)
-    return ranked.groupBy(key).applyInPandas(keep, f"{key} {types[key]}, id {types['id']}, rank {types['rank']}, place bigint")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (key, "id", "rank", *carried))
+    return ranked.groupBy(key).applyInPandas(keep, f"{schema}, place bigint")
 
 
 def search(tables: dict[str, DataFrame], query: list[float], terms: list[str], names: list[str], k: int = DEFAULTS.k, drafts: bool = False,
            tags: list[str] | None = None, min_score: float = DEFAULTS.min_score, rerank=None, settings: Settings = DEFAULTS, analyser=stemmed_terms) -> DataFrame:
-    """Hybrid search: (rank, id, doc_id, similarity, score, via_graph, via_keywords, text).
+    """Hybrid search: (rank, id, doc_id, similarity, score, via_graph, via_keywords, text), and what `rerank` adds.
 
     terms: the question's, by the analyser (`stem.analyse`). Stored `postings` and `lengths` among the tables (see
     KeywordIndex) are used; else passages are analysed here.
@@ -184,18 +190,17 @@ def search(tables: dict[str, DataFrame], query: list[float], terms: list[str], n
     words = bm25_search(*index, terms, clamp(4 * k, 20, 100), settings)
     found = candidates(vector, graph, words, k)
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
-    detail = chunk.join(F.broadcast(found.select("id")), "id", "left_semi").join(docs, "doc_id", "left_semi")
     q = F.array(*[F.lit(float(x)) for x in query])
-    similarity = detail.select("id", cosine(F.col("embedding"), q).alias("similarity"))
-    ranked = fused(found, similarity, graph, words, min_score, settings)
+    # passages are read once for the candidates, a few hundred rows, and carry their text and vector to the end
+    detail = chunk.select("id", "doc_id", "text", "embedding").join(F.broadcast(found), "id").join(docs, "doc_id", "left_semi")
+    ranked = fused(detail.withColumn("similarity", cosine(F.col("embedding"), q)), min_score, settings)
     if rerank is not None:
-        ranked = rerank(ranked.limit(max(2 * k, 16)).join(chunk.select("id", "text"), "id")).orderBy(F.desc("rerank"), "id")
+        ranked = rerank(ranked.orderBy(F.desc("score"), "id").limit(max(2 * k, 16)))
     order = Window.partitionBy(F.lit(1)).orderBy(F.desc("rerank" if rerank is not None else "score"), "id")
-    placed = ranked.withColumn("rank", F.row_number().over(order)).withColumn("query_id", F.lit(1)).join(chunk.select("id", "embedding"), "id")
-    kept = without_near_duplicates(placed.select("query_id", "rank", "id", "embedding"), k, settings.near_duplicate)
-    extra = ranked.drop("text")
-    return (kept.select(F.col("place").alias("rank"), "id").join(extra, "id").join(chunk.select("id", "doc_id", "text"), "id")
-            .select("rank", "id", "doc_id", "similarity", "score", "via_graph", "via_keywords", "text").orderBy("rank"))
+    placed = ranked.withColumn("rank", F.row_number().over(order)).withColumn("query_id", F.lit(1))
+    kept = without_near_duplicates(placed, k, settings.near_duplicate)
+    more = [c for c in ranked.columns if c not in ("id", "doc_id", "similarity", "score", "via_graph", "via_keywords", "text", "embedding")]
+    return kept.select(F.col("place").alias("rank"), "id", "doc_id", "similarity", "score", "via_graph", "via_keywords", "text", *more).orderBy("rank")
 
 
 def lsh_nearest(vectors: DataFrame, query: list[float], limit: int, buckets: float = 0.5, tables: int = 8) -> DataFrame:
