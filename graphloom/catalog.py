@@ -95,7 +95,7 @@ def _query_vector(p: Project) -> list[float]:
 COS = """(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))
   * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))))"""
 query("cy30_cosine", f"SELECT e.vec_id AS id, round({COS}, 6) AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q", False)(
-    lambda p: p.vectors.select("id", r6(C.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(p)))), "similarity")))
+    lambda p: p.vectors.select("id", r6(C.cosine(F.col("embedding"), C.vector(_query_vector(p))), "similarity")))
 query("cy31_vector_index", f"SELECT e.vec_id AS id, round(1 - {COS}, 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {COS} DESC, id LIMIT 10", False)(
     lambda p: retrieval.nearest(p.vectors, _query_vector(p), 10).select("id", r6(1 - F.col("similarity"), "distance")))
 query("cy36_merge", "SELECT a, b, sum(w)::BIGINT AS weight FROM (SELECT a, b, weight AS w FROM related UNION ALL SELECT a, b, 1 FROM related WHERE weight > 2) GROUP BY 1, 2 HAVING sum(w) > 1")(
@@ -302,7 +302,7 @@ WHERE s + boost >= 0.05 ORDER BY 1 LIMIT 8"""
 
 @query("qry01_search", HYBRID_SQL)
 def _search(p: Project) -> DataFrame:
-    tables = {"chunk": p.passages, "document": p.document, "entity": p.entity, "mentions": p.mentions.where("false"), "related": p.related.where("false")}
+    tables = {"chunk": p.passages, "document": p.document, "entity": p.entity, "mentions": p.mentions, "related": p.related}
     found = retrieval.search(tables, _query_vector(p), TERMS, [], k=8, min_score=0.05, analyser=retrieval.simple_terms)
     return found.select("rank", "id", r6(F.col("score"), "score"), "via_keywords")
 

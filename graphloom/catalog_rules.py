@@ -144,7 +144,7 @@ query("flt04_min_score", f"""WITH sim AS (SELECT e.vec_id AS id, {COS} AS s, e.v
 SELECT id, round(s + w + 0.05 * coalesce(g / top_g, 0), 6) AS score, src = 2 AS via_graph, src = 3 AS via_keywords FROM (SELECT *, 0.04 * coalesce(k / (SELECT max(k) FROM sim), 0) AS w, (SELECT max(g) FROM sim) AS top_g FROM sim)
 WHERE s + w >= 0.05""", False)(
     lambda p: retrieval.fused(p.vectors.select(
-        "id", C.cosine(F.col("embedding"), F.array(*map(F.lit, _query_vector(p)))).alias("similarity"), (F.col("id") % 3 + 1).alias("source"), F.when(F.col("id") % 5 == 0, F.col("id") % 11 + 1.0).alias("graph"),
+        "id", C.cosine(F.col("embedding"), C.vector(_query_vector(p))).alias("similarity"), (F.col("id") % 3 + 1).alias("source"), F.when(F.col("id") % 5 == 0, F.col("id") % 11 + 1.0).alias("graph"),
         F.when(F.col("id") % 7 == 0, F.col("id") % 13 + 1.0).alias("bm25"), F.lit(11.0).alias("graph_max"), F.lit(13.0).alias("bm25_max")), 0.05).select("id", r6(F.col("score"), "score"), "via_graph", "via_keywords"))
 query("kw01_index_changes", r"""SELECT id AS chunk_id, term, count(*) AS tf FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda t: length(t) >= 2)) AS term
   FROM chunk WHERE doc_id < '7') GROUP BY 1, 2""")(

@@ -48,6 +48,11 @@ def clip(c, most: int) -> Column:
     return F.when(F.char_length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most)), F.lit("…"))).otherwise(c)
 
 
+def vector(values) -> Column:
+    """A question's vector as one constant."""
+    return F.expr("array(" + ", ".join(f"double('{float(x)!r}')" for x in values) + ")")
+
+
 def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS
+from graphloom.functions.columns import vector
 from graphloom.functions.text import clip, display_sentences, split_heading
 
 
@@ -49,7 +50,7 @@ def closest_sentences(passages: DataFrame, query: list[float], embed) -> DataFra
     def parts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: display_sentences(split_heading(t or "")[1]))
 
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = vector(query)
     each = passages.select("id", F.posexplode(parts("text")).alias("pos", "sentence")).withColumn("v", embed(F.col("sentence")))
     near = F.aggregate(F.zip_with("v", q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     return each.groupBy("id").agg(F.max_by("sentence", F.struct(near, -F.col("pos"))).alias("sentence"))

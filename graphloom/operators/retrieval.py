@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
 from graphloom.functions.stem import stemmed_terms
-from graphloom.functions.columns import bm25, cosine
+from graphloom.functions.columns import bm25, cosine, vector
 from graphloom.operators.graph import both_ways
 
 
@@ -22,11 +22,14 @@ def simple_terms(c) -> Column:
 
 
 def postings(chunk: DataFrame, terms=simple_terms, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chunk_id, term, tf) and (chunk_id, length); `only`: postings of these terms alone, filtered before they are rows."""
+    """(chunk_id, term, tf) and (chunk_id, length); `only`: postings of these terms alone, filtered before they are rows,
+    with the passage's length, so that a search of them needs no join to find it."""
     analysed = chunk.select(F.col("id").alias("chunk_id"), terms(F.col("text")).alias("terms"))
     wanted = "terms" if only is None else F.filter("terms", lambda t: t.isin(*dict.fromkeys(only)))
-    tf = analysed.select("chunk_id", F.explode(wanted).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return tf, analysed.select("chunk_id", F.size("terms").cast("long").alias("length"))
+    length = F.size("terms").cast("long").alias("length")
+    keys = ["chunk_id", "term"] if only is None else ["chunk_id", "term", "length"]
+    tf = analysed.select("chunk_id", length, F.explode(wanted).alias("term")).groupBy(*keys).agg(F.count("*").alias("tf"))
+    return tf, analysed.select("chunk_id", length)
 
 
 class KeywordIndex:
@@ -64,7 +67,8 @@ def bm25_search(tf: DataFrame, lengths: DataFrame, terms: list[str], limit: int,
     hits = tf.where(F.col("term").isin(*dict.fromkeys(terms)))  # reaches the scan of stored postings; terms are few
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     # statistics are one row; document frequencies are one row a query term
-    scored = hits.join(F.broadcast(df), "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
+    placed = hits if "length" in tf.columns else hits.join(lengths, "chunk_id")
+    scored = placed.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     each = bm25(F.col("tf"), F.col("length"), F.col("df"), F.col("n"), F.col("mean"), settings.k1, settings.b)
     return scored.groupBy("chunk_id").agg(F.sum(each).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
@@ -72,13 +76,13 @@ def bm25_search(tf: DataFrame, lengths: DataFrame, terms: list[str], limit: int,
 def nearest(vectors: DataFrame, query: list[float], limit: int, where: Column | None = None) -> DataFrame:
     """(id, similarity) of the nearest vectors(id, embedding): exact scores, then a top-k of partial top-ks."""
     found = vectors if where is None else vectors.where(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = vector(query)
     return found.select("id", cosine(F.col("embedding"), q).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
 def vector_candidates(chunk: DataFrame, document: DataFrame, query: list[float], k: int, seen: Column) -> DataFrame:
     """A pool of clamp(8 k, 40, 400) nearest passages, then the visible ones, then max(2 k, 10)."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = vector(query)
     scored = chunk.select("id", "doc_id", cosine(F.col("embedding"), q).alias("similarity"))  # one reading: the document comes along
     pool = scored.orderBy(F.desc("similarity"), "id").limit(clamp(8 * k, 40, 400))
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
@@ -116,7 +120,7 @@ def graph_candidates(entities: DataFrame, mentions: DataFrame, chunk: DataFrame,
     return placed.groupBy(F.col("chunk_id").alias("id")).agg(F.round(F.sum("score_e"), 9).alias("graph")).orderBy(F.desc("graph"), "id").limit(max(2 * k, 10))
 
 
-def candidates(vector: DataFrame, graph: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
+def candidates(nearest: DataFrame, graph: DataFrame, keywords: DataFrame, k: int) -> DataFrame:
     """(id, source, graph, bm25, graph_max, bm25_max): the vector list (source 1), graph passages (2), then the first
     max(2 k, 10) keyword hits (3), with the scores that a passage has on any list and the best of each list.
 
@@ -124,7 +128,7 @@ def candidates(vector: DataFrame, graph: DataFrame, keywords: DataFrame, k: int)
     whole = Window.partitionBy()  # the lists hold a few hundred rows at most
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("score"), "chunk_id"))
     none = F.lit(None).cast("double")
-    rows = (vector.select("id", F.lit(1).alias("source"), none.alias("graph"), none.alias("bm25"))
+    rows = (nearest.select("id", F.lit(1).alias("source"), none.alias("graph"), none.alias("bm25"))
             .unionByName(graph.select("id", F.lit(2).alias("source"), "graph", none.alias("bm25")))
             .unionByName(keywords.select(F.col("chunk_id").alias("id"), F.when(place <= max(2 * k, 10), 3).alias("source"), none.alias("graph"), F.col("score").alias("bm25"))))
     found = rows.groupBy("id").agg(F.min("source").alias("source"), F.max("graph").alias("graph"), F.max("bm25").alias("bm25"))
@@ -182,15 +186,18 @@ def search(tables: dict[str, DataFrame], query: list[float], terms: list[str], n
 
     k = clamp(k, 1, settings.max_k)
     chunk, document, seen = tables["chunk"], tables["document"], visible(drafts, tags)
-    vector = vector_candidates(chunk, document, query, k, seen)
+    near = vector_candidates(chunk, document, query, k, seen)
     with_vectors = "embedding" in tables["entity"].columns
-    start = seeds(tables["entity"], names, query if with_vectors else None, settings.seed_distance)
-    graph = graph_candidates(expand(tables["related"], start, settings.max_neighbours), tables["mentions"], chunk, document, k, seen)
+    if names or with_vectors:
+        start = seeds(tables["entity"], names, query if with_vectors else None, settings.seed_distance)
+        graph = graph_candidates(expand(tables["related"], start, settings.max_neighbours), tables["mentions"], chunk, document, k, seen)
+    else:  # nothing to start from
+        graph = near.where("false").select("id", F.lit(0.0).alias("graph"))
     index = (tables["postings"], tables["lengths"]) if "postings" in tables else postings(chunk, analyser, terms)
     words = bm25_search(*index, terms, clamp(4 * k, 20, 100), settings)
-    found = candidates(vector, graph, words, k)
+    found = candidates(near, graph, words, k)
     docs = document.where(seen).select(F.col("id").alias("doc_id"))
-    q = F.array(*[F.lit(float(x)) for x in query])
+    q = vector(query)
     # passages are read once for the candidates, a few hundred rows, and carry their text and vector to the end
     detail = chunk.select("id", "doc_id", "text", "embedding").join(F.broadcast(found), "id").join(docs, "doc_id", "left_semi")
     ranked = fused(detail.withColumn("similarity", cosine(F.col("embedding"), q)), min_score, settings)

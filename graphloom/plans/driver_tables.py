@@ -14,10 +14,12 @@ class Project:
     """Logical tables over one data folder, each built when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._raw = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._raw:  # finding a table's schema is a job of its own
+            self._raw[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._raw[name]
 
     @cached_property
     def document(self) -> DataFrame:

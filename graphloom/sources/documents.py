@@ -4,12 +4,14 @@ Files are read with Spark's binaryFile source and converted in an Arrow UDF, one
 
 from __future__ import annotations
 
+import base64
 import html
 import io
 import json
 import re
 import zipfile
 from collections import Counter
+from collections.abc import Callable
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
@@ -316,13 +318,19 @@ def _resolved(folder: str, target: str) -> str:
 
 
 def pdf_markdown(xml: str) -> tuple[str, int]:
-    """Markdown and page count from a PDF converted to positioned text (page, fontspec and text elements).
+    """Markdown and page count of pdf_layout()."""
+    return pdf_layout(xml)[:2]
 
-    Text on one baseline is a line; lines in the margins that many pages repeat go; sizes above the body's
+
+def pdf_layout(xml: str, load: Callable[[str], bytes | None] | None = None) -> tuple[str, int, list[dict]]:
+    """Markdown, page count and images from a PDF converted to positioned text (page, fontspec, text, image elements).
+
+    Images (n, page, data) of 60 points a side at least are those that `load` finds; a marker stands in their place.
+    Page numbers alone in a margin go. Text on one baseline is a line; lines in the margins that many pages repeat go; sizes above the body's
     are headings; monospaced lines are code; words cut at line ends are joined."""
     root = ElementTree.fromstring(xml)
     fonts = {x.get("id"): (float(x.get("size", 0)), (x.get("family") or "").lower()) for x in root.iter("fontspec")}
-    pages = []
+    pages, images = [], []
     for page in root.iter("page"):
         height, lines = float(page.get("height", 1)), []
         for t in sorted(page.iter("text"), key=lambda t: (float(t.get("top", 0)), float(t.get("left", 0)))):
@@ -337,7 +345,12 @@ def pdf_markdown(xml: str) -> tuple[str, int]:
                               "margin": top < 0.09 * height or top > 0.91 * height})
         for line in lines:
             line["text"] = " ".join(" ".join(x for _, x in sorted(line.pop("runs"))).split())
-        pages.append((int(page.get("number", len(pages) + 1)), lines))
+        number = int(page.get("number", len(pages) + 1))
+        for x in page.iter("image") if load else ():
+            if min(float(x.get("width", 0)), float(x.get("height", 0))) >= 60 and (data := load(x.get("src", ""))):
+                images.append({"n": len(images) + 1, "page": number, "data": data})
+                lines.append({"top": float(x.get("top", 0)), "text": "", "size": 0.0, "mono": False, "margin": False, "image": len(images)})
+        pages.append((number, sorted(lines, key=lambda x: x["top"])))
     shape = lambda text: re.sub(r"\d+", "#", text)
     seen = Counter(s for _, lines in pages for s in {shape(x["text"]) for x in lines if x["margin"]})
     often = max(len(pages) / 20, 3)
@@ -353,7 +366,7 @@ def pdf_markdown(xml: str) -> tuple[str, int]:
         out.append(f"<!-- page {number} -->")
         code: list[str] = []
         for x in [*lines, None]:
-            if x and x["margin"] and seen[shape(x["text"])] >= often:
+            if x and x["margin"] and (seen[shape(x["text"])] >= often or x["text"].isdecimal()):
                 continue
             if x and x["mono"]:
                 code.append(x["text"])
@@ -363,6 +376,9 @@ def pdf_markdown(xml: str) -> tuple[str, int]:
                 code = []
             if x is None:
                 break
+            if "image" in x:
+                out.append(f"<!-- image {x['image']} -->")
+                continue
             bullet = re.match(r"[•▪●◦‣·–-]\s+(.*)", x["text"])
             if x["size"] in levels:
                 out.append("#" * levels[x["size"]] + " " + x["text"])
@@ -372,7 +388,74 @@ def pdf_markdown(xml: str) -> tuple[str, int]:
                 out[-1] = out[-1][:-1] + x["text"]
             else:
                 out.append(x["text"])
-    return re.sub(LEADERS, " … ", "\n".join(out)), len(pages)
+    return re.sub(LEADERS, " … ", "\n".join(out)), len(pages), images
+
+
+def pdf_plain(text: str) -> tuple[str, int]:
+    """Text and page count of a PDF converted to plain text, pages parted by form feeds; words cut at line ends are joined."""
+    pages = text.removesuffix("\f").split("\f")
+    return "\n\n".join(re.sub(r"(?<=[^\W\d_])-\n\s*(?=[^\W\d_])(?=(\w))", lambda m: "" if m[1].islower() else m[0], p.strip()) for p in pages), len(pages)
+
+
+def pdf_text(layout: tuple[str, int] | None, plain: Callable[[], str]) -> tuple[str, int, bool]:
+    """(text, pages, structured): the layout's Markdown if it has more than five words a page, else the plain text."""
+    if layout and len(layout[0].split()) > 5 * max(layout[1], 1):
+        return *layout, True
+    return *pdf_plain(plain()), False
+
+
+def run_tool(command: list[str], data: bytes, read: str | None = None, then: Callable[[str], object] = lambda folder: None) -> tuple[bytes, object]:
+    """An external converter's output over one file, and what `then` makes of its folder; `{in}` and `{out}` name the
+    files. The folder lives as long as the call: nothing is left on the machine."""
+    import os
+    import subprocess
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        source, target = os.path.join(folder, "in"), os.path.join(folder, "out")
+        with open(source, "wb") as f:
+            f.write(data)
+        try:
+            done = subprocess.run([x.format(**{"in": source, "out": target}) for x in command], capture_output=True, timeout=300, check=True)
+        except FileNotFoundError:
+            raise ValueError(f"{command[0]} is not installed; give the text or its layout XML") from None
+        except subprocess.SubprocessError as e:
+            raise ValueError(f"{command[0]} could not read the file: {e}") from None
+        out = done.stdout
+        if read:
+            with open(os.path.join(folder, read), "rb") as f:
+                out = f.read()
+        return out, then(folder)
+
+
+def folder_file(folder: str) -> Callable[[str], bytes | None]:
+    """A loader of files of one folder; names that lead out of it find nothing."""
+
+    def load(name: str) -> bytes | None:
+        try:
+            with open(inside(folder, name), "rb") as f:
+                return f.read()
+        except (ValueError, OSError):
+            return None
+
+    return load
+
+
+def pdf(data: bytes, tool=run_tool) -> dict:
+    """A PDF by the converters pdfinfo, pdftohtml and pdftotext: text, title, pages, structured, images."""
+    info = dict(re.findall(r"(?m)^(Title|Pages):[ \t]*(\S.*?)\s*$", tool(["pdfinfo", "{in}"], data)[0].decode("utf-8", "replace")))
+    layout, images = None, []
+    try:
+        def read(folder: str):
+            with open(f"{folder}/out.xml", encoding="utf-8", errors="replace") as f:
+                return pdf_layout(f.read(), folder_file(folder))
+
+        text, count, images = tool(["pdftohtml", "-xml", "-q", "-fmt", "png", "{in}", "{out}"], data, then=read)[1]
+        layout = text, int(info.get("Pages", count))
+    except (ValueError, OSError, ElementTree.ParseError):  # no layout: the plain text is read
+        pass
+    text, pages, structured = pdf_text(layout, lambda: tool(["pdftotext", "-q", "-enc", "UTF-8", "{in}", "-"], data)[0].decode("utf-8", "replace"))
+    return {"text": text, "title": info.get("Title"), "pages": pages, "structured": structured, "images": images if structured else []}
 
 
 def extract(name: str, data: bytes) -> dict:
@@ -392,8 +475,11 @@ def extract(name: str, data: bytes) -> dict:
         out["text"], out["title"] = docx(data)
     elif kind == "pptx":
         out["text"], out["title"], out["pages"] = pptx(data)
+    elif kind == "pdf":
+        out |= {k: v for k, v in pdf(data).items() if k != "images"}
     else:
-        raise ValueError(f"{kind} needs a converter that is not installed; give its text or its layout XML")
+        out["text"] = run_tool(["catdoc" if kind == "doc" else "catppt", "{in}"], data)[0].decode("utf-8", "replace")
+        out["structured"] = False
     if not out["text"].strip():
         raise ValueError(f"no text in {name}")
     stem = " ".join(re.sub(r"\.[^.]*$", "", name.rsplit("/", 1)[-1]).replace("_", " ").split())
@@ -499,15 +585,51 @@ def fetch(url: str, most_bytes: int = 50 << 20, timeout: float = 30) -> tuple[st
     """(file name, bytes) of a web address; http and https only."""
     import urllib.request
 
+    class Redirects(urllib.request.HTTPRedirectHandler):
+        max_redirections = 5
+
     if urlsplit(url).scheme not in ("http", "https"):
         raise ValueError(f"not a web address: {url}")
-    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "graphloom"}), timeout=timeout) as got:  # noqa: S310
+    with urllib.request.build_opener(Redirects).open(urllib.request.Request(url, headers={"User-Agent": "graphloom"}), timeout=timeout) as got:
         data = got.read(most_bytes + 1)
         if len(data) > most_bytes:
             raise ValueError(f"larger than {most_bytes} bytes: {url}")
         return url_file_name(got.url, got.headers.get("Content-Type", "")), data
 
 
+def page_images(images: list[dict], page_url: str, get: Callable[[str, int, float], tuple[str, bytes]] = fetch, most: int = 80, most_bytes: int = 5 << 20) -> list[dict]:
+    """Images of a page with the bytes behind their links; at most `most` are asked for, and those that fail are left out."""
+    out, asked = [], 0
+    for image in images:
+        if m := re.match(r"data:image/[\w.+-]+;base64,", image.get("src") or ""):
+            try:
+                image = image | {"src": "", "data": base64.b64decode(image["src"][m.end():], validate=True)}
+            except ValueError:
+                continue
+        url = None if image.get("data") else resolve_url(page_url, image.get("src") or "")
+        if image.get("data"):
+            out.append(image)
+        elif url and asked < most:
+            asked += 1
+            try:
+                out.append(image | {"src": url, "data": get(url, most_bytes, 15)[1]})
+            except (ValueError, OSError):
+                continue
+    return out
+
+
+def diagnosis(name: str, data: bytes, extractor=None, labels: tuple[str, ...] = (), threshold: float = 0.5) -> str:
+    """What a file gives: its text as it is read or, with an extractor, the entities found in it, one a line."""
+    text = extract(name, data)["text"]
+    if extractor is None:
+        return text
+    found = extractor.extract(text.split("\n\n"), list(labels), threshold)
+    best: dict[tuple[str, str], float] = {}
+    for surface, label, score in (x for part in found for x in part):
+        best[label, surface] = max(score, best.get((label, surface), 0.0))
+    return "\n".join(f"{label}\t{surface}\t{score:.2f}" for (label, surface), score in sorted(best.items()))
+
+
 def stored_name(doc_id: str, ending: str) -> str:
     return f"{fnv64(doc_id.encode())}.{ending}"
 

@@ -82,3 +82,57 @@ def test_folder(spark, tmp_path):
     assert set(got) == {"a.md", "sub/b-c.html", "empty.txt"} and got["a.md"].title == "Title A" and got["a.md"].tags == ["x"]
     assert got["sub/b-c.html"].content == "Hi there" and got["empty.txt"].error
     assert d.listing(spark, str(tmp_path / "docs")).count() == 3
+
+
+def layout(words, image=""):
+    return f'<pdf2xml><page number="1" height="1000" width="700"><fontspec id="0" size="10" family="Serif"/><text top="300" left="50" font="0">{words}</text>{image}<text top="980" left="340" font="0">12</text></page></pdf2xml>'
+
+
+def test_pdf_images_stand_in_place_and_stay_inside_the_folder(tmp_path):
+    (tmp_path / "work").mkdir()
+    (tmp_path / "work" / "a.png").write_bytes(b"picture")
+    (tmp_path / "secret.png").write_bytes(b"no")
+    load = d.folder_file(str(tmp_path / "work"))
+    assert load("a.png") == b"picture" and load("../secret.png") is None and load("none.png") is None
+    size = 'top="400" left="9" width="80" height="80"'
+    text, pages, images = d.pdf_layout(layout("Some words", f'<image {size} src="a.png"/><image {size} src="../secret.png"/><image top="1" left="1" width="59" height="80" src="a.png"/>'), load)
+    assert text == "<!-- page 1 -->\nSome words\n<!-- image 1 -->" and pages == 1  # the page number in the margin goes
+    assert images == [{"n": 1, "page": 1, "data": b"picture"}]
+
+
+@pytest.mark.parametrize("words, structured", [("one two three four five six seven", True), ("scan", False)])
+def test_pdf_falls_back_to_plain_text(tmp_path, words, structured):
+    def tool(command, data, read=None, then=lambda folder: None):
+        (tmp_path / "out.xml").write_text(layout(words))
+        return {"pdfinfo": b"Title:  Plan B \nPages:  1\n", "pdftotext": "infor-\nmation Rhine-\nMain\fnext".encode()}.get(command[0], b""), then(str(tmp_path))
+
+    got = d.pdf(b"%PDF", tool)
+    assert got["title"] == "Plan B" and got["structured"] is structured
+    assert words in got["text"] if structured else got["text"] == "information Rhine-\nMain\n\nnext" and got["pages"] == 2
+
+
+def test_absent_converters_are_named():
+    with pytest.raises(ValueError, match="no-such-tool"):
+        d.run_tool(["no-such-tool", "{in}"], b"x")
+    assert d.run_tool(["cat", "{in}"], b"x") == (b"x", None)
+
+
+def test_page_images_are_bounded_and_failures_left_out():
+    asked = []
+
+    def get(url, most, timeout):
+        asked.append(url)
+        if "bad" in url:
+            raise OSError
+        return "f", b"data"
+
+    images = [{"src": "a.png"}, {"src": "bad.png"}, {"src": "mailto:x"}, {"src": "", "data": b"own"}, {"src": "/b.png"}, {"src": "c.png"}, {"src": "data:image/png;base64,b3du"}, {"src": "data:image/png;base64,!"}]
+    got = d.page_images(images, "https://x.org/p/q", get, most=3)
+    assert [(i["src"], i["data"]) for i in got] == [("https://x.org/p/a.png", b"data"), ("", b"own"), ("https://x.org/b.png", b"data"), ("", b"own")] and len(asked) == 3
+
+
+def test_diagnosis():
+    from graphloom.models import Patterns
+
+    assert d.diagnosis("a.txt", b"Some text.") == "Some text."
+    assert isinstance(d.diagnosis("a.txt", b"Ada Lovelace met Charles Babbage in London.", Patterns()), str)
