@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.catalog import COS, EXPAND_SQL, FEEDBACK_SQL, HYBRID_SQL, TERMS, _feedback, _query_vector, query, r6
@@ -18,6 +18,12 @@ def pick(index, *values: str):
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
+def natural_places(names: DataFrame) -> DataFrame:
+    """The first 400 names in natural order with their places."""
+    first = names.withColumn("key", C.natural_key(F.col("name"))).orderBy("key", "name").limit(400)
+    return first.select("name", F.row_number().over(Window.orderBy("key", "name")).alias("place"))
+
+
 # console
 
 query("cy34_show_tables", "SELECT * FROM (VALUES ('chunk', 'node'), ('document', 'node'), ('mentions', 'relation'), ('related', 'relation')) t(name, kind)", False)(
@@ -77,18 +83,9 @@ query("sc34_image_types", "SELECT event_id, ['png', 'jpg', 'gif', 'webp', NULL,
     lambda p: p.raw("events").select("event_id", C.image_type(F.unhex(pick(
         F.col("event_id") % 6, "89504E470D0A1A0A0000000D", "FFD8FFE000104A464946", "474946383961010001", "524946461A00000057454250", "524946461A00000057415645", "3C737667")).cast("binary")).alias("kind")))
 query("win09_natural_order", "SELECT name, row_number() OVER (ORDER BY p_partkey, name) AS place FROM (SELECT p_partkey, 'REQ-' || p_partkey AS name FROM part UNION ALL SELECT p_partkey, 'REQ-' || p_partkey || 'b' FROM part WHERE p_partkey % 5 = 0) ORDER BY place LIMIT 400", False)(
-    lambda p: (lambda ids: C_places(ids))(p.raw("part").select(F.concat(F.lit("REQ-"), "p_partkey").alias("name")).unionByName(
+    lambda p: natural_places(p.raw("part").select(F.concat(F.lit("REQ-"), "p_partkey").alias("name")).unionByName(
         p.raw("part").where("p_partkey % 5 = 0").select(F.concat(F.lit("REQ-"), "p_partkey", F.lit("b")).alias("name")))))
 
-
-def C_places(names: DataFrame) -> DataFrame:
-    """The first 400 names in natural order with their places."""
-    from pyspark.sql import Window
-
-    first = names.withColumn("key", C.natural_key(F.col("name"))).orderBy("key", "name").limit(400)
-    return first.select("name", F.row_number().over(Window.orderBy("key", "name")).alias("place"))
-
-
 # joins, limits, ordered operators
 
 query("jn11_images", """, img AS (SELECT 'img' || id AS image_id, doc_id, n, file FROM (SELECT id, id AS doc_id, updated_at AS n, substr(md5(source || tags[1]), 1, 16) AS file FROM document))
@@ -177,13 +174,15 @@ query("qry08_resolve_part", "SELECT id, name, 3 AS rank FROM entity JOIN counts
     lambda p: graph.resolve(p.entity, p.counts, "HE").select("id", "name", "rank"))
 
 
-@query("qry07_entity_detail", """, own AS (SELECT c.* FROM chunk c JOIN mentions m ON m.chunk_id = c.id WHERE m.entity_id = 'head:the')
-(SELECT 'neighbour' AS part, y AS id, weight AS n FROM both_ways WHERE x = 'head:the' ORDER BY weight DESC, y LIMIT 50)
+@query("qry07_entity_detail", """, top AS (SELECT entity_id AS id FROM counts ORDER BY total DESC, entity_id LIMIT 1),
+own AS (SELECT c.* FROM chunk c JOIN mentions m ON m.chunk_id = c.id WHERE m.entity_id = (SELECT id FROM top))
+(SELECT 'neighbour' AS part, y AS id, weight AS n FROM both_ways WHERE x = (SELECT id FROM top) ORDER BY weight DESC, y LIMIT 50)
 UNION ALL SELECT 'document', doc_id, count(*) FROM own GROUP BY 2
 UNION ALL (SELECT 'passage', id, idx FROM own ORDER BY doc_id, idx LIMIT 50)
-UNION ALL SELECT 'entity', id, 1 FROM entity WHERE id = 'head:the'""")
+UNION ALL SELECT 'entity', id, 1 FROM entity WHERE id = (SELECT id FROM top)""")
 def _detail(p: Project) -> DataFrame:
-    found = graph.entity_detail({"document": p.document, "chunk": p.chunk, "entity": p.entity, "mentions": p.mentions, "related": p.related}, "head:the")
+    top = p.counts.orderBy(F.desc("total"), "entity_id").first().entity_id
+    found = graph.entity_detail({"document": p.document, "chunk": p.chunk, "entity": p.entity, "mentions": p.mentions, "related": p.related}, top)
     part = lambda name, kind, n: found[name].select(F.lit(kind).alias("part"), F.col("doc_id" if kind == "document" else "id").alias("id"), n.cast("long").alias("n"))
     return (part("neighbours", "neighbour", F.col("weight")).unionByName(part("documents", "document", F.col("passages")))
             .unionByName(part("passages", "passage", F.col("idx"))).unionByName(part("entity", "entity", F.lit(1))))
