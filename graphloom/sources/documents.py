@@ -404,7 +404,7 @@ def pdf_text(layout: tuple[str, int] | None, plain: Callable[[], str]) -> tuple[
     return *pdf_plain(plain()), False
 
 
-def run_tool(command: list[str], data: bytes, read: str | None = None, then: Callable[[str], object] = lambda folder: None) -> tuple[bytes, object]:
+def run_tool(command: list[str], data: bytes, then: Callable[[str], object] = lambda folder: None) -> tuple[bytes, object]:
     """An external converter's output over one file, and what `then` makes of its folder; `{in}` and `{out}` name the
     files. The folder lives as long as the call: nothing is left on the machine."""
     import os
@@ -421,11 +421,7 @@ def run_tool(command: list[str], data: bytes, read: str | None = None, then: Cal
             raise ValueError(f"{command[0]} is not installed; give the text or its layout XML") from None
         except subprocess.SubprocessError as e:
             raise ValueError(f"{command[0]} could not read the file: {e}") from None
-        out = done.stdout
-        if read:
-            with open(os.path.join(folder, read), "rb") as f:
-                out = f.read()
-        return out, then(folder)
+        return done.stdout, then(folder)
 
 
 def folder_file(folder: str) -> Callable[[str], bytes | None]:

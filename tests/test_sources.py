@@ -102,7 +102,7 @@ def test_pdf_images_stand_in_place_and_stay_inside_the_folder(tmp_path):
 
 @pytest.mark.parametrize("words, structured", [("one two three four five six seven", True), ("scan", False)])
 def test_pdf_falls_back_to_plain_text(tmp_path, words, structured):
-    def tool(command, data, read=None, then=lambda folder: None):
+    def tool(command, data, then=lambda folder: None):
         (tmp_path / "out.xml").write_text(layout(words))
         return {"pdfinfo": b"Title:  Plan B \nPages:  1\n", "pdftotext": "infor-\nmation Rhine-\nMain\fnext".encode()}.get(command[0], b""), then(str(tmp_path))
 
