@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe as op3
+from graphloom.llm import conv_trie as op13
 from graphloom.llm import html_main as op1
+from graphloom.llm import license_scan as op11
 from graphloom.llm import line_dedup as op7
 from graphloom.llm import ngram_join as op6
 from graphloom.llm import nn_descent as op10
@@ -16,6 +18,7 @@ from graphloom.llm import packing as op9
 from graphloom.llm import suffix_dedup as op8
 from graphloom.llm import toxicity as op2
 from graphloom.llm import url_reputation as op5
+from graphloom.llm import whitening as op12
 from graphloom.llm._shared import table
 
 #: (verdict, host and path) of the url rules.
@@ -192,6 +195,72 @@ FROM raw LEFT JOIN edges USING (doc_id)
 """
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing}
+#: (label, phrase): their words must stand one after another.
+PHRASES = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
+
+
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.scan(table(spark, sf_dir, "documents"), PHRASES)
+
+
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+#: Votes by diagonal, spans of neighbouring diagonals, and the share of words that they cover.
+OP11_SQL = r"""
+WITH template AS (SELECT no, label, base, regexp_extract_all(lower(notice), '[a-z0-9]+') AS tw FROM (VALUES """ + ", ".join(
+    f"({no}, {_quoted(label)}, {base}, {_quoted(text)})" for no, (label, text, base) in enumerate([(n, t, True) for n, t in PHRASES] + [(n, t, False) for n, t in op11.NOTICES])) + r""") AS v(no, label, base, notice)),
+sized AS (SELECT *, len(tw) AS size, least(CASE WHEN base THEN 2 ELSE 4 END, len(tw)) AS k FROM template),
+place AS (SELECT no, label, base, size, k, unnest(range(size - k + 1)) AS t, tw FROM sized),
+gram AS (SELECT no, label, base, size, k, t, array_to_string(tw[t + 1:t + k], ' ') AS gram FROM place),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+each AS (SELECT rid, n.k, unnest(range(greatest(len(w) - n.k + 1, 0))) AS p, w FROM doc, (SELECT DISTINCT k FROM sized) n),
+hit AS (SELECT e.rid, e.p, g.* FROM each e JOIN gram g ON g.k = e.k AND g.gram = array_to_string(w[e.p + 1:e.p + e.k], ' ')),
+vote AS (SELECT rid, no, p - t AS diag, any_value(label) AS label, any_value(base) AS base, any_value(size) AS size, any_value(k) AS k, list(DISTINCT t) AS ts, min(p) AS a, max(p) AS b FROM hit GROUP BY 1, 2, 3),
+marked AS (SELECT *, CASE WHEN base OR a - max(b) OVER before - k > 8 OR abs(diag - lag(diag) OVER before) > 8 THEN 1 ELSE 0 END AS new FROM vote
+  WINDOW before AS (PARTITION BY rid, no ORDER BY a, diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spanned AS (SELECT *, sum(new) OVER (PARTITION BY rid, no ORDER BY a, diag) AS s FROM marked),
+span AS (SELECT rid, any_value(label) AS label, any_value(base) AS base, any_value(size) AS size, any_value(k) AS k, list_distinct(flatten(list(ts))) AS ts, min(a) AS a, max(b) AS b FROM spanned GROUP BY rid, no, s),
+scored AS (SELECT *, len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + k))))) / greatest(size, b + k - a) AS sim FROM span),
+named AS (SELECT rid, count_if(base AND sim = 1) AS n_base, min(a) FILTER (base AND sim = 1) AS first_word, max(a) FILTER (base AND sim = 1) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND sim = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND sim = 1) OR (NOT base AND sim >= 0.8)) AS labels,
+  max(sim) FILTER (NOT base OR sim = 1) AS score FROM scored GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM doc LEFT JOIN named USING (rid)
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.whitened(table(spark, sf_dir, "embeddings"), k=4, scale=256)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.trie(table(spark, sf_dir, "conversations"), every=20, most=4)
+
+
+#: Nodes as groups of equal prefixes; subtrees by the prefixes of each node's smallest member.
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id AS id, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END)))) % 4 AS h
+  FROM t GROUP BY 1),
+again AS (SELECT id, 0 AS own, p, role, text FROM c JOIN t ON t.conv_id = id - id % 20 AND p <= h
+  UNION ALL SELECT id, 1, p, role, text FROM c JOIN t ON t.conv_id = id AND p > h),
+placed AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY own, p) AS d, md5(strlen(role) || ':' || role || text) AS h, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM again),
+pre AS (SELECT id, d, md5(string_agg(h, '') OVER (PARTITION BY id ORDER BY d)) AS k, words FROM placed UNION ALL SELECT id, 0, '', 0 FROM c),
+up AS (SELECT *, lag(k) OVER (PARTITION BY id ORDER BY d) AS parent, d = max(d) OVER (PARTITION BY id) AS ended FROM pre),
+node AS (SELECT d, k, any_value(parent) AS parent, min(id) AS conv_id, count(*) AS n, any_value(words) AS w, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (ended) AS ends FROM up GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, parent AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+below AS (SELECT p.d, p.k, count_if(b.n_children = 0) AS n_leaves, sum((b.n - 1) * b.w) AS saved FROM full_node b JOIN pre p ON p.id = b.conv_id AND p.d <= b.d GROUP BY 1, 2)
+SELECT x.conv_id, x.d::BIGINT AS depth, y.conv_id AS parent_conv_id, x.n::BIGINT AS n_convs, x.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+  saved::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM full_node x JOIN below USING (d, k) LEFT JOIN node y ON y.d = x.d - 1 AND y.k = x.parent
+"""
+
+
+QUERIES = {"op7_line_dedup": op7_line_dedup, "op4_nra_topk": op4_nra_topk, "op10_nn_descent": op10_nn_descent, "op1_html_main": op1_html_main, "op2_toxicity": op2_toxicity, "op5_url_reputation": op5_url_reputation, "op6_ngram_join": op6_ngram_join, "op3_bpe": op3_bpe, "op8_suffix_dedup": op8_suffix_dedup, "op9_packing": op9_packing,
+           "op11_license_scan": op11_license_scan, "op12_whitening": op12_whitening, "op13_conversation_trie": op13_conversation_trie}
 
-ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+ORACLE: dict[str, str] = {"op4_nra_topk": OP4_SQL, "op5_url_reputation": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_suffix_dedup": OP8_SQL,
+                          "op11_license_scan": OP11_SQL, "op13_conversation_trie": OP13_SQL}
