@@ -77,7 +77,7 @@ def spans(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[s
     """Spans (doc_id, text_hash, n_words, copies, label, base, first, last, similarity) of documents(doc_id, text).
 
     Each distinct (doc_id, text_hash) has a row without a label as well, which counts its copies. Diagonals `shift`
-    apart at most are merged where the second begins `gap` words behind the first at most."""
+    apart at most are merged where the second begins `gap` words behind the first at most. first and last: its words."""
     places = template_grams(docs.sparkSession, phrases, notices)
     sizes = sorted({r.k for r in places.select("k").distinct().collect()})  # k-values of the fixed templates
     texts = columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text", F.char_length("text")).alias("text_hash"), words(F.col("text")).alias("w"))
@@ -101,7 +101,7 @@ def spans(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[s
     # words of the template that a gram of the span covers, over the longer of the two
     found = F.size(F.array_distinct(F.flatten(F.transform("t", lambda t: F.sequence(t, t + F.col("k") - 1)))))
     long = F.greatest(F.col("size"), F.col("last") + F.col("k") - F.col("first"))
-    return merged.select("doc_id", "text_hash", "n_words", "copies", "label", "base", "first", "last",
+    return merged.select("doc_id", "text_hash", "n_words", "copies", "label", "base", "first", (F.col("last") + F.col("k") - 1).alias("last"),
                          F.when(F.col("label").isNotNull(), found / long).alias("similarity"))
 
 
@@ -109,10 +109,14 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[st
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each document.
 
     Base labels stand where all words of a phrase follow one another; a notice adds its label from a similarity of
-    `least`. Score: the best similarity of a span, 1 where a base phrase stands."""
-    found = spans(docs, phrases, notices)
+    `least`, where none that overlaps it is more similar. Score: the best similarity of a span, 1 where a base phrase stands."""
+    notice = F.coalesce(~F.col("base") & (F.col("similarity") >= least), F.lit(False))
+    order = Window.partitionBy("doc_id", "text_hash", "notice").orderBy("first", "last", "label")
+    apart = F.when(F.col("first") > F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    found = spans(docs, phrases, notices).withColumn("notice", notice).withColumn("apart", apart).withColumn("island", F.sum("apart").over(order))
+    found = found.withColumn("best", F.max("similarity").over(Window.partitionBy("doc_id", "text_hash", "notice", "island")))
     exact = F.col("base") & (F.col("similarity") == 1.0)
-    named = exact | (~F.col("base") & (F.col("similarity") >= least))
+    named = exact | (F.col("notice") & (F.col("similarity") == F.col("best")))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     rows = found.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").cast("long").alias("n_words"), F.max("copies").alias("copies"), F.count_if(exact).alias("n_base"),

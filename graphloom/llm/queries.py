@@ -218,10 +218,13 @@ vote AS (SELECT rid, no, p - t AS diag, any_value(label) AS label, any_value(bas
 marked AS (SELECT *, CASE WHEN base OR a - max(b) OVER before - k > 8 OR abs(diag - lag(diag) OVER before) > 8 THEN 1 ELSE 0 END AS new FROM vote
   WINDOW before AS (PARTITION BY rid, no ORDER BY a, diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 spanned AS (SELECT *, sum(new) OVER (PARTITION BY rid, no ORDER BY a, diag) AS s FROM marked),
-span AS (SELECT rid, any_value(label) AS label, any_value(base) AS base, any_value(size) AS size, any_value(k) AS k, list_distinct(flatten(list(ts))) AS ts, min(a) AS a, max(b) AS b FROM spanned GROUP BY rid, no, s),
+span AS (SELECT rid, any_value(no) AS no, any_value(label) AS label, any_value(base) AS base, any_value(size) AS size, any_value(k) AS k, list_distinct(flatten(list(ts))) AS ts, min(a) AS a, max(b) AS b FROM spanned GROUP BY rid, no, s),
 scored AS (SELECT *, len(list_distinct(flatten(list_transform(ts, lambda t: range(t, t + k))))) / greatest(size, b + k - a) AS sim FROM span),
+island AS (SELECT rid, no, a, label, sum(new) OVER (PARTITION BY rid ORDER BY a, e, label) AS s, sim FROM (
+  SELECT *, b + k - 1 AS e, CASE WHEN a > max(b + k - 1) OVER (PARTITION BY rid ORDER BY a, b + k - 1, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM scored WHERE NOT base AND sim >= 0.8)),
+kept AS (SELECT rid, label FROM island i WHERE sim = (SELECT max(sim) FROM island j WHERE j.rid = i.rid AND j.s = i.s)),
 named AS (SELECT rid, count_if(base AND sim = 1) AS n_base, min(a) FILTER (base AND sim = 1) AS first_word, max(a) FILTER (base AND sim = 1) AS last_word,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND sim = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND sim = 1) OR (NOT base AND sim >= 0.8)) AS labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND sim = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER ((base AND sim = 1) OR (rid, label) IN (SELECT (rid, label) FROM kept)) AS labels,
   max(sim) FILTER (NOT base OR sim = 1) AS score FROM scored GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM doc LEFT JOIN named USING (rid)

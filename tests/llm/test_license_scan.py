@@ -52,7 +52,7 @@ def test_neighbouring_diagonals_are_one_span(spark):
     words = dict(license_scan.NOTICES)["bsd"].split()
     text = " ".join(words[:8] + ["inserted"] + words[8:])
     rows = [r for r in license_scan.spans(spark.createDataFrame([(1, text, "", "", 0)], SCHEMA), PHRASES).collect() if r.label == "bsd"]
-    assert len(rows) == 1 and (rows[0].first, rows[0].last) == (0, len(words) - 3) and rows[0].similarity == pytest.approx(len(words) / (len(words) + 1))
+    assert len(rows) == 1 and (rows[0].first, rows[0].last) == (0, len(words)) and rows[0].similarity == pytest.approx(len(words) / (len(words) + 1))
 
 
 def test_each_repeated_row_has_its_row(spark):
