@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm._shared import columns
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a gram; a template of fewer words is one gram.
 GRAM = 4
@@ -48,7 +49,8 @@ NOTICES = [
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """The words of a text, cut at what is none: far quicker than finding each by a pattern."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def template_words(text: str) -> list[str]:

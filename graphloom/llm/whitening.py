@@ -3,8 +3,8 @@
 1. Each vector's entries c become whole numbers x = floor(256 c). Equal x vectors are one row of the fit list, a table
    that is written once. Its count and sums are exact.
 2. Range finder: a random basis Q of k + oversample columns. A pass over all rows, centred before they are
-   multiplied, gives Y = V Q, V the covariance; partial sums of tasks are added up by cell in Spark, so the driver
-   gets one small matrix. The orthonormal basis of Y is the next Q: a power pass.
+   multiplied, gives Y = V Q, V the covariance; partial sums of tasks are added up in a few tasks, so the driver gets
+   a few small matrices. The orthonormal basis of Y is the next Q: a power pass.
 3. Rayleigh-Ritz: each pass also gives Q'VQ, its eigenvectors and the residuals of the leading ones. Where they do
    not fall to rounding level within `passes` passes, the basis is widened, to the full dimension at last, where
    one pass leaves no residual.
@@ -49,8 +49,9 @@ def _matrix(batch, d: int):
     return out
 
 
-def _summed(rows: DataFrame, cells: int, per_batch) -> list:
-    """Sums over all batches of the vector of `cells` doubles that per_batch gives; added up by cell in Spark."""
+def _summed(rows: DataFrame, cells: int, per_batch, receivers: int = 16) -> list:
+    """Sums over all batches of the vector of `cells` doubles that per_batch gives. Each task gives one row, `receivers`
+    tasks add them up, and the driver adds the rest."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -59,13 +60,22 @@ def _summed(rows: DataFrame, cells: int, per_batch) -> list:
         for batch in batches:
             if batch.num_rows:
                 total += per_batch(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells, dtype=np.int32)), pa.array(total)], names=["cell", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["cells"])
 
-    found = rows.mapInArrow(run, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()  # `cells` rows
-    out = [0.0] * cells
-    for r in found:
-        out[r.cell] = r.value
-    return out
+    def add(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(cells)
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                total += np.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["cells"])
+
+    import numpy as np
+
+    found = rows.mapInArrow(run, "cells array<double>").repartition(receivers).mapInArrow(add, "cells array<double>").collect()
+    return np.sum([r.cells for r in found], axis=0) if found else np.zeros(cells)
 
 
 def _exact_sums(fit: DataFrame, d: int) -> tuple[int, list[int]]:
@@ -121,7 +131,7 @@ def fit(vectors: DataFrame, k: int = 4, oversample: int = 8, passes: int = 6, to
             c = _centred(_matrix(b, d), n, sums)
             return np.append((c.T @ (c @ q)).ravel(), (c * c).sum()) / n
 
-        got = np.array(_summed(rows, d * q.shape[1] + 1, batch))
+        got = _summed(rows, d * q.shape[1] + 1, batch)
         return got[:-1].reshape(d, -1), float(got[-1])
 
     rng = np.random.default_rng(seed)
@@ -154,7 +164,7 @@ def fit(vectors: DataFrame, k: int = 4, oversample: int = 8, passes: int = 6, to
         white = _centred(_matrix(b, d), n, sums) @ parts / np.sqrt(e)
         return (white.T @ white).ravel() / n
 
-    error = float(np.abs(np.array(_summed(rows, keep * keep, covariance)).reshape(keep, keep) - np.eye(keep)).max()) if keep else 0.0
+    error = float(np.abs(_summed(rows, keep * keep, covariance).reshape(keep, keep) - np.eye(keep)).max()) if keep else 0.0
     return Model(n, sums, e, parts, trace, error, width, count)
 
 
