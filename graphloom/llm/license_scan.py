@@ -69,10 +69,13 @@ def template_grams(spark, phrases: list[tuple[str, str]], notices: list[tuple[st
     return spark.createDataFrame(rows, "template int, label string, base boolean, size int, k int, t int, gram string")
 
 
-def _grams(own: Column, k: int) -> Column:
-    """Places and k-grams of a list of words."""
-    some = F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(own, i + 1, k), " ").alias("gram")))
-    return F.when(F.size(own) >= k, some).otherwise(F.array().cast("array<struct<at: int, gram: string>>"))
+def _rows(own: Column, key: Column, sizes: list[int]) -> Column:
+    """Of a text's words: their number at place -1, then the places of all grams of the sizes; each with the text's key."""
+    row = lambda at, gram, n: F.struct(at.alias("at"), gram.alias("gram"), n.alias("n"), key.alias("text_hash"))
+    none = F.lit(None).cast("int")
+    each = lambda k: F.when(F.size(own) >= k, F.transform(F.sequence(F.lit(0), F.size(own) - k), lambda i: row(
+        i, F.array_join(F.slice(own, i + 1, k), " "), none))).otherwise(F.array().cast("array<struct<at: int, gram: string, n: int, text_hash: bigint>>"))
+    return F.concat(F.array(row(F.lit(-1), F.lit(None).cast("string"), F.size(own))), *map(each, sizes))
 
 
 def spans(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[str, str]] = NOTICES, shift: int = 8, gap: int = 8) -> DataFrame:
@@ -82,15 +85,15 @@ def spans(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tuple[s
     apart at most are merged where the second begins `gap` words behind the first at most. first and last: its words."""
     places = template_grams(docs.sparkSession, phrases, notices)
     sizes = sorted({r.k for r in places.select("k").distinct().collect()})  # k-values of the fixed templates
-    texts = columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text", F.char_length("text")).alias("text_hash"), words(F.col("text")).alias("w"))
-    start = F.array(F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("gram")))  # one row of each text is kept
-    each = texts.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.explode(F.concat(start, *[_grams(F.col("w"), k) for k in sizes])).alias("g"))
-    each = each.select("doc_id", "text_hash", "n_words", "g.at", "g.gram", F.xxhash64("g.gram").alias("hash"))
+    # words and key are bound once, in a lambda: a column beside the grams, the text too, would be copied to each row
+    text = F.array(F.struct(words(F.col("text")).alias("own"), F.xxhash64("text", F.char_length("text")).alias("key")))
+    each = columns(docs, "doc_id", "text").select("doc_id", F.explode(F.flatten(F.transform(text, lambda x: _rows(x["own"], x["key"], sizes)))).alias("g"))
+    each = each.select("doc_id", "g.text_hash", "g.n", "g.at", "g.gram", F.xxhash64("g.gram").alias("hash"))
     right = F.broadcast(places.withColumn("hash", F.xxhash64("gram")).withColumnRenamed("gram", "template_gram"))  # bounded by the templates
-    hits = each.join(right, (each["hash"] == right["hash"]) & (F.col("gram") == F.col("template_gram")), "left").where("template is not null or at = -1")
+    hits = each.join(right, "hash", "left").where("at = -1 or gram = template_gram")  # one long as key: the quickest table
 
     votes = hits.groupBy("doc_id", "text_hash", "template", (F.col("at") - F.col("t")).alias("diagonal")).agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.col("at") == -1).alias("copies"), F.max("label").alias("label"), F.max("base").alias("base"),
+        F.max("n").alias("n_words"), F.count_if(F.col("at") == -1).alias("copies"), F.max("label").alias("label"), F.max("base").alias("base"),
         F.max("size").alias("size"), F.max("k").alias("k"), F.collect_set("t").alias("t"), F.min("at").alias("first"), F.max("at").alias("last"))
 
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("first", "diagonal")
