@@ -59,6 +59,24 @@ class Files:
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         context.rename(self.fs.makeQualified(self.path(aside)), self.fs.makeQualified(self.path(path)), options)
 
+    def publish(self, path: str, text: str) -> bool:
+        """Write aside, then rename to a name that must be free; whether it was."""
+        from py4j.protocol import Py4JJavaError
+
+        if self.fs.exists(self.path(path)):
+            return False
+        aside = f"{path}.{uuid.uuid4().hex}"
+        self._put(aside, text, True)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        try:
+            context.rename(self.fs.makeQualified(self.path(aside)), self.fs.makeQualified(self.path(path)), self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            self.delete(aside)
+            if not self.fs.exists(self.path(path)):
+                raise
+            return False
+        return True
+
     def claim(self, path: str) -> bool:
         """Make a file that must not exist; whether this call made it."""
         from py4j.protocol import Py4JJavaError
