@@ -2,8 +2,8 @@
 
 A table is a list of parts, written once and never changed, in folders by bucket (a hash of the owner, so a reader
 of a few documents opens few of them). A part holds rows; rows of an owner die when a later part of deletions names it.
-Relation weights and mention counts are signed: a change adds what it brings and what it takes away. Compaction
-writes what lives as one part.
+Relation weights and mention counts are signed: a change adds what it brings and what it takes away. Relations are
+stored as lists of neighbours, by bucket of the entity. Compaction writes what lives as one part.
 
 Each version is a manifest file of its own that only one writer can publish: of two that start from one version the
 second gets a Conflict, and a writer that dies leaves nothing that blocks the next."""
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom import models
-from graphloom.operators import graph, ingest
+from graphloom.config import DEFAULTS
+from graphloom.operators import graph, ingest, retrieval
 from graphloom.operators.store import Conflict, Files, Missing
 from graphloom.schema import TABLES
 
@@ -49,10 +50,10 @@ class Parts:
             raise Conflict(f"version {version} is written by another")
         return version
 
-    def write(self, rows: DataFrame, table: str, seq: int, bucket) -> dict:
-        """A new part of rows in folders by bucket; nobody reads it before a manifest names it."""
+    def write(self, rows: DataFrame, table: str, seq: int, bucket, order: list[str] | None = None) -> dict:
+        """A new part of rows in folders by bucket, sorted within; nobody reads it before a manifest names it."""
         part = {"seq": seq, "turn": uuid.uuid4().hex}
-        (rows.withColumn("bucket", bucket.cast("int")).repartition("bucket").write.partitionBy("bucket").option("compression", "zstd")
+        (rows.withColumn("bucket", bucket.cast("int")).repartition("bucket").sortWithinPartitions("bucket", *order or ()).write.partitionBy("bucket").option("compression", "zstd")
          .parquet(f"{self.root}/{table}/seq={seq}/turn={part['turn']}"))
         return part
 
@@ -93,7 +94,7 @@ class Parts:
 
 #: Tables by document: the column that holds it.
 OWNED = {"document": "id", "chunk": "doc_id", "mentions": "doc_id", "image": "doc_id", "shows": "doc_id"}
-_WEIGHT = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("weight", T.LongType())])
+_EDGE = T.StructType([T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("weight", T.LongType())])
 _COUNT = T.StructType([T.StructField("entity_id", T.StringType()), T.StructField("n", T.LongType())])
 _NAMED = T.StructType([*TABLES["entity"].fields, T.StructField("key", T.StringType())])
 
@@ -123,8 +124,31 @@ class LiveProject(Parts):
         n = self.read("counts", m["rows"].get("counts", []), _COUNT).groupBy(F.col("entity_id").alias("id")).agg(F.sum("n").alias("n")).where("n > 0")
         return first.join(n, "id")
 
+    def _edges(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        """(x, y, weight) in either direction; the edges of an entity x lie in one bucket, sorted by x."""
+        return self.read("adjacent", m["rows"].get("adjacent", []), _EDGE, buckets)
+
     def _weights(self, m: dict) -> DataFrame:
-        return self.read("related", m["rows"].get("related", []), _WEIGHT).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where("weight > 0")
+        both = self._edges(m).where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
+        return both.agg(F.sum("weight").alias("weight")).where("weight > 0")
+
+    def edges_of(self, entities: DataFrame) -> DataFrame:
+        """(x, y, weight) of entities(id): only the buckets that hold their lists are read."""
+        m = self.manifest()
+        buckets = [r.b for r in entities.select(self._bucket(m, "id").cast("int").alias("b")).distinct().collect()]
+        lists = self._edges(m, buckets).join(entities.select(F.col("id").alias("x")).distinct(), "x", "left_semi")
+        return lists.groupBy("x", "y").agg(F.sum("weight").alias("weight")).where("weight > 0")
+
+    def neighbours(self, entity_id: str, limit: int = 50) -> DataFrame:
+        """(id, weight) of the strongest neighbours of one entity."""
+        m = self.manifest()
+        bucket = self.spark.range(1).select(F.lit(entity_id).alias("id")).select(self._bucket(m, "id").cast("int").alias("b")).first().b
+        own = self._edges(m, [bucket]).where(F.col("x") == entity_id).groupBy(F.col("y").alias("id")).agg(F.sum("weight").alias("weight"))
+        return own.where("weight > 0").orderBy(F.desc("weight"), "id").limit(limit)
+
+    def expand(self, seed: DataFrame, limit: int = DEFAULTS.max_neighbours) -> DataFrame:
+        """(id, score, via): seeds (id, score, via) and their strongest neighbours, from the seeds' lists alone."""
+        return retrieval.grown(self.edges_of(seed), seed, limit)
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -137,8 +161,8 @@ class LiveProject(Parts):
     def _bucket(self, m: dict, *names: str):
         return F.pmod(F.xxhash64(*names), F.lit(m["buckets"]))
 
-    def _add(self, m: dict, out: dict, table: str, rows: DataFrame, by: str) -> dict:
-        part = self.write(rows, table, m["version"] + 1, self._bucket(m, by))
+    def _add(self, m: dict, out: dict, table: str, rows: DataFrame, by: str, order: list[str] | None = None) -> dict:
+        part = self.write(rows, table, m["version"] + 1, self._bucket(m, by), order)
         out["rows"].setdefault(table, []).append(part)
         return part
 
@@ -154,7 +178,8 @@ class LiveProject(Parts):
                 weights.append(graph.pair_weights(rows).select("a", "b", (sign * F.col("weight")).alias("weight")))
                 counts.append(rows.groupBy("entity_id").agg((sign * F.count("*")).alias("n")))
         both = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(dfs[1])
-        self._add(m, out, "related", both(weights).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where("weight <> 0"), "a")
+        changed = both(weights).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+        self._add(m, out, "adjacent", graph.both_ways(changed), "x", ["x", "y"])
         self._add(m, out, "counts", both(counts).groupBy("entity_id").agg(F.sum("n").alias("n")).where("n <> 0"), "entity_id")
 
     def _next(self, m: dict) -> dict:
@@ -241,7 +266,7 @@ class LiveProject(Parts):
         out = self._next(m) | {"rows": {}, "deletions": {}}
         for table in OWNED:
             self._add(m, out, table, self._rows(m, table).drop("seq", "turn", "bucket"), OWNED[table])
-        self._add(m, out, "related", self._weights(m), "a")
+        self._add(m, out, "adjacent", graph.both_ways(self._weights(m)), "x", ["x", "y"])
         living = self._entities(m)
         self._add(m, out, "counts", living.select(F.col("id").alias("entity_id"), "n"), "entity_id")
         self._add(m, out, "entity", living.drop("n"), "key")

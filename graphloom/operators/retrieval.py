@@ -101,8 +101,13 @@ def seeds(entity: DataFrame, names: list[str], query: list[float] | None, distan
 
 def expand(related: DataFrame, seed: DataFrame, limit: int = DEFAULTS.max_neighbours) -> DataFrame:
     """(id, score, via): seeds and their strongest neighbours at half the seed's score, scaled by weight; an entity keeps its best."""
-    start = F.broadcast(seed.select(F.col("id").alias("x"), "score"))  # named entities and ten at most
-    edges = both_ways(related).join(start, "x").join(F.broadcast(seed.select(F.col("id").alias("y"))), "y", "left_anti")
+    return grown(both_ways(related), seed, limit)
+
+
+def grown(edges: DataFrame, seed: DataFrame, limit: int = DEFAULTS.max_neighbours) -> DataFrame:
+    """expand() over edges (x, y, weight) in either direction; a name may stand for many seeds, so how they are joined is left to the planner."""
+    start = seed.select(F.col("id").alias("x"), "score")
+    edges = edges.join(start, "x").join(seed.select(F.col("id").alias("y")), "y", "left_anti")
     strongest = edges.orderBy(F.desc("weight"), "x", "y").limit(limit)
     most = F.max("weight").over(Window.partitionBy())  # over `limit` rows
     near = strongest.withColumn("most", most).select(F.col("y").alias("id"), (0.5 * F.col("score") * F.col("weight") / F.col("most")).alias("score"))

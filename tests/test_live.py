@@ -70,6 +70,14 @@ def test_a_change_writes_the_documents_own_rows(spark):
             assert new["rows"][table][:len(parts)] == parts  # nothing is written again
         written = live.read("chunk", new["rows"]["chunk"][1:], live._schema("chunk")).collect()
         assert [(r.id, r.text) for r in written] == [("d7#0", "Ada Cham")] and len(live.files.names(f"{root}/chunk/seq=2/turn={new['rows']['chunk'][1]['turn']}")) <= 2
+        near = live.neighbours("head:ada").collect()
+        assert [(r.id, r.weight) for r in near] == [("body:bern", 39), ("head:cham", 1)]
+        seed = spark.createDataFrame([("head:ada", 1.0, "query")], "id string, score double, via string")
+        found = live.expand(seed, 30)
+        from graphloom.operators import retrieval
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, retrieval.expand(live.table("related"), seed, 30).collect()))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "/mentions" not in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
         plan = live._rows(new, "chunk", [3])._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
         assert live.table("document", version=1).where("id = 'd7'").first().content == "Ada Bern\nCham Dora"  # earlier versions stay readable
