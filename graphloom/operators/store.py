@@ -89,6 +89,12 @@ class Files:
             return False
         return True
 
+    def age(self, path: str) -> int | None:
+        """Milliseconds since a file was written; None if it is not there."""
+        import time
+
+        return int(time.time() * 1000) - self.fs.getFileStatus(self.path(path)).getModificationTime() if self.fs.exists(self.path(path)) else None
+
     def rename(self, path: str, to: str) -> None:
         if not self.fs.rename(self.path(path), self.path(to)):
             raise OSError(f"cannot rename {path}")
@@ -117,9 +123,8 @@ class Projects:
     def create(self, project: str, model: str = "hashed", name: str | None = None) -> Store:
         if not PROJECT_ID.fullmatch(project):
             raise ValueError(f"not a project id: {project}")
-        if project in self.list():
+        if not self.files.publish(f"{self.root}/{project}/manifest.json", json.dumps({"version": 0, "model": model, "name": name or project, "tables": {}})):
             raise Conflict(project)
-        self.files.replace(f"{self.root}/{project}/manifest.json", json.dumps({"version": 0, "model": model, "name": name or project, "tables": {}}))
         return self.open(project, model)
 
     def open(self, project: str, model: str = "hashed") -> Store:
@@ -130,8 +135,8 @@ class Projects:
 
     def rename(self, project: str, name: str) -> None:
         """A new display name."""
-        manifest = Store(self.spark, f"{self.root}/{project}").manifest()
-        self.files.replace(f"{self.root}/{project}/manifest.json", json.dumps(manifest | {"name": name}))
+        store = Store(self.spark, f"{self.root}/{project}")
+        store.publish(store.manifest() | {"name": name})
 
     def health(self) -> dict:
         """State of the service and its settings."""
@@ -183,10 +188,21 @@ class Store:
             full = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df
             full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]).write.mode("overwrite").parquet(path)
             manifest["tables"][name] = path
-        manifest["version"] = version
-        if not self.files.claim(f"{self.root}/claims/{version}"):
-            raise Conflict(f"version {version} is written by another; if that writer died, remove {self.root}/claims/{version}")
-        self.files.replace(f"{self.root}/manifest.json", json.dumps(manifest))
+        return self.publish(manifest)
+
+    def publish(self, manifest: dict, stale_ms: int = 600_000) -> int:
+        """The manifest as the version after its own. A claim that is older than `stale_ms` is of a writer that died between
+        claim and manifest: it is taken over."""
+        version = manifest["version"] + 1
+        claim = f"{self.root}/claims/{version}"
+        if not self.files.claim(claim):
+            age = self.files.age(claim)
+            if self.version >= version or age is None or age < stale_ms:
+                raise Conflict(f"version {version} is written by another")
+            self.files.delete(claim)
+            if not self.files.claim(claim):
+                raise Conflict(f"version {version} is written by another")
+        self.files.replace(f"{self.root}/manifest.json", json.dumps(manifest | {"version": version}))
         return version
 
     def ingest(self, document: DataFrame, create: bool = False, extract=ingest.capital_mentions, structured: bool = True, embedder=models.HashedTerms, **sizes) -> int:
@@ -205,7 +221,9 @@ class Store:
             "updated_at": F.coalesce("updated_at", F.current_timestamp()), "status": F.coalesce("status", F.lit("PUBLISHED"))})
         full = full.select(*TABLES["document"].fieldNames())
         chunk = ingest.passages(full, structured, **sizes).withColumn("embedding", models.embedded(F.col("text"), embedder))
-        mentions, entity = ingest.canonical(ingest.cleaned(extract(chunk)), old["entity"])
+        counted = old["mentions"].groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"))
+        most = old["entity"].join(counted, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # of several of a name the most mentioned
+        mentions, entity = ingest.canonical(ingest.cleaned(extract(chunk)), most)
         fresh = entity.join(old["entity"].select("id"), "id", "left_anti").withColumn("embedding", models.embedded(F.col("name"), embedder))
         shown = chunk.select(F.col("id").alias("chunk_id"), "doc_id", "page", F.explode("images").alias("i")).withColumn("id", F.concat("doc_id", F.lit("!"), "i.n"))
         new = {"document": full, "chunk": chunk.drop("images"), "mentions": mentions, "entity": fresh, "shows": shown.select("chunk_id", F.col("id").alias("image_id")),

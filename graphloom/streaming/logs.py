@@ -42,7 +42,8 @@ def new_passages(sent: DataFrame, hours: int = 4) -> DataFrame:
     """(session, chunk_id) of a stream (session, chunk_id[, ts]) without what the session had in the last hours.
 
     State is the session's ids; it times out, by event time (arrival where there is no ts), `hours` after its last
-    record. The limit on the number of sessions is one over all keys: see `session_ids` for a table of sent passages."""
+    record. Records that are late are dropped, and the number of sessions has no limit: sessions.not_yet_sent has neither
+    fault; `session_ids` is for a table of sent passages."""
     if "ts" not in sent.columns:
         sent = sent.withColumn("ts", F.current_timestamp())
     sent = sent.withWatermark("ts", "0 seconds")

@@ -106,3 +106,34 @@ def test_dense_maps_are_thinned(spark):
     for nodes in (3, 7, 8, 100):
         cut = max(2, sorted(weights, reverse=True)[3 * nodes]) if len(weights) > 4 * nodes else 0
         assert graph.thinned(edges, nodes).count() == sum(w >= cut for w in weights)
+
+
+def test_renames_are_versions_and_a_dead_writers_claim_is_taken_over(spark, tmp_path):
+    from graphloom.operators.store import Conflict, Projects
+
+    projects = Projects(spark, str(tmp_path))
+    store = projects.create("one")
+    with pytest.raises(Conflict):
+        projects.create("one")
+    old = store.manifest()
+    projects.rename("one", "First")
+    assert store.manifest()["name"] == "First" and store.version == 1
+    with pytest.raises(Conflict):
+        store.publish(old)  # it started from the version before
+    store.files.claim(f"{tmp_path}/one/claims/2")  # and its writer died
+    with pytest.raises(Conflict):
+        store.publish(store.manifest())
+    assert store.publish(store.manifest(), stale_ms=-1) == 2
+
+
+def test_of_several_entities_of_a_name_the_most_mentioned_wins(spark, tmp_path):
+    from graphloom.operators import ingest
+    from graphloom.operators.store import Projects
+
+    store = Projects(spark, str(tmp_path)).create("one")
+    entity = spark.createDataFrame([("a:ada", "Ada", "A"), ("z:ada", "Ada", "Z")], "id string, name string, label string")
+    mentions = spark.createDataFrame([("x#0", "a:ada", 0.9, "Ada"), ("x#1", "z:ada", 0.9, "Ada"), ("x#2", "z:ada", 0.9, "Ada")], "chunk_id string, entity_id string, score double, surface string")
+    chunk = spark.createDataFrame([(f"x#{i}", "x", i, "Ada") for i in range(3)], "id string, doc_id string, idx long, text string")
+    store.write({"entity": entity, "mentions": mentions, "chunk": chunk, "document": spark.createDataFrame([("x", "Ada")], "id string, content string")})
+    store.ingest(spark.createDataFrame([("y", "Here is Ada.")], "id string, content string"), extract=ingest.capital_mentions)
+    assert "z:ada" in {r.entity_id for r in store.table("mentions").where("chunk_id like 'y%'").collect()}
