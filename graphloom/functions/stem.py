@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -169,13 +170,17 @@ def french(word: str) -> str:
     return w.lower()
 
 
+@lru_cache(maxsize=65_536)
+def _stems(word: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys((english(word), french(word))))
+
+
 def analyse(text: str) -> list[str]:
     """Index terms: words of two letters at least that are no stopwords, by their English stem and the French one where it differs."""
     out = []
     for word in re.findall(r"[^\W]+", text.lower()):
         if len(word) >= 2 and word not in STOPWORDS:
-            first, second = english(word), french(word)
-            out += [first] if first == second else [first, second]
+            out += _stems(word)
     return out
 
 

@@ -53,10 +53,10 @@ def heading_parts(c):
     return run(c)
 
 
-def line_passages(document: DataFrame) -> DataFrame:
-    """One passage a line that is not blank."""
-    each = document.select(F.col("id").alias("doc_id"), F.posexplode(F.split("content", "\n", -1)).alias("idx", "text"))
-    return each.where("text <> ''").select(F.concat("doc_id", F.lit("#"), F.col("idx")).alias("id"), "doc_id", F.col("idx").cast("long").alias("idx"), "text")
+def line_passages(document: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One passage a line that is not blank; columns of the document named in carry come along, short ones."""
+    each = document.select(F.col("id").alias("doc_id"), *carry, F.posexplode(F.split("content", "\n", -1)).alias("idx", "text"))
+    return each.where("text <> ''").select(F.concat("doc_id", F.lit("#"), F.col("idx")).alias("id"), "doc_id", F.col("idx").cast("long").alias("idx"), "text", *carry)
 
 
 def capital_mentions(chunk: DataFrame) -> DataFrame:
