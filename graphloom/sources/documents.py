@@ -61,8 +61,8 @@ def detect(name: str, data: bytes) -> str:
 
 
 def front_matter(text: str) -> tuple[dict, str]:
-    """({title, status, tags}, body) of a Markdown text that opens with a --- block."""
-    m = re.match(r"﻿?---[ \t]*\n(.*?)\n---[ \t]*(?:\n|$)", text, re.S)
+    """({title, status, tags}, body) of a Markdown text that opens with a --- block; it ends at --- or at three dots."""
+    m = re.match(r"﻿?---[ \t]*\n(.*?)\n(?:---|\.\.\.)[ \t]*(?:\n|$)", text, re.S)
     if not m:
         return {}, text
     found: dict = {}

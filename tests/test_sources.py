@@ -21,6 +21,7 @@ A = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="ur
 def test_front_matter_and_titles():
     found, body = d.front_matter('---\ntitle: "My Doc"\ntags:\n  - a\n  - b\ndraft: true\n---\n# Head\n')
     assert found == {"title": "My Doc", "tags": ["a", "b"], "status": "DRAFT"} and body == "# Head\n"
+    assert d.front_matter("---\ntitre: Fin\n...\nBody\n---\n") == ({"title": "Fin"}, "Body\n---\n")
     assert d.front_matter("---\nkeywords: [x, 'y']\nstatus: draft\n---\n")[0] == {"tags": ["x", "y"], "status": "DRAFT"}
     assert d.first_heading("# 1. Introduction\ntext\n# Real title") is None  # the file's name is the better title
     assert d.first_heading("text\n # Real title\n# Other") == "Real title" and d.is_generic("2. Glossary:") and d.is_generic("Scope")
