@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from graphloom.llm.nn_descent import audit, near_dedup
+from graphloom.llm.nn_descent import audit, near_dedup, tree_count
 
 
 def corpus(seed, n=300, dim=24, hot=90):
@@ -95,3 +95,24 @@ def test_vectors_of_one_id_are_points_of_their_own(spark):
     rows = [(5, a), (3, a), (5, b), (7, b), (9, c)]
     got = sorted((x.vec_id, x.n_links, x.component_id) for x in near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(3, 1, 3), (5, 1, 3), (5, 1, 3), (7, 1, 3), (9, 0, 9)]
+
+
+def test_trees_grow_with_depth():
+    for bits in (0, 5, 12, 16, 24):
+        together = (1 - math.acos(0.9) / math.pi) ** bits
+        assert 1 - (1 - together) ** tree_count(bits, 0.9) >= 0.95
+    assert tree_count(5, 0.9) == 12 < tree_count(12, 0.9) < tree_count(16, 0.9)
+
+
+def test_pairs_at_the_threshold_meet_in_deep_trees(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(2200, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    for i in range(300):
+        side = r.normal(size=64)
+        side -= (side @ base[i]) * base[i]
+        rows.append((10_000 + i, (0.902 * base[i] + math.sqrt(1 - 0.902**2) * side / np.linalg.norm(side)).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    linked = near_dedup(df, 0.9, leaf_rows=1).where("n_links > 0").count()  # twelve levels
+    assert linked >= 0.95 * 600
