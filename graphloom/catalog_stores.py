@@ -1,16 +1,19 @@
-"""Named queries over stores that a query fills from the driver's tables: changing projects, vector index, sessions."""
+"""Named queries over stores that a query fills from the driver's tables: changing projects, vector index, logs, scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom import models
 from graphloom.catalog import COS, EXPAND_SQL, ORACLE, _query_vector, query, r6
 from graphloom.operators import ingest, retrieval
 from graphloom.operators.live import LiveProject
+from graphloom.operators.score_store import ScoreStore
 from graphloom.operators.vector_index import VectorIndex
 from graphloom.plans.driver_tables import PRELUDE, Project
 from graphloom.session import scratch
+from graphloom.streaming.segments import SegmentLog
 
 _NOISE = ", ".join(f"'{w}'" for w in sorted(set(ingest.NOISE)))
 #: The driver's project without mentions of words that name nothing; of equal names and labels in a passage one stays.
@@ -74,3 +77,41 @@ def _knn_ivf(p: Project) -> DataFrame:
     """Exact search through the stored index: cells that the radius rules out are not read."""
     index = VectorIndex.build(p.vectors, scratch(p.spark, "vectors"))
     return index.search(_query_vector(p), 50, exact=True).select("id", r6(F.col("similarity"), "similarity"))
+
+
+def _log(p: Project) -> SegmentLog:
+    """Events as a log: three appends by time of day, the errors of the first two cleared, the first put aside, the rest as one segment."""
+    log = SegmentLog.create(p.spark, scratch(p.spark, "log"))
+    events = p.raw("events").select(F.expr("unix_millis(from_utc_timestamp(cast(ts AS timestamp), current_timezone()))").alias("at"), F.lit("api").alias("channel"), F.col("event_type").alias("project"),
+                                    F.col("event_id").cast("string").alias("detail"), F.hour("ts").alias("hour"))
+    log.append(events.where("hour < 8"))
+    log.rotate(most_bytes=0)
+    log.append(events.where("hour between 8 and 15"))
+    log.clear("error")
+    log.append(events.where("hour > 15 or hour is null"))
+    log.compact()
+    return log
+
+
+LOG_SQL = """WITH event AS (SELECT epoch_us(ts) // 1000 AS at, event_type AS project, CAST(event_id AS VARCHAR) AS detail, hour(ts) AS hour FROM events
+  WHERE event_type IS DISTINCT FROM 'error' OR coalesce(hour(ts), 24) > 15)
+"""
+
+
+@query("snk02_log_last", LOG_SQL + "SELECT e.at, project, detail FROM event e WHERE coalesce(hour, 24) >= 8 ORDER BY e.at DESC NULLS LAST, project NULLS FIRST, detail NULLS FIRST LIMIT 20000", False)
+def _log_last(p: Project) -> DataFrame:
+    return _log(p).last().select("at", "project", "detail")
+
+
+@query("snk02_log_records", LOG_SQL + "SELECT project, count(*) AS calls, min(e.at) AS first_at, max(e.at) AS last_at FROM event e GROUP BY 1", False)
+def _log_records(p: Project) -> DataFrame:
+    return _log(p).records(rotated=True).groupBy("project").agg(F.count("*").alias("calls"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query("jn18_known_scores")
+def _known_scores(p: Project) -> DataFrame:
+    """Scores of all passages for one question; those of the first passages of the documents are known before."""
+    store, question = ScoreStore(p.spark, scratch(p.spark, "scores")), "reation oration"
+    rerank = store.rerank("1", question, models.reranked(question))
+    rerank(p.chunk.where("idx = 0").select("id", "text"))
+    return rerank(p.chunk.select("id", "text")).select("id", F.round("rerank", 6).alias("rerank"))

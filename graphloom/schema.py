@@ -20,6 +20,7 @@ IMAGE = _struct(id=_s, doc_id=_s, file=_s, caption=_s, page=_l, n=_l)
 SHOWS = _struct(chunk_id=_s, image_id=_s)
 CALL = _struct(at=_l, channel=_s, project=_s, operation=_s, detail=_s, result=_s, context_chars=_l, context_tokens=_l, duration_ms=_l, ok=_b, error=_s)
 FEEDBACK = _struct(kind=_s, at=_l, query=_s, question=_s, channel=_s, chunks=T.ArrayType(_s), best=_d, outcome=_s, key=_s)
+SCORE = _struct(at=_l, project=_s, question=_s, id=_s, score=_d)
 EVALSET = _struct(id=_s, question=_s, expect=_struct(doc=_s, pages=T.ArrayType(_l), contains=T.ArrayType(_s), none=_b))
 WATCH = _struct(path=_s, size=_l, mtime_s=_l)
 

@@ -13,10 +13,10 @@ from graphloom.schema import CALL, FEEDBACK
 
 
 def read_log(spark: SparkSession, path: str, feedback: bool = False, most: int = 20_000) -> DataFrame:
-    """The last records of a JSON-lines log; lines that do not parse are skipped."""
+    """The last records of a JSON-lines log, equal times in the order of the other columns; lines that do not parse are skipped."""
     schema = FEEDBACK if feedback else CALL
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.orderBy(F.desc("at")).limit(most)
+    return rows.orderBy(F.desc("at"), *[c for c in schema.fieldNames() if c != "at"]).limit(most)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -89,7 +89,10 @@ def rotate_log(spark: SparkSession, path: str, most_bytes: int = 20_000_000) ->
 
 
 def clear_log(spark: SparkSession, path: str, project: str = "") -> int:
-    """Forget the calls of one project, or all calls and rotated logs; how many of the visible calls went."""
+    """Forget the calls of one project, or all calls and rotated logs; how many of the visible calls went.
+
+    Calls of other projects stay, those too old to be visible also. The whole log is written anew: segments.SegmentLog
+    clears by one manifest and is safe against a writer that dies in between."""
     import uuid
 
     from graphloom.operators.store import Files
@@ -99,7 +102,8 @@ def clear_log(spark: SparkSession, path: str, project: str = "") -> int:
     gone = rows if not project else rows.where(F.col("project") == project)
     count = gone.count()
     aside = f"{path}.{uuid.uuid4().hex}"
-    rows.where(~F.col("project").eqNullSafe(project) if project else F.lit(False)).write.json(aside)
+    whole = spark.read.schema(CALL).option("mode", "DROPMALFORMED").json(path)
+    whole.where(~F.col("project").eqNullSafe(project) if project else F.lit(False)).write.json(aside)
     folder, name = path.rsplit("/", 1)
     for old in files.names(folder) if not project else []:
         if re.fullmatch(re.escape(name) + r"-\d+", old):

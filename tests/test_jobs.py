@@ -86,6 +86,9 @@ def test_small_operators(spark, tmp_path):
 
 def test_logs_clear_rotate_and_sessions(spark, tmp_path):
     path = str(tmp_path / "calls")
+    old = str(tmp_path / "long")
+    logs.append_log(spark.range(20_010).selectExpr("id AS at", "if(id < 10, 'q', 'p') AS project"), old)
+    assert logs.clear_log(spark, old, "p") == 20_000 and logs.read_log(spark, old).count() == 10  # these were not visible before
     logs.append_log(spark.createDataFrame([(i, "pq"[i % 2]) for i in range(6)], "at long, project string"), path)
     assert logs.rotate_log(spark, path) is None and logs.clear_log(spark, path, "p") == 3
     assert {r.project for r in logs.read_log(spark, path).collect()} == {"q"}
