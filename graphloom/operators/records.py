@@ -86,6 +86,35 @@ def metrics(ranked: DataFrame, k: int = DEFAULTS.k) -> DataFrame:
     return out.withColumn("overall", F.coalesce(both, "hit_k", "rejection"))
 
 
+def sweep(results: DataFrame, questions: DataFrame, thresholds: list[float], k: int = DEFAULTS.k) -> DataFrame:
+    """metrics() at each threshold of the score (min_score), from one search a question without a threshold.
+
+    results: (id, place, doc_id, page, text, score), the place by falling score; a threshold then cuts an end off, so a
+    question matters by two numbers: how many thresholds its first right passage passes, and how many its best passage."""
+    ts = sorted(set(map(float, thresholds)))
+    passed = F.size(F.filter(F.array(*map(F.lit, ts)), lambda t: t <= F.col("score")))
+    judged = results.join(questions.select("id", "expect"), "id").withColumn("passed", passed).withColumn(
+        "hit", expectation_met(F.col("text"), F.col("page"), F.col("doc_id")))
+    each = judged.groupBy("id").agg(F.min(F.when(F.col("hit"), F.col("place"))).alias("rank"), F.max(F.when(F.col("hit"), F.col("passed"))).alias("right"),
+                                    F.max("passed").alias("best"))
+    none = F.coalesce(F.col("expect.none"), F.lit(False))
+    each = questions.select("id", none.alias("none")).join(each, "id", "left")
+    answerable, rank = ~F.col("none"), F.col("rank")
+    level = F.coalesce(F.when(answerable, F.col("right")).otherwise(F.col("best")), F.lit(0))
+    sums = {"hit_1": F.when(rank <= 1, 1.0), "hit_3": F.when(rank <= 3, 1.0), "hit_k": F.when(rank <= k, 1.0), "mrr": 1.0 / rank, "asked": F.lit(1.0)}
+    levels = each.groupBy(level.alias("level")).agg(
+        *[F.sum(F.when(answerable, c)).alias(n) for n, c in sums.items()], F.count_if("none").alias("kept"), F.count("*").alias("questions"))
+    spine = questions.sparkSession.createDataFrame(list(enumerate([None, *ts])), "level int, min_score double")
+    above = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)  # a row a threshold
+    whole = Window.orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = lambda c, w: F.sum(F.coalesce(c, F.lit(0))).over(w)
+    share = lambda c: F.try_divide(over(c, above), over("asked", whole)).alias(c)
+    refused = F.try_divide(over("kept", whole) - over("kept", above), over("kept", whole))
+    out = spine.join(levels, "level", "left").select(
+        "min_score", over("questions", whole).alias("questions"), *map(share, ("hit_1", "hit_3", "hit_k", "mrr")), refused.alias("rejection")).where("min_score is not null")
+    return out.withColumn("overall", F.coalesce((F.col("hit_k") + F.col("rejection")) / 2, "hit_k", "rejection"))
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The sweep's row of best (overall, mrr, min_score)."""
     return sweep.orderBy(F.desc("overall"), F.desc("mrr"), F.desc("min_score")).limit(1)
