@@ -344,6 +344,15 @@ query("agg16_eval_metrics", EVAL_SQL + """, m AS (SELECT count(*) AS questions,
 SELECT questions, round(hit_1, 6)::DOUBLE AS hit_1, round(hit_3, 6)::DOUBLE AS hit_3, round(hit_k, 6)::DOUBLE AS hit_k, round(mrr, 6)::DOUBLE AS mrr, round(rejection, 6)::DOUBLE AS rejection,
   round(coalesce((hit_k + rejection) / 2, hit_k, rejection), 6)::DOUBLE AS overall FROM m""")(
     lambda p: records.metrics(records.evaluated(*_eval(p))).select("questions", *[r6(F.col(c), c) for c in ("hit_1", "hit_3", "hit_k", "mrr", "rejection", "overall")]))
+query("qry11_threshold_sweep", EVAL_SQL.rsplit("r AS (", 1)[0] + """t AS (SELECT unnest([0.05, 0.3, 0.5, 1.0])::DOUBLE AS min_score),
+r AS (SELECT t.min_score, q.id, q.none, min(h.place) FILTER (h.hit) AS rank, count(h.id) AS returned FROM t CROSS JOIN q
+  LEFT JOIN hits h ON h.id = q.id AND 1.0::DOUBLE / h.place >= t.min_score GROUP BY 1, 2, 3),
+m AS (SELECT min_score, count(*) AS questions, avg(CASE WHEN rank <= 8 THEN 1.0 ELSE 0 END) FILTER (NOT none) AS hit_k, avg(coalesce(1.0 / rank, 0)) FILTER (NOT none) AS mrr,
+  avg(CASE WHEN returned = 0 THEN 1.0 ELSE 0 END) FILTER (none) AS rejection FROM r GROUP BY 1)
+SELECT min_score, questions, round(hit_k, 6)::DOUBLE AS hit_k, round(mrr, 6)::DOUBLE AS mrr, round(rejection, 6)::DOUBLE AS rejection,
+  round(coalesce((hit_k + rejection) / 2, hit_k, rejection), 6)::DOUBLE AS overall FROM m""")(
+    lambda p: records.sweep(_eval(p)[0].withColumn("score", 1 / F.col("place")), _eval(p)[1], [0.05, 0.3, 0.5, 1.0]).select(
+        "min_score", "questions", *[r6(F.col(c), c) for c in ("hit_k", "mrr", "rejection", "overall")]))
 query("agg17_best_threshold", "SELECT l_orderkey AS min_score FROM lineitem ORDER BY l_discount DESC, l_tax DESC, l_orderkey DESC LIMIT 1", False)(
     lambda p: records.best_threshold(p.raw("lineitem").selectExpr("l_orderkey min_score", "l_discount overall", "l_tax mrr")).select("min_score"))
 
