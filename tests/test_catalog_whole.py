@@ -1,5 +1,8 @@
 import __spark_entry__
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators.context import within_budget
 from graphloom.plans.driver_tables import Project
@@ -44,3 +47,17 @@ def test_budget_over_all_lines(spark, sf):
         keep = within_budget([(r.text, r.idx % 3 == 0) for r in rows], 200)
         want |= {r.id for r, k in zip(rows, keep, strict=True) if k}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["qry01_search", "qry01_search_fused", "top06_rerank_pool"])
+def test_searches_rank_copies_as_their_sql_does(spark, sf, tmp_path, name):
+    for t, key in (("documents", "doc_id"), ("embeddings", "vec_id"), ("labels", "doc_id")):
+        rows = spark.read.parquet(f"{sf}/{t}.parquet")
+        rows.unionByName(rows.withColumn(key, F.col(key) + 100_000)).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = con.sql(__spark_entry__.oracle_sql()[name])
+    as_row = lambda r: str([round(x, 5) if isinstance(x, float) else x for x in r])
+    got = __spark_entry__.queries()[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(as_row, got)) == sorted(map(as_row, rel.fetchall()))
