@@ -87,3 +87,25 @@ def test_ranges_against_a_plain_loop():
             window.append(i)
         want += [(window[0], window[-1] + 1)] if window else []
         assert t.ranges(costs, size, overlap) == want
+
+
+def test_stemmed_search_analyses_passages_once(spark):
+    from graphloom.functions import stem
+    from graphloom.operators import retrieval
+
+    chunk = spark.createDataFrame([("a", "The nationalization of rapid horses"), ("b", "rapidement, rapid RAPID"), ("c", ""), ("d", None), ("e", "of the")], "id string, text string")
+    terms = stem.analyse("rapid horse")
+    whole, lengths = retrieval.postings(chunk, stem.stemmed_terms)
+    tf, counted = retrieval.postings(chunk, stem.stemmed_terms, terms)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tf.select("chunk_id", "term", "tf")) == rows(whole.where(whole["term"].isin(*terms))) and rows(counted) == rows(lengths)
+    found, expected = retrieval.bm25_search(tf, counted, terms, 5), retrieval.bm25_search(whole, lengths, terms, 5)
+    assert [(i, round(s, 9)) for i, s in map(tuple, found.collect())] == [(i, round(s, 9)) for i, s in map(tuple, expected.collect())]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_memo_of_stems_is_bounded():
+    from graphloom.functions import stem
+
+    memo = stem._Stems(2)
+    assert [memo[w] for w in ("running", "développements", "the", "a", "running")] == [("run", "running"), ("développ",), (), (), ("run", "running")] and len(memo) <= 2
