@@ -9,7 +9,7 @@ from graphloom.operators import console, context, graph, ingest, records, retrie
 from graphloom.plans.driver_tables import Project
 from graphloom.streaming import logs
 
-SAMPLE = ["agg01_statistics", "agg08_decrement", "agg14_history_totals", "agg15_history_series", "grf02_expand", "kw02_bm25", "qry01_search", "jn12_read_window", "qry14_cypher", "agg18_gaps"]
+SAMPLE = ["agg01_statistics", "agg08_decrement", "agg14_history_totals", "agg15_history_series", "grf02_expand", "kw02_bm25", "qry01_search", "jn12_read_window", "qry14_cypher", "agg18_gaps", "cy14_unwind_range", "cy34_show_tables"]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
