@@ -224,17 +224,19 @@ class LiveProject(Parts):
         self._add(m, out, "image", shown.select("id", "doc_id", F.lit(None).cast("string").alias("file"), F.col("i.caption").alias("caption"), "page", F.col("i.n").alias("n")), "doc_id")
         self._add(m, out, "shows", shown.select("chunk_id", F.col("id").alias("image_id"), "doc_id"), "doc_id")
 
-        raw = ingest.cleaned(extract(chunk))
+        aside = f"{self.root}/aside/{uuid.uuid4().hex}"  # read by several tables below
+        ingest.cleaned(extract(chunk)).write.parquet(f"{aside}/raw")
+        raw = self.spark.read.parquet(f"{aside}/raw")
         keys = raw.select(F.lower("surface").alias("key")).distinct()
         names = [r.b for r in keys.select(self._bucket(m, "key").cast("int").alias("b")).distinct().collect()]
         known_names = self._entities(m, names).join(keys, "key", "left_semi").select("id", "name", "label", "n")
-        found, entity = ingest.canonical(raw, known_names)
-        place = chunk.select(F.col("id").alias("chunk_id"), "doc_id")
-        part = self._add(m, out, "mentions", found.join(place, "chunk_id"), "doc_id")
+        found, entity = ingest.canonical(raw, known_names, f"{aside}/placed")
+        part = self._add(m, out, "mentions", found, "doc_id")
         mentions = self.read("mentions", [part], self._schema("mentions"))
         fresh = entity.join(known_names.select("id"), "id", "left_anti")
         named = models.embedded(F.col("name"), embedder) if embedder else F.lit(None).cast("array<float>")
         self._add(m, out, "entity", fresh.select("id", "name", "label", named.alias("embedding"), F.lower("name").alias("key")), "key")
+        self.files.delete(aside)
         self._signed(m, out, mentions, self._taken(m, ids, buckets))
         self._forget(m, out, known.select(F.col("id").alias("owner")), OWNED)
         return self.publish(out)

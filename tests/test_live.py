@@ -119,3 +119,40 @@ def test_of_two_writers_the_second_fails_and_a_dead_one_blocks_nobody(spark):
         assert sorted(r.id for r in one.table("document").collect()) == ["a", "b"] and one.expire(keep=1) == 0
         with pytest.raises(Conflict):
             LiveProject.create(spark, root)
+
+
+def test_pairs_and_stored_mentions_are_those_of_a_join(spark, tmp_path):
+    rows = [("c1", "d", s, "HEAD" if s == "Bob" else "BODY", 0.6) for s in ("Bob", "Ann", "Zed", "ANN")] + [("c2", "e", "Ann", "HEAD", 0.7), ("c2", "e", "Bob", "BODY", 0.5), ("c3", "e", "Bob", "HEAD", 0.9)]
+    raw = spark.createDataFrame(rows, "chunk_id string, doc_id string, surface string, label string, score double")
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    plain, kept = ingest.canonical(raw), ingest.canonical(raw, aside=str(tmp_path / "aside"))
+    assert as_rows(kept[0].select(*plain[0].columns)) == as_rows(plain[0]) and as_rows(kept[1]) == as_rows(plain[1])
+    one = plain[0].select("chunk_id", F.col("entity_id").alias("a")).distinct()
+    joined = one.join(one.withColumnRenamed("a", "b"), "chunk_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    pairs = graph.pair_weights(spark.createDataFrame(plain[0].collect(), plain[0].schema))
+    assert as_rows(pairs) == as_rows(joined) and pairs.count() == 3
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    chunk = spark.createDataFrame([("c1", "d"), ("c2", "e"), ("c3", "e")], "id string, doc_id string")
+    document = spark.createDataFrame([("d", "DRAFT"), ("e", "PUBLISHED")], "id string, status string")
+    assert as_rows(graph.mention_counts(kept[0], chunk, document)) == as_rows(graph.mention_counts(plain[0], chunk, document))
+
+
+def test_an_ingest_extracts_once_and_leaves_nothing_aside(spark, tmp_path):
+    calls = []
+
+    def extract(chunk):
+        calls.append(1)
+        return ingest.capital_mentions(chunk)
+
+    live = LiveProject.create(spark, str(tmp_path / "live"))
+    live.ingest(spark.createDataFrame([("a", "Ann met Bob."), ("b", "Zed saw (Ann")], "id string, content string"), extract=extract)
+    assert live.files.names(f"{live.root}/aside") == [] and len(calls) == 1
+    assert sorted(r.weight for r in live.table("related").collect()) == [1, 1]
+
+
+def test_names_are_evaluated_once(spark):
+    raw = spark.createDataFrame([("c", "d", s, "BODY", 0.9) for s in ("Ann (Lee", " “Bob” ", "x", "plain", "The", "User", None, "A")], "chunk_id string, doc_id string, surface string, label string, score double")
+    found = ingest.cleaned(raw)
+    assert sorted(r.surface for r in found.collect()) == ["Ann (Lee)", "Bob", "The"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)") <= 3
