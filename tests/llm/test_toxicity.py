@@ -78,3 +78,31 @@ def test_pooling_is_the_maximum_over_windows():
 
 def test_best_cut():
     assert 2 < best_cut(np.array([0.0, 1, 2, 3, 4]), np.array([0, 0, 0, 1, 1])) < 3
+
+
+def test_rows_beyond_any_sample_are_learned_from(spark):
+    r = random.Random(1)
+    ids = spark.range(2 * 2_300).orderBy(toxicity.F.xxhash64("id"), "id").collect()  # the order in which a sample was taken
+    rows = []
+    for y in (0, 1):
+        for place, i in enumerate(x.id for x in ids if x.id % 2 == y):
+            words = [f"w{r.randrange(60)}" for _ in range(8)]
+            words.insert(r.randrange(8), ["plain", "idiot" if place < 1_500 else "moron"][y])
+            rows.append((i, " ".join(words), y))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = learn(docs, labels, epochs=3, shard_bytes=1 << 15)
+    late = [t for _, t, _ in rows if "moron" in t]
+    logit, lang = margins(model, late, Words())
+    assert len(late) == 800 and np.mean(logit >= model["cuts"][lang]) > 0.95
+
+
+def test_shards_learn_one_model(spark):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").where(~toxicity.held_out())
+    one, again = (learn(docs.repartition(n), labels, shard_bytes=1 << 16) for n in (2, 5))
+    assert all(np.array_equal(one[k], again[k]) for k in one)
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    logit, lang = margins(one, [t for t, _ in held], Words())
+    assert np.mean((logit >= one["cuts"][lang]) == [y for _, y in held]) > 0.93
