@@ -86,25 +86,41 @@ class Words(dict):
 
 def _pooled(model: dict, ids: np.ndarray, bounds: np.ndarray, table: np.ndarray, arg: bool = False):
     """Each filter's maximum per text; bounds: first position of each text, and the end. table: embedded word rows."""
-    out, args = [], []
+    out, args, at = [], [], 0
+    weights = np.concatenate([model[f"W{w}"][j] for w in WIDTHS for j in range(w)], axis=1)
+    project = np.take((table @ weights).T.copy(), ids, axis=1)  # a row for each place of each filter
     for w in WIDTHS:
-        part = None
-        for j in range(w):
-            project = (table @ model[f"W{w}"][j])[ids[j:len(ids) - w + 1 + j]]
-            part = project if part is None else part + project
+        n = len(ids) - w + 1
         # positions whose window crosses into the next text see only its padding at most
-        values = np.full((len(ids), FILTERS), -np.inf, np.float32)
-        values[: len(part)] = part
-        top = np.maximum.reduceat(values, bounds[:-1], axis=0)
-        out.append(top)
-        if arg:
-            args.append([[int(np.argmax(values[a:b, f])) + a for f in range(FILTERS)] for a, b in zip(bounds, bounds[1:], strict=False)])
+        values = np.full((FILTERS, len(ids)), -np.inf, np.float32)
+        values[:, :n] = project[at:at + FILTERS, :n]
+        for j in range(1, w):
+            values[:, :n] += project[at + j * FILTERS:at + (j + 1) * FILTERS, j:j + n]
+        at += w * FILTERS
+        top = np.maximum.reduceat(values, bounds[:-1], axis=1)
+        out.append(top.T)
+        if arg:  # the first place of the maximum
+            args.append([values[:, a:b].argmax(axis=1) + a for a, b in zip(bounds, bounds[1:], strict=False)])
     pooled = np.concatenate(out, axis=1)
     return (pooled, np.array(args)) if arg else pooled
 
 
+def _used(ids: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word ids, sorted, and the place of each id among them."""
+    if rows > 8 * len(ids):
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(rows, bool)
+    there[ids] = True
+    used = np.flatnonzero(there)
+    place = np.empty(rows, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    return used, place[ids]
+
+
 def _embedded(model: dict, buckets: np.ndarray) -> np.ndarray:
-    table = model["word"][buckets[:, 0]] + model["stem"][buckets[:, 1:]].sum(1)
+    table = model["word"][buckets[:, 0]]
+    for i in range(1, buckets.shape[1]):
+        table += model["stem"][buckets[:, i]]
     table[0] = 0
     return table
 
@@ -162,7 +178,7 @@ def one_pass(model: dict, grads2: dict, docs: list[np.ndarray], buckets: np.ndar
         batch = order[a:a + 32]
         ids = np.concatenate([docs[i] for i in batch])
         bounds = np.concatenate([[0], np.cumsum([len(docs[i]) for i in batch])])
-        used, local = np.unique(ids, return_inverse=True)
+        used, local = _used(ids, len(buckets))
         table = _embedded(model, buckets[used])
         pooled, args = _pooled(model, local, bounds, table, arg=True)
         hidden = np.maximum(pooled + model["bias"], 0)
@@ -208,7 +224,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0
 def logits(model: dict, docs: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
     ids = np.concatenate(docs)
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-    used, local = np.unique(ids, return_inverse=True)
+    used, local = _used(ids, len(buckets))
     pooled = _pooled(model, local, bounds, _embedded(model, buckets[used]))
     return (np.maximum(pooled + model["bias"], 0) @ model["out"] + model["b"]).astype(np.float64)
 
@@ -444,6 +460,8 @@ def learn(docs: DataFrame, labels: DataFrame, epochs: int = 12, sample_bytes: in
         one = one.withColumn("size", size).where(F.coalesce("size", F.lit(0)) <= sample_bytes // 2)
     _shared.small_batches(spark)
     words = _shared.cut(_as_words(one.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0)), "op2-words")
+    del rows, one  # the exchange of texts is not needed any more
+    _shared.release(spark)
     kinds = words.groupBy("held", "toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("words")).alias("size")).collect()
     trained = [r for r in kinds if not r.held]
     if len({r.toxic for r in kinds}) < 2 or not trained:
@@ -458,6 +476,8 @@ def learn(docs: DataFrame, labels: DataFrame, epochs: int = 12, sample_bytes: in
     mean = sum(r.n for r in trained if r.toxic) / n
     for number in range(epochs):
         _round(shards, model, grads2, mean, number)
+        if number % 4 == 3:
+            _shared.release(spark)
     _shared.small_batches(spark)
     model["cuts"] = _cuts(words.where("held"), model)
     for df in (words, shards):
