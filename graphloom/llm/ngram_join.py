@@ -10,9 +10,10 @@
 2. Blocks exchange sorted runs of signatures; the answers are bitmaps of those seen elsewhere.
    Sets without a repeated signature are done.
 3. Members of a signature group are compared with the group's first member, if their sizes can
-   link. Then families (sets tied by signatures, whatever their sizes: a group's first member may be
-   too short for others that link) that still span several components are compared across these,
-   chunk by chunk. Equal sets count once.
+   link. A group's first member may be too short for others that link, so groups that still span
+   several components are compared across these: pairs of small groups, large ones chunk by chunk.
+   Only groups of the rarest signatures count there: a set that shares k of its r with any linked
+   set meets it in the r - k + 1 rarest. Equal sets count once.
 4. Comparisons of one set with many: the others, in the global order, form a trie (sorted
    sequences with shared prefixes); the walk keeps the overlap at every node, resumes where two
    paths part, and leaves a subtree when the lengths that remain cannot reach the threshold.
@@ -27,7 +28,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import _shared
@@ -35,6 +36,7 @@ from graphloom.llm.suffix_dedup import _mix, answer_repeats, distinct_hashes, fr
 
 _STEP = 24  # tokens between the trie's nodes
 _TRIE_BYTES = 1 << 20  # of packed tokens in one trie
+_FEW = 512  # sets of a group of which pairs are made; larger ones are compared chunk by chunk
 
 
 def _byte_tables():
@@ -254,6 +256,16 @@ def across(members: DataFrame, num: int, den: int, chunk_rows: int = 512) -> Dat
     return blocks.groupBy("family", "pair").applyInArrow(compare, "a long, b long")
 
 
+def rarest(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Of groups(sig, side, row_id, ...) those rows by which linked sets still meet; sizes: (sig, m) of repeated signatures.
+
+    A set of r repeated signatures that shares `need` of them with any linked set (side: 2 * need + scheme) keeps
+    the r - need + 1 rarest, by one order for all sets: the rarest that two linked sets share is among those of both."""
+    own = Window.partitionBy("row_id", "side")
+    ranked = groups.join(sizes, "sig").withColumn("place", F.row_number().over(own.orderBy("m", "sig"))).withColumn("r", F.count("*").over(own))
+    return ranked.where(F.col("place") <= F.col("r") - F.floor(F.col("side") / 2) + 1).drop("place", "r", "m")
+
+
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_per_block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text): sets whose
     intersection is at least num / den of their union are linked."""
@@ -291,26 +303,29 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
 
         ids, sizes, prints, sets, sigs, values, _ = prepare(table)
         multi, _ = read_bits(values, list(zip(replies.column("part").to_pylist(), replies.column("bits").to_pylist(), strict=True)), parts)
-        mine, toks = [], []
+        mine, sides, toks = [], [], []
         for x in range(len(ids)):
             again = [(s[multi[np.searchsorted(values, s)]], need) for s, need in sigs.get(x, ())]
-            again = [s for s, need in again if len(s) >= need]  # else no other set can link by this scheme
+            again = [(s, need) for s, need in again if len(s) >= need]  # else no other set can link by this scheme
+            marks = [np.full(len(s), 2 * need + side) for side, (s, need) in enumerate(again)]
+            again = [s for s, _ in again]
             mine.append(np.concatenate(again).astype(np.int64) if again else None)
+            sides.append(np.concatenate(marks).astype(np.int32) if again else None)
             toks.append(None if mine[-1] is None else six(sets[x]))
         return pa.table({"row_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()), "print": pa.array(prints, pa.int64()),
-                         "sigs": pa.array(mine, pa.list_(pa.int64())), "toks": pa.array(toks, pa.binary())})
+                         "sigs": pa.array(mine, pa.list_(pa.int64())), "sides": pa.array(sides, pa.list_(pa.int32())), "toks": pa.array(toks, pa.binary())})
 
     sent = packed.groupBy("block").applyInArrow(send, "block int, part int, hashes binary, counts binary")
     bits = sent.groupBy("part").applyInArrow(
         lambda table: answer_repeats(table, 1 << 62), "block int, part int, bits binary")
     rows = _shared.cut(packed.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(
-        signed, "row_id long, n long, print long, sigs array<long>, toks binary"), "op6-rows")
+        signed, "row_id long, n long, print long, sigs array<long>, sides array<int>, toks binary"), "op6-rows")
     del packed, sent, bits  # their shuffle files are not needed any more
     _shared.release(spark)
 
     sets = rows.where("toks is not null").select("row_id", "toks")
     # one row a signature and set; equal sets of different blocks are linked without a comparison
-    groups = rows.where("sigs is not null").select(F.explode("sigs").alias("sig"), "row_id", "n", "print")
+    groups = rows.where("sigs is not null").select(F.explode(F.arrays_zip("sigs", "sides")).alias("s"), "row_id", "n", "print").select("s.sigs", "s.sides", "row_id", "n", "print").toDF("sig", "side", "row_id", "n", "print")
     first = groups.groupBy("sig").agg(F.min(F.struct("n", "row_id", "print")).alias("first"), F.count("*").alias("m")).where("m > 1")
     fits = lambda a, b: F.col(a) * den >= F.col(b) * num
     star = (groups.join(first.select("sig", "first"), "sig")
@@ -326,15 +341,21 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
     links = true_star.unionByName(equal).where("a <> b")
     found = _shared.components(links, "op6-comp")
 
-    # families (sets tied by signatures) that still span components: compare across them, in blocks
-    family = _shared.components(star.select("a", "b").unionByName(equal).where("a <> b"), "op6-family").withColumnRenamed("component_id", "family")
-    placed = (family.withColumnRenamed("id", "row_id").join(found.withColumnRenamed("id", "row_id"), "row_id", "left")
-              .withColumn("c", F.coalesce("component_id", "row_id")).select("row_id", "family", "c"))
-    split = placed.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("family")
-    members = _shared.cut(placed.join(split, "family").join(rows.where("toks is not null").select("row_id", "n", "toks"), "row_id"), "op6-members")
-    del family, placed, split, first, groups
+    # linked sets share one of each other's rarest signatures: groups of these that still span components are compared across them
+    alike = same.select(F.col("a").alias("row_id"))  # of equal sets one is enough
+    rare = _shared.cut(rarest(groups.join(alike, "row_id", "left_semi"), first.select("sig", "m")).join(found.withColumnRenamed("id", "row_id"), "row_id", "left")
+                       .select("sig", "row_id", "n", F.coalesce("component_id", "row_id").alias("c")), "op6-rare")
+    split = rare.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+    few = rare.join(split.where(F.col("m") <= _FEW).select("sig"), "sig")
+    x, y = (few.select("sig", *[F.col(v).alias(f"{v}_{side}") for v in ("row_id", "n", "c")]) for side in "ab")
+    pairs = x.join(y, "sig").where("c_a <> c_b and (n_a < n_b or n_a = n_b and row_id_a < row_id_b)").where(fits("n_a", "n_b"))
+    pairs = pairs.select(F.col("row_id_a").alias("a"), F.col("row_id_b").alias("b")).distinct()
+    more = _shared.cut(verify(pairs, sets, num, den), "op6-few")
+    many = rare.join(split.where(F.col("m") > _FEW).select(F.col("sig")), "sig").withColumnRenamed("sig", "family")
+    members = _shared.cut(many.join(sets, "row_id"), "op6-members")
+    del rare, split, few, x, y, pairs, many, first, groups
     _shared.release(spark)
-    more = _shared.cut(across(members, num, den), "op6-more")
+    more = more.unionByName(_shared.cut(across(members, num, den), "op6-more"))
     if more.limit(1).count():
         found = _shared.components(links.unionByName(more), "op6-comp")
     out = rows.select("row_id", "n").join(found.withColumnRenamed("id", "row_id"), "row_id", "left")

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from graphloom.llm.ngram_join import Bands, ngram_join, trie_matches
+from graphloom.llm.ngram_join import Bands, ngram_join, rarest, trie_matches
 
 
 def grams(text, n):
@@ -94,3 +94,16 @@ def test_a_shorter_copy_hides_no_link(spark, words, middle, short):
     docs = [*enumerate(docs)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted([tuple(r) for r in ngram_join(df, 3, 90, 100).collect()], key=str) == brute(docs, 3, 90, 100)
+
+
+def test_common_signatures_bring_no_sets_together(spark):
+    rows = [(100 + s, 2 * 2 + 0, i, 10) for i in range(50) for s in (0, 1000 + i, 2000 + i // 2)]  # two of three are shared by linked sets
+    groups = spark.createDataFrame(rows, "sig long, side int, row_id long, n long")
+    sizes = groups.groupBy("sig").count().withColumnRenamed("count", "m").where("m > 1")
+    left = rarest(groups, sizes).collect()
+    assert {(r.sig, r.row_id) for r in left} == {(2100 + i // 2, i) for i in range(50)}  # not the one that all have
+
+
+def test_groups_compared_chunk_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr("graphloom.llm.ngram_join._FEW", 2)
+    test_against_brute_force(spark, 1, 50, 100)
