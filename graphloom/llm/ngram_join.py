@@ -36,7 +36,7 @@ from graphloom.llm.suffix_dedup import _mix, answer_repeats, distinct_hashes, fr
 
 _STEP = 24  # tokens between the trie's nodes
 _TRIE_BYTES = 1 << 20  # of packed tokens in one trie
-_FEW = 512  # sets of a group of which pairs are made; larger ones are compared chunk by chunk
+_FEW = 64  # sets of a group of which pairs are made; larger ones are compared chunk by chunk
 
 
 def _byte_tables():
