@@ -351,9 +351,11 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
     pairs = x.join(y, "sig").where("c_a <> c_b and (n_a < n_b or n_a = n_b and row_id_a < row_id_b)").where(fits("n_a", "n_b"))
     pairs = pairs.select(F.col("row_id_a").alias("a"), F.col("row_id_b").alias("b")).distinct()
     more = _shared.cut(verify(pairs, sets, num, den), "op6-few")
-    many = rare.join(split.where(F.col("m") > _FEW).select(F.col("sig")), "sig").withColumnRenamed("sig", "family")
-    members = _shared.cut(many.join(sets, "row_id"), "op6-members")
-    del rare, split, few, x, y, pairs, many, first, groups
+    many = rare.join(split.where(F.col("m") > _FEW).select("sig"), "sig")  # those with common sets are one family: a pair is compared once
+    tied = many.join(many.groupBy("sig").agg(F.min("row_id").alias("a")), "sig").select("a", F.col("row_id").alias("b"))
+    family = _shared.components(tied, "op6-family").select(F.col("id").alias("row_id"), F.col("component_id").alias("family"))
+    members = _shared.cut(many.select("row_id", "n", "c").distinct().join(family, "row_id").join(sets, "row_id"), "op6-members")
+    del rare, split, few, x, y, pairs, many, tied, family, first, groups
     _shared.release(spark)
     more = more.unionByName(_shared.cut(across(members, num, den), "op6-more"))
     if more.limit(1).count():
