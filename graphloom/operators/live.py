@@ -51,9 +51,11 @@ class Parts:
         return version
 
     def write(self, rows: DataFrame, table: str, seq: int, bucket, order: list[str] | None = None) -> dict:
-        """A new part of rows in folders by bucket, sorted within; nobody reads it before a manifest names it."""
+        """A new part of rows in folders by bucket, sorted within files; nobody reads it before a manifest names it.
+
+        Buckets are few: a large one is written by several tasks, small ones by one."""
         part = {"seq": seq, "turn": uuid.uuid4().hex}
-        (rows.withColumn("bucket", bucket.cast("int")).repartition("bucket").sortWithinPartitions("bucket", *order or ()).write.partitionBy("bucket").option("compression", "zstd")
+        (rows.withColumn("bucket", bucket.cast("int")).hint("rebalance", "bucket").sortWithinPartitions("bucket", *order or ()).write.partitionBy("bucket").option("compression", "zstd")
          .parquet(f"{self.root}/{table}/seq={seq}/turn={part['turn']}"))
         return part
 
@@ -172,15 +174,10 @@ class LiveProject(Parts):
 
     def _signed(self, m: dict, out: dict, new: DataFrame | None, old: DataFrame) -> None:
         """Weights and counts that mentions bring (new) and take away (old)."""
-        weights, counts = [], []
-        for sign, rows in ((1, new), (-1, old)):
-            if rows is not None:
-                weights.append(graph.pair_weights(rows).select("a", "b", (sign * F.col("weight")).alias("weight")))
-                counts.append(rows.groupBy("entity_id").agg((sign * F.count("*")).alias("n")))
-        both = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(dfs[1])
-        changed = both(weights).groupBy("a", "b").agg(F.sum("weight").alias("weight")).where("weight <> 0")
-        self._add(m, out, "adjacent", graph.both_ways(changed), "x", ["x", "y"])
-        self._add(m, out, "counts", both(counts).groupBy("entity_id").agg(F.sum("n").alias("n")).where("n <> 0"), "entity_id")
+        signs = [rows.select("chunk_id", "entity_id", F.lit(sign).cast("long").alias("sign")) for sign, rows in ((1, new), (-1, old)) if rows is not None]
+        changed = signs[0] if len(signs) == 1 else signs[0].unionByName(signs[1])
+        self._add(m, out, "adjacent", graph.both_ways(graph.signed_weights(changed)), "x", ["x", "y"])
+        self._add(m, out, "counts", changed.groupBy("entity_id").agg(F.sum("sign").alias("n")).where("n <> 0"), "entity_id")
 
     def _next(self, m: dict) -> dict:
         return {"version": m["version"], "buckets": m["buckets"], "rows": {k: list(v) for k, v in m["rows"].items()}, "deletions": {k: list(v) for k, v in m["deletions"].items()}}
@@ -199,13 +196,17 @@ class LiveProject(Parts):
         m = self.manifest()
         out = self._next(m)
         ids = document.select(F.col("id").alias("owner")).distinct()
-        buckets = [r.b for r in ids.select(self._bucket(m, "owner").cast("int").alias("b")).distinct().collect()]
+        buckets = [r.b for r in ids.select(self._bucket(m, "owner").cast("int").alias("b")).distinct().collect()] if m["rows"].get("document") else []
         known = self._rows(m, "document", buckets).join(ids, F.col("id") == F.col("owner"), "left_semi").select(
             "id", F.col("creator").alias("old_creator"), F.col("created_at").alias("old_created"))
         if create and known.limit(1).count():
             raise Conflict("a document of that id exists")
         missing = {f.name: F.lit(None).cast(f.dataType) for f in TABLES["document"].fields if f.name not in document.columns}
-        full = document.withColumns(missing).join(known, "id", "left").withColumns({
+        if m["rows"].get("document"):
+            before = document.withColumns(missing).join(known, "id", "left")
+        else:  # nothing to join the texts with
+            before = document.withColumns({**missing, "old_creator": F.lit(None).cast("string"), "old_created": F.lit(None).cast("timestamp")})
+        full = before.withColumns({
             "creator": F.coalesce("creator", "old_creator"), "created_at": F.coalesce("old_created", "created_at", F.current_timestamp()),
             "updated_at": F.coalesce(F.col("updated_at").cast("timestamp"), F.current_timestamp()), "status": F.coalesce("status", F.lit("PUBLISHED"))})
         fields = TABLES["document"].fields

@@ -156,3 +156,29 @@ def test_names_are_evaluated_once(spark):
     assert sorted(r.surface for r in found.collect()) == ["Ann (Lee)", "Bob", "The"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?U)") <= 3
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark):
+    from graphloom.operators.live import _COUNT
+
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    rows = spark.range(4000, numPartitions=8).select(F.concat(F.lit("entity"), "id").alias("entity_id"), F.col("id").alias("n"))
+    with tempfile.TemporaryDirectory() as root:
+        live = LiveProject.create(spark, root, buckets=1)
+        spark.conf.set(size, "4k")
+        try:
+            part = live.write(rows, "counts", 1, F.lit(0), ["entity_id"])
+        finally:
+            spark.conf.unset(size)
+        found = live.read("counts", [part], _COUNT)
+        assert len(found.inputFiles()) > 1
+        assert sorted((r.entity_id, r.n) for r in found.collect()) == sorted((f"entity{i}", i) for i in range(4000))
+
+
+def test_plain_names_pass_as_other_names_do(spark):
+    from graphloom.functions.columns import clean_name
+
+    given = ["Ada", "x", "A1", " Ada  B ", "(Ada", "Ada\n", "É", "Éa", "a", "", "Foo (bar", "..Ada..", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, name string")
+    assert [r.c for r in rows.select("i", clean_name(F.col("name")).alias("c")).orderBy("i").collect()] == [
+        "Ada", None, "A1", "Ada B", "Ada", "Ada", None, "Éa", None, None, "Foo (bar)", "Ada", None]
