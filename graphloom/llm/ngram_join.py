@@ -266,6 +266,21 @@ def rarest(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranked.where(F.col("place") <= F.col("r") - F.floor(F.col("side") / 2) + 1).drop("place", "r", "m")
 
 
+def group_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a signature, are of two components and of sizes that can link, a not larger;
+    members: (sig, row_id, n, c), few of a signature.
+
+    Sets that share a passage share many signatures. So groups of the same members count once, and a set's later
+    neighbours in all its groups are brought together before they become pairs; those of a very large set in several parts."""
+    lists = members.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "row_id", "c"))).alias("all")).select("all").distinct()
+    firsts = lists.select("all", F.posexplode("all").alias("i", "x")).where(F.col("i") + 1 < F.size("all"))
+    later = F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda y: (y["c"] != F.col("x.c")) & (F.col("x.n") * den >= y["n"] * num))
+    part = F.pmod(F.xxhash64("all"), 1 + F.floor(F.col("x.n") / 16384))
+    near = firsts.select(F.col("x.row_id").alias("a"), part.alias("part"), F.transform(later, lambda y: y["row_id"]).alias("later")).where(F.size("later") > 0)
+    joined = near.groupBy("a", "part").agg(F.array_distinct(F.flatten(F.collect_list("later"))).alias("later"))
+    return joined.select("a", F.explode("later").alias("b")).distinct()
+
+
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_per_block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text): sets whose
     intersection is at least num / den of their union are linked."""
@@ -347,15 +362,12 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, rows_
                        .select("sig", "row_id", "n", F.coalesce("component_id", "row_id").alias("c")), "op6-rare")
     split = rare.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi")
     few = rare.join(split.where(F.col("m") <= _FEW).select("sig"), "sig")
-    x, y = (few.select("sig", *[F.col(v).alias(f"{v}_{side}") for v in ("row_id", "n", "c")]) for side in "ab")
-    pairs = x.join(y, "sig").where("c_a <> c_b and (n_a < n_b or n_a = n_b and row_id_a < row_id_b)").where(fits("n_a", "n_b"))
-    pairs = pairs.select(F.col("row_id_a").alias("a"), F.col("row_id_b").alias("b")).distinct()
-    more = _shared.cut(verify(pairs, sets, num, den), "op6-few")
+    more = _shared.cut(verify(group_pairs(few, num, den), sets, num, den), "op6-few")
     many = rare.join(split.where(F.col("m") > _FEW).select("sig"), "sig")  # those with common sets are one family: a pair is compared once
     tied = many.join(many.groupBy("sig").agg(F.min("row_id").alias("a")), "sig").select("a", F.col("row_id").alias("b"))
     family = _shared.components(tied, "op6-family").select(F.col("id").alias("row_id"), F.col("component_id").alias("family"))
     members = _shared.cut(many.select("row_id", "n", "c").distinct().join(family, "row_id").join(sets, "row_id"), "op6-members")
-    del rare, split, few, x, y, pairs, many, tied, family, first, groups
+    del rare, split, few, many, tied, family, first, groups
     _shared.release(spark)
     more = more.unionByName(_shared.cut(across(members, num, den), "op6-more"))
     if more.limit(1).count():

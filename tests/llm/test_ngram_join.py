@@ -107,3 +107,26 @@ def test_common_signatures_bring_no_sets_together(spark):
 def test_groups_compared_chunk_by_chunk(spark, monkeypatch):
     monkeypatch.setattr("graphloom.llm.ngram_join._FEW", 2)
     test_against_brute_force(spark, 1, 50, 100)
+
+
+def test_pairs_of_many_shared_signatures_are_made_once(spark):
+    """Sets that share 40 signatures, most of them with some others too: each pair once, those of a join at most."""
+    from graphloom.llm.ngram_join import group_pairs
+
+    r = random.Random(7)
+    rows = [(sig, i, 100 + i % 4 * 15, i // 2) for sig in range(40) for i in sorted({*range(6), *r.sample(range(6, 12), 3)})]
+    rows += [(99, 1, 20_000, 0), (99, 20, 20_000, 9), (98, 20, 20_000, 9), (98, 21, 30_000, 8)]  # one id of two sets; sizes that cannot link
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3] and (a[2], a[1]) < (b[2], b[1]) and a[2] * 100 >= b[2] * 80}
+    found = group_pairs(spark.createDataFrame(rows, "sig long, row_id long, n long, c long"), 80, 100)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+    def made(plan):
+        own = [m.value() for m in [plan.metrics().get("numOutputRows").get()] if "Generate" in plan.nodeName() or "Join" in plan.nodeName()] if plan.metrics().contains("numOutputRows") else []
+        kids = plan.children()
+        inner = [plan.finalPhysicalPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [kids.apply(i) for i in range(kids.size())]
+        return own + [x for k in inner for x in made(k)]
+
+    df = found._jdf
+    df.collect()
+    assert max(made(df.queryExecution().executedPlan())) <= len(rows)  # a join by signature makes over 1,000
