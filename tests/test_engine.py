@@ -145,3 +145,11 @@ def test_models(spark):
     assert "Paris" in models.question_entities("Where is Paris?", [])
     chunk = spark.createDataFrame([("d#0", "d", "Paris is big. Mail a@b.org")], "id string, doc_id string, text string")
     assert {r.surface for r in models.extracted(chunk).collect()} >= {"Paris", "a@b.org"}
+
+
+def test_edges_of_some_entities_are_those_of_all(spark):
+    rows = [("c1", "a"), ("c1", "b"), ("c1", "c"), ("c1", "a"), ("c2", "a"), ("c2", "b"), ("c3", "b"), ("c3", "d"), (None, "a"), (None, "b"), ("c2", None)]
+    mentions = spark.createDataFrame(rows, "chunk_id string, entity_id string")
+    some = spark.createDataFrame([("a",), ("c",), ("a",), ("z",)], "id string")
+    want = graph.both_ways(graph.pair_weights(mentions)).where("x in ('a', 'c')")
+    assert sorted(map(tuple, graph.edges_of(mentions, some).collect())) == sorted(map(tuple, want.collect())) != []
